@@ -1 +1,8 @@
 """Search-quality analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python workers get this package's functions by value, so executors need no copy of it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontaminate, exact, simhash
 
 QUERIES = {
+    "op4_benchmark_decontamination": decontaminate.benchmark_leaks,
+    "op8_exact_dedup": exact.exact_copies,
     "op10_simhash_near_dedup": simhash.simhash_groups,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_exact_dedup": exact.EXACT_SQL,
+}

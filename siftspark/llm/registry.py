@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, simhash
+from . import decontaminate, exact, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.toxic_documents,
     "op4_benchmark_decontamination": decontaminate.benchmark_leaks,
     "op8_exact_dedup": exact.exact_copies,
     "op10_simhash_near_dedup": simhash.simhash_groups,

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,3 +129,24 @@ def chain(*hashes: np.ndarray) -> np.ndarray:
     for h in hashes:
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h)
     return out
+
+
+def fitted(sample: DataFrame, fit: Callable[..., dict], *columns: str) -> Broadcast:
+    """A model fitted in one task on a bounded sample, sent to the driver and on to all executors.
+
+    ``sample`` has the named columns and "o", "i" to order its rows by, so that the model depends
+    on nothing else; ``fit`` takes the columns as Arrow arrays, those of no row included. The
+    sample itself never comes to the driver.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("o", "ascending"), ("i", "ascending")])
+        return pa.table({"model": pa.array([pickle.dumps(fit(*(table.column(c).combine_chunks() for c in columns)))], pa.binary())})
+
+    row = sample.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(run, "model binary").first()
+    if row is None:
+        kinds = [pa.string() if sample.schema[c].dataType.simpleString() == "string" else pa.int32() for c in columns]
+        model = fit(*(pa.array([], k) for k in kinds))
+    else:
+        model = pickle.loads(row.model)
+    return sample.sparkSession.sparkContext.broadcast(model)

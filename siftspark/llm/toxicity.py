@@ -9,20 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chain, col, hash_strings, slices, strings, words
+from .common import chain, col, fitted, hash_strings, slices, strings, words
 
 TRAIN_ROWS = 5000  # labelled documents of each class that the models are fitted on, by least id hash
-OWN_DISCOUNT = 3.0  # of the contexts that a class itself has for a word
+OWN_DISCOUNT = 1.5  # of the contexts that a class itself has for a word
 PAIR_DISCOUNT = 8.0  # of the counts of word pairs, which both classes share
 SHARED = 0.98  # of the toxic model, the least share left to backoff
 START = np.uint64(1)  # stands before the first word of a text
 
 
-def _tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    codes, ends, vocabulary = words(text)
-    return hash_strings(vocabulary)[codes], ends
-
-
 def _bigrams(w: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The word before each word, and the hash of both."""
     before = np.r_[START, w[:-1]] if len(w) else w
@@ -31,17 +26,17 @@ def _bigrams(w: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, chain(before, w)
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> dict:
+def fit(texts: pa.Array, toxic: np.ndarray) -> dict:
     """The two classes' models over one vocabulary, and the margin that parts held-out texts.
 
     A fifth of the texts is held out for the margin; the models are then fitted on all.
     """
-    toxic = np.asarray(toxic, bool)
+    texts, toxic = strings(texts), np.asarray(toxic, bool)
     held = np.arange(len(texts)) % 5 == 4
-    threshold = 0.0
+    threshold = 0.0 if toxic.any() and not toxic.all() else float("inf")
     if (toxic & held).any() and (~toxic & held).any() and (toxic & ~held).any() and (~toxic & ~held).any():
-        trial = _fit([t for t, h in zip(texts, held) if not h], toxic[~held]) | {"threshold": 0.0}
-        a, b, n = score(trial, pa.array([t for t, h in zip(texts, held) if h], pa.string()))
+        trial = _fit(texts.filter(pa.array(~held)), toxic[~held]) | {"threshold": 0.0}
+        a, b, n = score(trial, texts.filter(pa.array(held)))
         margin, y = np.where(n > 0, a - b, -np.inf), toxic[held]
         cuts = np.unique(margin[np.isfinite(margin)])
         cuts = np.r_[cuts[:1] - 1, (cuts[1:] + cuts[:-1]) / 2, cuts[-1:] + 1]
@@ -52,7 +47,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> dict:
     return _fit(texts, toxic) | {"threshold": threshold}
 
 
-def _fit(texts: list[str], toxic: np.ndarray) -> dict:
+def _fit(texts: pa.Array, toxic: np.ndarray) -> dict:
     """Tables of log probabilities. For class y, word w, and the word h before it:
 
     P_y(w|h) = discounted count of hw / count of h + spare mass of h * P_y(w)
@@ -66,15 +61,33 @@ def _fit(texts: list[str], toxic: np.ndarray) -> dict:
     both, or frequent in both, weighs nearly alike, and what the sample of the smaller class
     happens to lack costs no more than log b.
     """
-    w, ends = _tokens(pa.array(texts, pa.string()))
-    before, pair = _bigrams(w, ends)
-    vocabulary, heads = np.unique(w), np.unique(before)
-    pairs, at, each = np.unique(pair, return_index=True, return_inverse=True)
-    word, head = np.searchsorted(vocabulary, w[at]), np.searchsorted(heads, before[at])
-    once = np.unique(np.repeat(np.arange(len(texts)), np.diff(ends)) * np.int64(max(len(pairs), 1)) + each)
-    of, once = np.asarray(toxic, bool)[once // max(len(pairs), 1)], once % max(len(pairs), 1)
-    own = [np.bincount(once[of == y], minlength=len(pairs)) for y in (False, True)]
-    contexts = [np.bincount(word, c, minlength=len(vocabulary)) for c in own]
+    parts, lengths = [], []
+    for batch in slices([pa.record_batch({"t": texts})], 0):
+        codes, ends, terms = words(batch.column(0))
+        parts.append(hash_strings(terms)[codes])
+        lengths.append(np.diff(ends))
+    w, lengths = np.concatenate(parts or [np.zeros(0, np.uint64)]), np.concatenate(lengths or [np.zeros(0, np.int64)])
+    del parts
+    vocabulary, word = np.unique(w, return_inverse=True)
+    del w
+    size = len(vocabulary)
+    ends = np.r_[0, np.cumsum(lengths)]
+    pair = np.r_[size, word[:-1]] if len(word) else word  # the word before, or the start
+    pair[ends[:-1][lengths > 0]] = size
+    pair = pair * np.int64(max(size, 1)) + word
+    del word
+    once: tuple[list, list] = ([], [])
+    for a, b, y in zip(ends[:-1], ends[1:], toxic):
+        once[bool(y)].append(np.unique(pair[a:b]))
+    del pair
+    seen = [np.unique(np.concatenate(x or [np.zeros(0, np.int64)]), return_counts=True) for x in once]
+    del once
+    pairs = np.union1d(seen[0][0], seen[1][0])
+    own = [np.zeros(len(pairs)) for _ in seen]
+    for c, (key, n) in zip(own, seen):
+        c[np.searchsorted(pairs, key)] = n
+    head, word = pairs // max(size, 1), pairs % max(size, 1)
+    contexts = [np.bincount(word, c, minlength=size) for c in own]
     shared = np.r_[(contexts[0] > 0) * 1.0 + (contexts[1] > 0), 1.0]
     shared /= shared.sum()
     kept = [np.r_[np.maximum(c - OWN_DISCOUNT, 0), 0.0] for c in contexts]
@@ -83,13 +96,17 @@ def _fit(texts: list[str], toxic: np.ndarray) -> dict:
     back = max(SHARED, 1 - kept[1].sum() / total[1])
     toxic_ = (1 - back) * kept[1] / kept[1].sum() + back * ordinary if kept[1].any() else ordinary
     both = own[0] + own[1]
-    follow = np.bincount(head, both, minlength=len(heads))
-    spare = np.bincount(head, np.minimum(both, PAIR_DISCOUNT), minlength=len(heads)) / np.maximum(follow, 1)
-    some = both > PAIR_DISCOUNT  # the others are what backoff gives
-    high = (both[some] - PAIR_DISCOUNT) / follow[head[some]]
+    follow = np.bincount(head, both, minlength=size + 1)
+    spare = np.bincount(head, np.minimum(both, PAIR_DISCOUNT), minlength=size + 1) / np.maximum(follow, 1)
+    spare[follow == 0] = 1.0
+    some = np.flatnonzero(both > PAIR_DISCOUNT)  # the others are what backoff gives
+    head, word = head[some], word[some]
+    high = (both[some] - PAIR_DISCOUNT) / follow[head]
+    key = chain(np.r_[vocabulary, START][head], vocabulary[word])
+    order = np.argsort(key)
     return {
-        "vocabulary": vocabulary, "heads": heads, "pairs": pairs[some], "spare": np.log(np.r_[spare, 1.0]),
-        "classes": [{"pair": np.log(high + spare[head[some]] * low[word[some]]), "low": np.log(low)} for low in (ordinary, toxic_)],
+        "vocabulary": vocabulary, "pairs": key[order], "spare": np.log(np.r_[spare, 1.0]),
+        "classes": [{"pair": np.log(high + spare[head] * low[word])[order], "low": np.log(low)} for low in (ordinary, toxic_)],
     }
 
 
@@ -109,16 +126,16 @@ def score(model: dict, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if not len(codes):
         return np.zeros(len(n)), np.zeros(len(n)), n
     before, pair = _bigrams(hashed[codes], ends)
-    word, head = _find(model["vocabulary"], hashed), _find(model["heads"], hashed)
-    starts, at = ends[:-1][n > 0], np.r_[0, codes[:-1]]
-    heads = head[at]
-    heads[starts] = _find(model["heads"], np.array([START]))[0]
+    word = _find(model["vocabulary"], hashed)
+    starts = ends[:-1][n > 0]
+    heads = word[np.r_[0, codes[:-1]]]
+    heads[starts] = len(model["vocabulary"])
     known = (word >= 0)[codes] & (heads >= 0)
     place = np.full(len(codes), -1)
     place[known] = _find(model["pairs"], pair[known])
     out = []
     for c in model["classes"]:
-        each = c["low"][word][codes] + model["spare"][heads]  # -1 finds the unseen word, and no discount
+        each = c["low"][word][codes] + model["spare"][heads]  # -1 is the unseen word
         hit = place >= 0
         each[hit] = c["pair"][place[hit]]
         out.append(np.add.reduceat(each, starts) / n[n > 0])
@@ -139,8 +156,8 @@ def _apply(shared):
     return apply
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels of at most ``rows`` labelled documents of each class, those of least id hash.
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(o, i, t, y): texts and 0/1 labels of at most ``rows`` labelled documents of each class, those of least id hash.
 
     Null or contradictory labels are left out; of rows that repeat an id one is taken.
     """
@@ -149,8 +166,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROW
     rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))
     chosen = F.broadcast(marked.withColumn("rank", rank).where(F.col("rank") <= rows).select("i", "y"))
     texts = docs.select(col(id_col).cast("long").alias("i"), col(text_col).cast("string").alias("t")).where("t is not null").join(chosen, "i")
-    table = texts.groupBy("i", "y").agg(F.min("t").alias("t")).orderBy(F.xxhash64("i"), "i").toArrow()
-    return strings(table.column("t")).to_pylist(), table.column("y").to_numpy()
+    return texts.groupBy("i", "y").agg(F.min("t").alias("t")).withColumn("o", F.xxhash64("i"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -161,11 +177,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     aren't toxic; without labels of both classes nothing is known, and nothing is toxic. Texts
     are read whole. Repeated rows are scored each; other columns are ignored.
     """
-    texts, y = sample(docs, labels, "toxic", train_rows, id_col, text_col)
-    model = fit(texts, y)
-    if not (y == 1).any() or not (y == 0).any():
-        model["threshold"] = float("inf")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = fitted(sample(docs, labels, "toxic", train_rows, id_col, text_col), fit, "t", "y")
     narrow = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(_apply(shared), "doc_id long, toxic_ll double, ordinary_ll double, margin double, is_toxic boolean")
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, simhash, toxicity
+from . import decontaminate, exact, language, pieces, quality, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.toxic_documents,
     "op4_benchmark_decontamination": decontaminate.benchmark_leaks,
+    "op2_language_id": language.document_languages,
+    "op5_sentencepiece": pieces.document_pieces,
+    "op7_quality_classifier": quality.document_quality,
     "op8_exact_dedup": exact.exact_copies,
     "op10_simhash_near_dedup": simhash.simhash_groups,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_language_id": language.document_languages,
+    "op5_sentencepiece": pieces.document_pieces,
+    "op7_quality_classifier": quality.document_quality,
     "op8_exact_dedup": exact.EXACT_SQL,
 }

@@ -6,26 +6,52 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import common, simhash
+from siftspark.llm import common, decontaminate, exact, pieces, quality, simhash
 
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with the same text one stays."""
+    return exact.exact_dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-copy group stays."""
     return simhash.near_dedup(docs)
 
 
-STAGES = [("near", near)]
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("sentencepiece", encode),
+]
 
 ORACLE_SQL = None  # learned models, alignment and tokenisation are beyond SQL; tests hold the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written to the cluster's shared folder."""
+    """All stages over documents; each but the last is written to the cluster's shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{common.shared_folder(spark)}/pipeline-{uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            out = f"{common.shared_folder(spark)}/pipeline-{uuid4().hex}/{k}"
-            docs.write.parquet(out)
-            docs = spark.read.parquet(out)
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs

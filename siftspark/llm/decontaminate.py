@@ -100,7 +100,7 @@ def _align(shared, share: float):
             for d, i in zip(pairs // len(index["items"]), pairs % len(index["items"])):
                 item = index["items"][i]
                 score = local_score(w[ends[d] : ends[d + 1]], item)
-                if score >= share * MATCH * len(item):
+                if score >= (share if len(item) >= SEED else 1) * MATCH * len(item):
                     rows.append((ids[d], index["ids"][i], score, score / (MATCH * len(item))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], ["doc_id", "item_id", "score", "share"])
@@ -111,7 +111,8 @@ def _align(shared, share: float):
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(doc_id, item_id, score, share) of every document that holds a benchmark item, perhaps
     edited: some rare n-gram in common, and a local alignment of all the document's words with
-    the item's that reaches ``share`` of the score of the whole item.
+    the item's that reaches ``share`` of the score of the whole item. Items of fewer than SEED
+    words must occur whole.
 
     How often an n-gram occurs is counted over all documents. The benchmark is indexed in parts
     of ``index_bytes``, one pass over the documents for each. Null ids, null texts and texts or

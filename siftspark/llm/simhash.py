@@ -188,10 +188,9 @@ def _join(budget: int, confirm: int, forest: bool):
         side = [np.frombuffer(x, _NODE) for x in table.column("nodes").to_pylist()]
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         of = table.column("bucket").to_pylist()
-        a = side[of.index(low)]
-        b = a if low == high else side[of.index(high)] if high in of else a[:0]
-        if low not in of:
-            a = a[:0]
+        none = np.zeros(0, _NODE)  # a bucket may hold no signature
+        a = side[of.index(low)] if low in of else none
+        b = a if low == high else side[of.index(high)] if high in of else none
         ids = a["id"] if low == high else np.r_[a["id"], b["id"]]
         group = _Forest(len(ids))
         left, right = [], []

@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, durable
 
 GROUP_PAGES = 400  # pages of a host that a template is deduced from; larger hosts make several such groups
 SUPPORT = 0.6  # of a group's pages in which a template token occurs
 CLASS_SIZE = 3  # tokens of a template class
+BROADCAST_BYTES = 32 << 20  # of large hosts' names, up to which they are broadcast
 PAGES = 3  # pages of a host from which a template can be told
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|$)|<[^<>]*>?|[^<\s]+", re.S | re.I)
 _NAME = re.compile(r"</?\s*([A-Za-z][A-Za-z0-9]*)")
@@ -146,6 +147,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     host = F.nullif(F.lower(F.regexp_extract(col(url_col).cast("string"), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     narrow = pages.select(col(id_col).cast("long").alias("page_id"), host.alias("host"), col(html_col).cast("string").alias("html"))
     large = narrow.groupBy("host").count().where(F.col("count") > group_pages).select(F.col("host").alias("h"), F.ceil(F.col("count") / group_pages).alias("parts"))
+    large = durable(large)
+    if large.count() * 64 <= BROADCAST_BYTES:  # else the pages are shuffled by host first
+        large = F.broadcast(large)
     apart = narrow.join(large, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
     part = F.coalesce(F.pmod(F.xxhash64("page_id", "html"), F.col("parts")), F.lit(0)).cast("int")
     return apart.select("page_id", "host", "html", part.alias("part")).groupBy("host", "part").applyInArrow(_group, "page_id long, host string, classes int, template_tokens int, slots array<string>, text string")

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import capacity, payouts
+from . import capacity, evidence_queries, log_queries, payouts
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "capacity", "payouts"]
+__all__ = ["ORACLE", "QUERIES", "capacity", "evidence_queries", "log_queries", "payouts"]

@@ -60,20 +60,20 @@ def daily(t):
 @query(
     "win4_dense_ema",
     """with d as (select user_id, ts::date as dd, avg(value / 1e2) q from events group by all), days as (select dd, row_number() over (order by dd desc) - 1 k from (select distinct dd from d))
-    select user_id, round(sum(coalesce(q, 0) * power(5e-1, k + 1)), 6) ema, count(*) steps from (select distinct user_id from d) u cross join days left join d using (user_id, dd) group by user_id""",
+    select user_id, round(sum(coalesce(q, 0) * power(5e-1, k + 1)) + 1e-9, 6) ema, count(*) steps from (select distinct user_id from d) u cross join days left join d using (user_id, dd) group by user_id""",
 )
 def dense_ema(t):
-    return scoring.ema(scoring.dense_spine(daily(t), "user_id", "day", "q"), ["user_id"], "day", "q").withColumn("ema", F.round("ema", 6))
+    return scoring.ema(scoring.dense_spine(daily(t), "user_id", "day", "q"), ["user_id"], "day", "q").withColumn("ema", F.round(F.col("ema") + 1e-9, 6))
 
 
 @query(
     "win5_lane_ema",
     f"""with d as (select user_id, {LANE_SQL} lane, ts::date as dd, avg(value / 1e2) q from events where event_type <> 'error' group by all), k as (select *, row_number() over (partition by user_id, lane order by dd desc) - 1 k from d),
-    g as (select user_id, lane, round(sum(q * power(5e-1, k + 1)), 6) ema, count(*) steps from k group by user_id, lane) select *, ema >= (case when lane = 'x_search' then 6e-1 else 5e-1 end) passed from g""",
+    g as (select user_id, lane, round(sum(q * power(5e-1, k + 1)) + 1e-9, 6) ema, count(*) steps from k group by user_id, lane) select *, ema >= (case when lane = 'x_search' then 6e-1 else 5e-1 end) passed from g""",
 )
 def lane_ema(t):
     d = t.events.where("event_type <> 'error'").select("user_id", lane().alias("lane"), F.to_date("ts").alias("day"), (F.col("value") / 100).alias("q")).groupBy("user_id", "lane", "day").agg(F.avg("q").alias("q"))
-    out = scoring.ema(d, ["user_id", "lane"], "day", "q").withColumn("ema", F.round("ema", 6))
+    out = scoring.ema(d, ["user_id", "lane"], "day", "q").withColumn("ema", F.round(F.col("ema") + 1e-9, 6))
     return out.withColumn("passed", F.col("ema") >= F.when(F.col("lane") == "x_search", CONFIG.threshold["x_search"]).otherwise(CONFIG.threshold["ai_search"]))
 
 

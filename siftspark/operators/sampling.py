@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import routing_weight
+from .ranking import global_row_number
 
 
 def portable_hash(key: Column, seed: int = 0) -> Column:
@@ -87,17 +88,17 @@ def top_half(rows: DataFrame, uid: str, incentive: str) -> DataFrame:
 
 def cyclic_join(queries: DataFrame, pool: DataFrame, order: str, pool_order: str) -> DataFrame:
     """The k-th query takes row k modulo the pool's size."""
-    q = queries.withColumn("k_", F.row_number().over(Window.orderBy(order)) - 1)
-    p = pool.withColumn("p_", F.row_number().over(Window.orderBy(pool_order)) - 1)
+    q = global_row_number(queries, order, "k_")
+    p = global_row_number(pool, pool_order, "p_")
     n = pool.agg(F.count("*").alias("n_"))
-    return q.crossJoin(F.broadcast(n)).withColumn("p_", F.pmod("k_", "n_").cast("int")).join(p, "p_").drop("k_", "p_", "n_")
+    return q.crossJoin(F.broadcast(n)).withColumn("p_", F.pmod("k_", "n_")).join(p, "p_").drop("k_", "p_", "n_")
 
 
 def strided(rows: DataFrame, order: str, text: str, most: int, start: int) -> DataFrame:
     """(id, text): about ``most`` rows at even distances, from ``start`` on; trimmed, without blanks
     and repetitions. The id is a hash of the text."""
     n = rows.agg(F.greatest(F.lit(1), F.floor(F.count("*") / most)).alias("stride_"))
-    placed = rows.withColumn("i_", F.row_number().over(Window.orderBy(order)) - 1).crossJoin(F.broadcast(n))
+    placed = global_row_number(rows, order, "i_").crossJoin(F.broadcast(n))
     first = F.pmod(F.lit(start), F.col("stride_"))
     kept = placed.where((F.col("i_") >= first) & (F.pmod(F.col("i_") - first, F.col("stride_")) == 0)).select(F.trim(text).alias("text")).where("text <> ''").distinct()
     return kept.select(F.concat(F.lit("h"), F.left(F.sha1("text"), F.lit(15))).alias("id"), "text")

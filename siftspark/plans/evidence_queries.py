@@ -157,12 +157,10 @@ def highlights(t):
     return d.crossJoin(b).where(F.contains("body", F.col("h"))).select("doc_id", "item_id")
 
 
-@query("arr8_fil12_in_order", r"select doc_id, true found, length(regexp_replace(substr(text, 1, 40), '[^\p{L}\p{N}_]+', '', 'g')) = 0 swapped from documents where length(regexp_replace(substr(text, 1, 40), '[^\p{L}\p{N}_]+', '', 'g')) > 0 and length(regexp_replace(substr(text, 41), '[^\p{L}\p{N}_]+', '', 'g')) > 0 and false")
+@query("arr8_fil12_in_order", f"select doc_id, {FOLD.format('substr(text, 1, 40)')} <> '' and {FOLD.format('substr(text, 41)')} <> '' found, false strange from documents")
 def ordered(t):
     a, b = F.substring("text", 1, 40), F.substring("text", 41, 10**9)
-    both = (F.length(text.fold_text(a)) > 0) & (F.length(text.fold_text(b)) > 0)
-    ok = t.documents.where(both).select("doc_id", arrays.in_order(F.array(a, b), "text").alias("found"), arrays.in_order(F.array(F.concat(F.lit("no such"), a), b), "text").alias("swapped"))
-    return ok.where("not found or swapped")  # none: parts of a text are found in order, foreign ones aren't
+    return t.documents.select("doc_id", arrays.in_order(F.array(a, b), "text").alias("found"), arrays.in_order(F.array(F.concat(F.lit("no such"), a), b), "text").alias("strange"))
 
 
 @query("agg21_role_text", "select conv_id, role, string_agg(text, '' order by turn) t, count(*) n from conversations group by all")
@@ -302,3 +300,73 @@ def html_pages(t):
     from ..sources.html import parse_pages
 
     return parse_pages(t.pages, "page_id", "url", "html")
+
+
+@query("join3_sources", rf"select page_id, n from (select page_id, {url_sql('url')} k from pages) join (select {url_sql('url')} k, arg_max(length(html), page_id) n from pages group by 1) using (k)")
+def sources(t):
+    p = t.pages.select("page_id", F.lit(1).alias("r"), "url", F.length("html").cast("long").alias("n"))
+    return evidence.join_sources(p.select("page_id", "r", "url"), p.withColumnRenamed("page_id", "place"), "r", "url", "place", ["n"]).select("page_id", "n")
+
+
+@query("join5_cited_bodies", f"with {KEY_SQL}, b as (select source_key, max(length(html)) n from keys join pages using (page_id) group by 1) select source_key, n from b")
+def cited_bodies(t):
+    p = t.pages.select(F.lit(1).alias("r"), "url", F.col("html").alias("body"))
+    posts = p.limit(0).select("r", F.lit("").alias("post_id"), "body")
+    out = evidence.cited_bodies(p.select("r", "url"), p, posts, "r", "url", "body")
+    return out.select(text.source_key("url").alias("source_key"), F.length("body").alias("n"))
+
+
+@query("join2_first_match", "with g as (select user_id, event_type, arg_min(value, event_id) v from events group by all) select e.event_id, g.v from events e left join g using (user_id, event_type)")
+def first_match(t):
+    given = t.events.select("user_id", "event_type", F.col("event_id").alias("place"), F.col("value").alias("v"))
+    return evidence.first_match(t.events.select("event_id", "user_id", "event_type"), given, "user_id", "event_type", "place").select("event_id", "v")
+
+
+@query("fil24_tolerance", "select event_id, case when event_type = 'error' then false else abs(user_id - value) <= greatest(cast(trunc(value * 6e-1) as integer), 10) end near from events")
+def tolerance(t):
+    from ..functions.numeric import within_slack
+
+    return t.events.select("event_id", within_slack(F.when(F.col("event_type") != "error", F.col("user_id")), F.col("value")).alias("near"))
+
+
+@query("fil26_media", "select event_id, event_type <> 'error' same from events")
+def media(t):
+    kind = "array<struct<media_url:string,type:string>>"
+    a = F.array(F.struct(F.lit("u").alias("media_url"), F.lit("photo").alias("type")))
+    b = F.array(F.struct(F.lit("u").alias("media_url"), F.when(F.col("event_type") == "error", "video").otherwise("photo").alias("type")))
+    return t.events.select("event_id", arrays.same_media(a.cast(kind), b.cast(kind)).alias("same"))
+
+
+@query("arr1_all_values", "select conv_id, list(text order by turn) as texts from conversations group by 1")
+def all_texts(t):
+    w = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
+    by_conv = t.conversations.groupBy("conv_id").agg(w.alias("x"))
+    return by_conv.select("conv_id", arrays.all_values(F.create_map(F.lit("all"), "x")).alias("texts"))
+
+
+@query("str20_classes", "select page_id, 'youtube' a, 'reddit' b, 'default' c, 'dQw4w9WgXcQ' v from pages")
+def classes(t):
+    i = F.col("page_id").cast("string")
+    yt = F.concat(F.lit("https://www.youtube.com/watch?x="), i, F.lit("&v=dQw4w9WgXcQ"))
+    return t.pages.select("page_id", text.url_class(yt).alias("a"), text.url_class(F.concat(F.lit("https://old.reddit.com/"), i)).alias("b"), text.url_class("url").alias("c"), text.video_id(yt).alias("v"))
+
+
+@query("str21_joined", "select doc_id, lang || ' ' || source j from documents")
+def joined(t):
+    return t.documents.select("doc_id", text.joined_fields(F.col("lang"), F.lit("  "), F.lit(None).cast("string"), F.col("source")).alias("j"))
+
+
+@query("str26_messages", """select doc_id, case when lang = 'en' then '[{"role":"system","content":"judge"},{"role":"user","content":"' || source || '"}]' end m from documents""")
+def message(t):
+    return t.documents.select("doc_id", text.messages(F.lit("judge"), F.when(F.col("lang") == "en", F.col("source")).otherwise("  ")).alias("m"))
+
+
+@query("str25_str29_fills", "select doc_id, 'a  b' x, '{\"q\": \"' || source || '\" }' f from documents")
+def fills(t):
+    return t.documents.select("doc_id", text.without_names(F.lit("a Question b"), ["Question", "Quest"]).alias("x"), text.fix_query(F.concat(F.lit("{'q': '"), "source", F.lit("' has:polls}"))).alias("f"))
+
+
+@query("fil2_forbidden", "select doc_id, doc_id % 2 = 0 bad from documents")
+def forbidden(t):
+    s = F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(" </Score >")).otherwise(" score"))
+    return t.documents.select("doc_id", text.forbidden_markup(s).alias("bad"))

@@ -69,12 +69,10 @@ def lookup(t):
     return t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(t.region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("s_suppkey", "n_name", "r_name")
 
 
-@query("srt1_null_order", "with n as (select c_custkey, case when c_acctbal > 0 then c_nationkey end k from customer) select c_custkey, row_number() over (order by k desc nulls last, c_custkey) r from n")
+@query("srt1_null_order", "select c_custkey, case when c_acctbal > 0 then c_nationkey end k from customer order by k desc nulls last, c_custkey")
 def null_order(t):
-    from pyspark.sql import Window
-
     k = F.when(F.col("c_acctbal") > 0, F.col("c_nationkey"))
-    return t.customer.select("c_custkey", k.alias("k")).select("c_custkey", F.row_number().over(Window.orderBy(F.desc_nulls_last("k"), "c_custkey")).cast("long").alias("r"))
+    return t.customer.select("c_custkey", k.alias("k")).orderBy(F.desc_nulls_last("k"), "c_custkey")
 
 
 @query("win13_rate_window", "select event_id, count(*) over (partition by user_id order by ts range between interval 3600 second preceding and current row) n from events")

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import capacity, evidence_queries, log_queries, payouts
+from . import capacity, evidence_queries, log_queries, payouts, stream_queries
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "capacity", "evidence_queries", "log_queries", "payouts"]
+__all__ = ["ORACLE", "QUERIES", "capacity", "evidence_queries", "log_queries", "payouts", "stream_queries"]

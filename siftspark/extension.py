@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +57,6 @@ def run_tools(queries: DataFrame, names: list[str]) -> DataFrame:
 
 def judge(prompts: DataFrame, ask: Callable[[list[str]], list[str]], column: str = "prompt") -> DataFrame:
     """``answer``: what a batch function says to each prompt; '' where it fails or there is no prompt."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for prompts_ in batches:
             some = prompts_.notna() & (prompts_.str.strip() != "")
@@ -71,6 +68,4 @@ def judge(prompts: DataFrame, ask: Callable[[list[str]], list[str]], column: str
                     pass
             yield out.fillna("")
 
-    from pyspark.sql.functions import pandas_udf
-
-    return prompts.withColumn("answer", pandas_udf(answers, "string")(F.col(column)))
+    return prompts.withColumn("answer", F.pandas_udf(answers, "string")(F.col(column)))

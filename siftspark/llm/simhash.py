@@ -14,14 +14,15 @@ from pyspark.sql import types as T
 from .common import chain, col, durable, fresh, hash_strings, mix, slices, words
 
 BUDGET = 11  # differing bits allowed between two word signatures
-CONFIRM = 18  # differing bits allowed between the word-pair signatures of the same two texts
+CONFIRM = (18, 38)  # differing bits allowed between the same texts' word-pair signatures (64 bits) and word-triple ones (128)
 TURNS = 4  # quarters of a signature; a trie is joined for each rotation
 QUARTER = 64 // TURNS
 BUCKET = 1 << 18  # signatures that one side of a join task aims at; layout only, never the result
+SIGS = ("sig", "pair", "triple0", "triple1")
 CHUNK = 1 << 19  # node pairs held at once
 
 
-def _majority(bits: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _majority(bits: np.ndarray, weight: np.ndarray | None, start: np.ndarray) -> np.ndarray:
     """The packed sign of the weighted sum of +-1 rows in each run."""
     out = np.empty(len(start), np.uint64)
     ends = np.r_[start[1:], len(bits)]
@@ -30,50 +31,57 @@ def _majority(bits: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.nda
         stop = max(step + 1, int(np.searchsorted(ends, start[step] + 65536, "right")))
         a, b = start[step], ends[stop - 1]
         signed = np.unpackbits(bits[a:b].view(np.uint8)).reshape(-1, 64).astype(np.float32) * np.float32(2) - np.float32(1)
-        signed *= weight[a:b, None]
+        if weight is not None:
+            signed *= weight[a:b, None]
         total = np.add.reduceat(signed, start[step:stop] - a, axis=0)
         out[step:stop] = np.packbits(total > 0, axis=1).view("<u8")[:, 0]
         step = stop
     return out
 
 
-def signatures(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: whether it has words, the signature of its words (weight sqrt of the
-    count), and that of its neighbouring word pairs, kept as a confirmation."""
+def _grams(h: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's runs of n words (of all its words if fewer), and where texts start."""
+    lengths = np.diff(ends)
+    start, lengths = ends[:-1][lengths > 0], lengths[lengths > 0]
+    many = np.maximum(lengths - n + 1, 1)
+    done = np.cumsum(many) - many
+    at = np.repeat(start - done, many) + np.arange(int(many.sum()))
+    last = np.repeat(start + lengths, many)
+    parts = [h[np.minimum(at + k, len(h) - 1)] * (at + k < last) for k in range(n)]
+    return chain(*parts), done
+
+
+def signatures(text: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Whether each text has words, and of those that do the signature of the words (weight sqrt
+    of the count), and, to confirm with, that of word pairs and two of word triples."""
     codes, ends, vocabulary = words(text)
     lengths = np.diff(ends)
     some = lengths > 0
     if not len(codes):
-        return some, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return some, [np.zeros(0, np.uint64)] * 4
     hashed = hash_strings(vocabulary)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     size = np.int64(len(hashed))
     key, n = np.unique(doc * size + codes, return_counts=True)
     start = np.flatnonzero(np.r_[True, np.diff(key // size) > 0])
-    first = _majority(hashed[key % size], np.sqrt(n).astype(np.float32), start)
+    out = [_majority(hashed[key % size], np.sqrt(n).astype(np.float32), start)]
     h = hashed[codes]
-    pair = chain(h, np.r_[h[1:], h[:1]])
-    last = ends[1:][some] - 1  # the last word has no right neighbour
-    keep = np.ones(len(pair), bool)
-    keep[last[lengths[some] > 1]] = False
-    pair[last[lengths[some] == 1]] = mix(h[last[lengths[some] == 1]])
-    many = np.maximum(lengths[some] - 1, 1)
-    second = _majority(pair[keep], np.ones(int(many.sum()), np.float32), np.r_[0, np.cumsum(many)[:-1]])
-    return some, first, second
+    for n_words, seeds in ((2, (0,)), (3, (0, 0x9E3779B97F4A7C15))):
+        grams, start = _grams(h, ends, n_words)
+        out += [_majority(mix(grams ^ np.uint64(seed)) if seed else grams, None, start) for seed in seeds]
+    return some, out
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1):
-        some, first, second = signatures(batch.column(1))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).filter(pa.array(some)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], ["doc_id", "sig", "chk"]
-        )
+        some, found = signatures(batch.column(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some)), *(pa.array(x.view(np.int64)) for x in found)], ["doc_id", *SIGS])
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sig, chk) of every document that has an id and at least one word."""
+    """(doc_id, sig, pair, triple0, triple1) of every document that has an id and at least one word."""
     narrow = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    return narrow.where("doc_id is not null and text is not null").mapInArrow(_sign, "doc_id long, sig long, chk long")
+    return narrow.where("doc_id is not null and text is not null").mapInArrow(_sign, "doc_id long, " + ", ".join(f"{x} long" for x in SIGS))
 
 
 def _turn(x: np.ndarray, by: int) -> np.ndarray:
@@ -172,18 +180,18 @@ class _Forest:
                 self.label = next_
 
 
-_NODE = np.dtype([("sig", "<u8"), ("chk", "<u8"), ("id", "<i8")])
+_NODE = np.dtype([*((x, "<u8") for x in SIGS), ("id", "<i8")])
 
 
 def _pack(table: pa.Table) -> pa.Table:
     nodes = np.empty(table.num_rows, _NODE)
     for name in _NODE.names:
         nodes[name] = table.column(name).to_numpy().view(_NODE[name])
-    nodes.sort(order=["sig", "chk", "id"])
+    nodes = nodes[np.argsort(nodes["sig"], kind="stable")]
     return pa.table({"turn": table.column("turn")[:1], "bucket": table.column("bucket")[:1], "nodes": pa.array([nodes.tobytes()], pa.binary())})
 
 
-def _join(budget: int, confirm: int, forest: bool):
+def _join(budget: int, confirm: tuple[int, int], forest: bool):
     def join(table: pa.Table) -> pa.Table:
         side = [np.frombuffer(x, _NODE) for x in table.column("nodes").to_pylist()]
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
@@ -196,7 +204,8 @@ def _join(budget: int, confirm: int, forest: bool):
         left, right = [], []
         sa, sb = np.ascontiguousarray(a["sig"]), np.ascontiguousarray(b["sig"])
         for i, j in trie_pairs(sa, sb, low == high, budget):
-            ok = np.bitwise_count(a["chk"][i] ^ b["chk"][j]) <= confirm
+            apart = lambda x: np.bitwise_count(a[x][i] ^ b[x][j]).astype(np.int64)  # noqa: E731, B023
+            ok = (apart("pair") <= confirm[0]) & (apart("triple0") + apart("triple1") <= confirm[1])
             i, j = i[ok], j[ok]
             if forest:
                 group.link(i, j if low == high else j + len(a))
@@ -211,7 +220,7 @@ def _join(budget: int, confirm: int, forest: bool):
     return join
 
 
-def _edges(nodes: DataFrame, budget: int, confirm: int, forest: bool) -> DataFrame:
+def _edges(nodes: DataFrame, budget: int, confirm: tuple[int, int], forest: bool) -> DataFrame:
     """(a, b) ids of nodes within both budgets: all pairs, or a spanning forest of each task's."""
     n = nodes.count()
     bits = int(min(QUARTER, max(3, np.ceil(np.log2(max(n / BUCKET, 1))))))
@@ -219,8 +228,8 @@ def _edges(nodes: DataFrame, budget: int, confirm: int, forest: bool) -> DataFra
     masks = [sum(1 << i for i in c) for k in range(min(first, bits) + 1) for c in combinations(range(bits), k)]
     sig = "shiftleft(sig, {0}) | shiftrightunsigned(sig, 64 - {0})"
     turned = nodes.select(
-        "id", "chk", F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), (F.expr(sig.format(t * QUARTER)) if t else F.col("sig")).alias("sig")) for t in range(TURNS)])).alias("t")
-    ).select("id", "chk", "t.turn", "t.sig")
+        "id", *SIGS[1:], F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), (F.expr(sig.format(t * QUARTER)) if t else F.col("sig")).alias("sig")) for t in range(TURNS)])).alias("t")
+    ).select("id", *SIGS[1:], "t.turn", "t.sig")
     packed = (
         turned.withColumn("bucket", F.shiftrightunsigned("sig", 64 - bits).cast("int"))
         .groupBy("turn", "bucket").applyInArrow(_pack, "turn int, bucket int, nodes binary")
@@ -252,26 +261,23 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, confirm: int = CONFIRM) -> DataFrame:
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, confirm: tuple[int, int] = CONFIRM) -> DataFrame:
     """Every pair (doc_a < doc_b, bits) of documents whose word signatures differ in at most
-    ``budget`` bits and word-pair signatures in at most ``confirm``.
+    ``budget`` bits, and their word-pair and word-triple signatures in at most ``confirm``.
 
     Null ids, null texts and texts without words meet nobody. Rows that repeat an id count as one
     document; if their texts differ, each text is compared. Other columns are ignored.
     """
     signed = durable(sign(docs, id_col, text_col).distinct())
-    nodes = durable(signed.groupBy("sig", "chk").agg(F.min("doc_id").alias("id")))
-    pairs = _edges(nodes, budget, confirm, False).distinct()
-    x, y = nodes.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("chk").alias("ca")), nodes.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("chk").alias("cb"))
-    one = signed.select(F.col("doc_id").alias("da"), F.col("sig").alias("sa"), F.col("chk").alias("ca"))
-    two = signed.select(F.col("doc_id").alias("db"), F.col("sig").alias("sb"), F.col("chk").alias("cb"))
-    apart = pairs.join(x, "a").join(y, "b").join(one, ["sa", "ca"]).join(two, ["sb", "cb"])
-    equal = one.join(two, (F.col("sa") == F.col("sb")) & (F.col("ca") == F.col("cb")))
-    found = apart.select("da", "db", "sa", "sb").union(equal.select("da", "db", "sa", "sb")).where("da <> db")
+    nodes = durable(signed.groupBy(*SIGS).agg(F.min("doc_id").alias("id")))
+    members = signed.join(nodes, [*SIGS]).select("id", "doc_id", "sig")
+    one, two = (members.select(F.col("id").alias(x), F.col("doc_id").alias(f"d{x}"), F.col("sig").alias(f"s{x}")) for x in ("a", "b"))
+    pairs = _edges(nodes, budget, confirm, False).union(nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))).distinct()
+    found = pairs.join(one, "a").join(two, "b").where("da <> db")
     return found.groupBy(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b")).agg(F.min(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))).cast("int").alias("bits"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, confirm: int = CONFIRM) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, confirm: tuple[int, int] = CONFIRM) -> DataFrame:
     """(doc_id, keep_id) of every document that is a near copy of another, but the one kept.
 
     Groups are the connected components of near_pairs; the least id of a group stays and is the
@@ -280,13 +286,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives none. Texts of any length are read whole. Other columns are ignored.
     """
     signed = durable(sign(docs, id_col, text_col))
-    nodes = durable(signed.groupBy("sig", "chk").agg(F.min("doc_id").alias("id")))
-    same = signed.join(nodes, ["sig", "chk"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    nodes = durable(signed.groupBy(*SIGS).agg(F.min("doc_id").alias("id")))
+    same = signed.join(nodes, [*SIGS]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     roots = components(_edges(nodes, budget, confirm, True).union(same))
     return roots.where("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("keep_id"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, confirm: int = CONFIRM) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, confirm: tuple[int, int] = CONFIRM) -> DataFrame:
     """``docs``, of each near-copy group only the rows of its least id; columns as they came."""
     drop = fresh(docs, "drop_id")
     gone = near_groups(docs, id_col, text_col, budget, confirm).select(F.col("doc_id").alias(drop))

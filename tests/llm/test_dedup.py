@@ -74,9 +74,13 @@ def test_trie_join_is_exact(budget):
 def brute(texts, budget=simhash.BUDGET, confirm=simhash.CONFIRM):
     """All pairs within both budgets, and the least id of each component."""
     ids = sorted(texts)
-    some, a, b = simhash.signatures(pa.array([texts[i] for i in ids], pa.string()))
+    some, (a, b, c, d) = simhash.signatures(pa.array([texts[i] for i in ids], pa.string()))
     ids = [i for i, s in zip(ids, some) if s]
-    pairs = {(ids[k], ids[m]) for k in range(len(ids)) for m in range(k + 1, len(ids)) if int(a[k] ^ a[m]).bit_count() <= budget and int(b[k] ^ b[m]).bit_count() <= confirm}
+    apart = lambda x, k, m: int(x[k] ^ x[m]).bit_count()
+    pairs = {
+        (ids[k], ids[m]) for k in range(len(ids)) for m in range(k + 1, len(ids))
+        if apart(a, k, m) <= budget and apart(b, k, m) <= confirm[0] and apart(c, k, m) + apart(d, k, m) <= confirm[1]
+    }
     root = {i: i for i in ids}
 
     def find(i):
@@ -97,6 +101,32 @@ def test_near_groups_and_pairs_against_brute_force(spark):
     assert {(r.doc_id, r.keep_id) for r in simhash.near_groups(docs).collect()} == {(i, r) for i, r in root.items() if i != r}
 
 
+def test_signatures_against_plain_sums():
+    texts = ["one", "one two", "a b a c", "x y z x y z w", None, "!", "long " * 3000]
+    some, (words_, pairs, first, second) = simhash.signatures(pa.array(texts, pa.string()))
+    from siftspark.llm.common import chain, hash_strings, mix
+
+    def sign(hashes, weights):
+        total = sum(w * (np.unpackbits(np.array([x], np.uint64).view(np.uint8)).astype(float) * 2 - 1) for x, w in zip(hashes, weights))
+        return np.packbits(total > 0).view("<u8")[0]
+
+    at = 0
+    for text in texts:
+        w = (text or "").replace("!", "").split()
+        if not w:
+            continue
+        h = hash_strings(pa.array(w))
+        distinct = sorted(set(w))
+        assert words_[at] == sign([hash_strings(pa.array([x]))[0] for x in distinct], [np.float32(np.sqrt(w.count(x))) for x in distinct])
+        for n, seeds, got in ((2, [0], [pairs]), (3, [0, 0x9E3779B97F4A7C15], [first, second])):
+            runs = [[*h[k : k + n]] for k in range(max(1, len(w) - n + 1))]
+            grams = [chain(*(np.array([x], np.uint64) for x in (r + [0] * n)[:n]))[0] for r in runs]
+            for seed, g in zip(seeds, got):
+                assert g[at] == sign([mix(np.array([x ^ np.uint64(seed)]))[0] if seed else x for x in grams], [1] * len(grams))
+        at += 1
+    assert at == int(some.sum()) == 5
+
+
 def test_near_copies_of_edited_texts(spark):
     rng = np.random.default_rng(1)
     vocabulary = [f"w{k}" for k in range(4000)]

@@ -99,12 +99,12 @@ def rewards(t):
 
 @query(
     "agg5_penalty_summary",
-    """with p as (select user_id, case when event_type = 'error' then greatest(0e0, 1 - value / 1e2) else 0e0 end p from events) select user_id, count(*) filter (p > 0) triggered, count(*) total, round(max(p), 6) most, round(avg(p), 6) mean from p group by 1 having count(*) filter (p > 0) > 0""",
+    """with p as (select user_id, case when event_type = 'error' then greatest(0e0, 1 - value / 1e2) else 0e0 end p from events) select user_id, count(*) filter (p > 0) triggered, count(*) total, round(max(p) + 1e-9, 6) most, round(avg(p) + 1e-9, 6) mean from p group by 1 having count(*) filter (p > 0) > 0""",
 )
 def penalties(t):
     p = F.when(F.col("event_type") == "error", F.greatest(F.lit(0.0), 1 - F.col("value") / 100)).otherwise(0.0)
     out = scoring.penalty_summary(t.events.withColumn("p", p), "user_id", "p")
-    return out.select("user_id", "triggered", "total", F.round("most", 6).alias("most"), F.round("mean", 6).alias("mean"))
+    return out.select("user_id", "triggered", "total", F.round(F.col("most") + 1e-9, 6).alias("most"), F.round(F.col("mean") + 1e-9, 6).alias("mean"))
 
 
 MODE_SQL = "case event_type when 'view' then 'fast' when 'click' then 'balanced' when 'purchase' then 'deep' end"
@@ -170,13 +170,13 @@ def routing(t):
     "agg6_agg7_scr19_final_scores",
     """with r as (select event_id, least(1e0, value / 1e2) c, (user_id % 10) / 1e1 s, event_id % 6 = 0 o, case when event_id % 7 = 0 then 5e-1 else 0e0 end p1, (event_id % 4) / 1e1 p2, (event_id % 3) / 2e0 perf from events),
     x as (select *, (case when o then c else 6e-1 * c + 4e-1 * s end) * (1 - p1) * (1 - p2) r from r)
-    select event_id, round(r * perf, 6) weight_score, round(case when c < 3e-1 or (not o and s < 3e-1) then 0 else r end, 6) gate_score from x""",
+    select event_id, round(r * perf + 1e-9, 6) weight_score, round(case when c < 3e-1 or (not o and s < 3e-1) then 0 else r end + 1e-9, 6) gate_score from x""",
 )
 def finals(t):
     c, s, o = F.least(F.lit(1.0), F.col("value") / 100), (F.col("user_id") % 10) / 10, F.col("event_id") % 6 == 0
     left = scoring.penalty_product(F.when(F.col("event_id") % 7 == 0, 0.5).otherwise(0.0), (F.col("event_id") % 4) / 10)
     w, g = scoring.final_scores(c, s, o, (F.col("event_id") % 3) / 2, left, F.lit(True))
-    return t.events.select("event_id", F.round(w, 6).alias("weight_score"), F.round(g, 6).alias("gate_score"))
+    return t.events.select("event_id", F.round(w + 1e-9, 6).alias("weight_score"), F.round(g + 1e-9, 6).alias("gate_score"))
 
 
 @query("stm11_hourly_windows", "select date_trunc('hour', ts) as hour, count(*) n, round(sum(value), 4) total from events group by 1")

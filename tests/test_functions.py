@@ -136,3 +136,26 @@ def test_operator_parser(spark):
     o = evidence.parse_operators(F.lit("Cats from:Bob min_faves:12 min_retweets:x since:2024-01-01 filter:images"))
     got = {k: value(spark, v) for k, v in o.items()}
     assert got["from"] == "bob" and got["min_faves"] == 12 and got["min_retweets"] is None and got["since"] == "2024-01-01" and got["has_images"] and not got["has_videos"]
+
+
+def test_tokenizer_count(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    from siftspark.functions import documents
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    texts = ["Hello there", "", None, "<|endoftext|> é 漢字"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", documents.tokenizer_count(F.col("t"), path).alias("n"))
+    t = tokenizers.Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    assert {r.k: r.n for r in got.collect()} == {k: len(t.encode(x or "", add_special_tokens=False).ids) for k, x in enumerate(texts)}
+
+
+def test_free_json(spark):
+    from siftspark.functions import documents
+
+    assert value(spark, documents.drop_keys(F.lit('{"a": [{"x": 1, "b": 2}]}'), ("x",))) == '{"a":[{"b":2}]}'
+    assert value(spark, documents.drop_keys(F.lit("broken {"), ("x",))) == "broken {"
+    assert value(spark, documents.first_difference(F.lit('{"a": 1}'), F.lit('{"a": 1, "b": null}'))) is None
+    assert value(spark, documents.first_difference(F.lit('{"a": {"b": [1, 2]}}'), F.lit('{"a": {"b": [1, 3]}}'))) == "a.b[1]"
+    text_ = "[x](https://www.A.com/p/) and [y](http://other)"
+    assert value(spark, documents.renumber(F.lit(text_), F.array(F.lit("https://a.com/p"), F.lit("z"), F.lit("https://a.com/p")))) == "[3](https://www.A.com/p/) and [y](http://other)"

@@ -23,20 +23,21 @@ CHUNK = 1 << 19  # node pairs held at once
 
 
 def _majority(bits: np.ndarray, weight: np.ndarray | None, start: np.ndarray) -> np.ndarray:
-    """The packed sign of the weighted sum of +-1 rows in each run."""
-    out = np.empty(len(start), np.uint64)
+    """The packed sign of the weighted sum of +-1 rows in each run. Weights are whole numbers and
+    sums stay exact, so the order of adding can't matter."""
+    total = np.empty((len(start), 64))
     ends = np.r_[start[1:], len(bits)]
     step = 0
     while step < len(start):  # about 64 K rows at once
         stop = max(step + 1, int(np.searchsorted(ends, start[step] + 65536, "right")))
-        a, b = start[step], ends[stop - 1]
-        signed = np.unpackbits(bits[a:b].view(np.uint8)).reshape(-1, 64).astype(np.float32) * np.float32(2) - np.float32(1)
-        if weight is not None:
-            signed *= weight[a:b, None]
-        total = np.add.reduceat(signed, start[step:stop] - a, axis=0)
-        out[step:stop] = np.packbits(total > 0, axis=1).view("<u8")[:, 0]
+        a, b = int(start[step]), int(ends[stop - 1])
+        w = np.ones(b - a) if weight is None else weight[a:b]
+        kind = np.float32 if w.sum() < 1 << 24 else np.float64
+        ones, w = np.unpackbits(bits[a:b].view(np.uint8)).reshape(-1, 64).astype(kind), w.astype(kind)
+        for k, (x, y) in enumerate(zip((start[step:stop] - a).tolist(), (ends[step:stop] - a).tolist()), step):
+            total[k] = 2.0 * (w[x:y] @ ones[x:y]) - w[x:y].sum(dtype=np.float64)
         step = stop
-    return out
+    return np.packbits(total > 0, axis=1).view("<u8")[:, 0]
 
 
 def _grams(h: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +53,8 @@ def _grams(h: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(text: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Whether each text has words, and of those that do the signature of the words (weight sqrt
-    of the count), and, to confirm with, that of word pairs and two of word triples."""
+    """Whether each text has words, and of those that do the signature of the words (weight 16 sqrt
+    of the count, rounded), and, to confirm with, that of word pairs and two of word triples."""
     codes, ends, vocabulary = words(text)
     lengths = np.diff(ends)
     some = lengths > 0
@@ -64,7 +65,7 @@ def signatures(text: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     size = np.int64(len(hashed))
     key, n = np.unique(doc * size + codes, return_counts=True)
     start = np.flatnonzero(np.r_[True, np.diff(key // size) > 0])
-    out = [_majority(hashed[key % size], np.sqrt(n).astype(np.float32), start)]
+    out = [_majority(hashed[key % size], np.rint(16 * np.sqrt(n)), start)]
     h = hashed[codes]
     for n_words, seeds in ((2, (0,)), (3, (0, 0x9E3779B97F4A7C15))):
         grams, start = _grams(h, ends, n_words)

@@ -76,20 +76,19 @@ def deduce(pages: list[list[str]]) -> list[list[str]]:
         order = np.argsort(places.mean(0))
         names = [names[k] for k in order]
         places = places[:, order]
-        while len(names) >= CLASS_SIZE:
-            wrong = (places[:, :, None] > places[:, None, :]).any(0)
-            wrong = np.triu(wrong, 1)
-            if len(places) > 1:  # an instance ends before the next begins
-                late = places[:-1, :, None] > places[1:, None, :]
-                wrong |= late.any(0)
-            wrong |= wrong.T
-            np.fill_diagonal(wrong, False)
-            n = wrong.sum(0)
-            if not n.any():
-                break
-            worst = int(n.argmax())
-            names.pop(worst)
-            places = np.delete(places, worst, 1)
+        wrong = np.zeros((len(names), len(names)), bool)  # pairs that some instance has out of order
+        rows = max(1, (1 << 25) // len(names) ** 2)
+        for k in range(0, len(places), rows):
+            part = places[k : k + rows]
+            wrong |= np.triu((part[:, :, None] > part[:, None, :]).any(0), 1)
+            then = places[k + 1 : k + 1 + rows]  # an instance ends before the next begins
+            wrong |= (part[: len(then), :, None] > then[:, None, :]).any(0)
+        wrong |= wrong.T
+        np.fill_diagonal(wrong, False)
+        kept = np.arange(len(names))
+        while len(kept) >= CLASS_SIZE and (n := wrong[np.ix_(kept, kept)].sum(0)).any():
+            kept = np.delete(kept, int(n.argmax()))
+        names, places = [names[k] for k in kept], places[:, kept]
         if len(names) >= CLASS_SIZE:
             valid.append((names, places, vector))
     valid.sort(key=lambda c: (-len(c[2]), sum(n for _, n in c[2]), -len(c[0])))

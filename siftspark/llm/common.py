@@ -14,6 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_BYTES = 32 << 20  # ids up to this size are broadcast; beyond, both sides shuffle
 SLICE_BYTES = 6 << 20  # text handled at once in a Python worker; bounds its memory, not the work
 
 
@@ -43,6 +44,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose id isn't in the one column of ``gone``; null ids stay."""
+    drop = fresh(docs, "drop_id")
+    gone = durable(gone.toDF(drop))
+    if gone.count() * 8 <= broadcast_bytes:
+        gone = F.broadcast(gone)
+    return docs.join(gone, col(id_col).cast("long") == col(drop), "left_anti")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chain, col, fresh, hash_strings, slices, strings, words
+from .common import chain, col, hash_strings, slices, strings, without_ids, words
 
 SEED = 3  # words in a seed; an item with fewer is its own seed
 RARE_SHARE = 1e-3  # a seed is rare in at most this share of the documents
@@ -153,9 +153,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """``docs`` without those that hold a benchmark item; columns as they came."""
-    drop = fresh(docs, "drop_id")
-    gone = leaks(docs, benchmark, id_col, **how).select(F.col("doc_id").alias(drop)).distinct()
-    return docs.join(gone, col(id_col).cast("long") == F.col(drop), "left_anti")
+    return without_ids(docs, id_col, leaks(docs, benchmark, id_col, **how).select("doc_id").distinct())
 
 
 def benchmark_leaks(spark, sf_dir: str) -> DataFrame:

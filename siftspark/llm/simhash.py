@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chain, col, durable, fresh, hash_strings, mix, slices, words
+from .common import chain, col, durable, hash_strings, mix, slices, without_ids, words
 
 BUDGET = 11  # differing bits allowed between two word signatures
 CONFIRM = (18, 38)  # differing bits allowed between the same texts' word-pair signatures (64 bits) and word-triple ones (128)
@@ -295,9 +295,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, confirm: tuple[int, int] = CONFIRM) -> DataFrame:
     """``docs``, of each near-copy group only the rows of its least id; columns as they came."""
-    drop = fresh(docs, "drop_id")
-    gone = near_groups(docs, id_col, text_col, budget, confirm).select(F.col("doc_id").alias(drop))
-    return docs.join(gone, col(id_col).cast("long") == F.col(drop), "left_anti")
+    return without_ids(docs, id_col, near_groups(docs, id_col, text_col, budget, confirm).select("doc_id"))
 
 
 def simhash_groups(spark, sf_dir: str) -> DataFrame:

@@ -39,3 +39,11 @@ def test_slices_keep_all_rows():
 def test_fresh_ignores_case(spark):
     df = spark.createDataFrame([(1, 2)], "Shard int, shard_ int")
     assert common.fresh(df, "shard") == "shard__"
+
+
+def test_without_ids_either_way(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "d")], "doc_id long, drop_id string")
+    gone = spark.createDataFrame([(2,), (9,)], "doc_id long")
+    for limit in (0, 1 << 20):
+        out = common.without_ids(docs, "doc_id", gone, limit)
+        assert out.columns == docs.columns and sorted(r.drop_id for r in out.collect()) == ["a", "c"]

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from .common import chain, col, hash_strings, slices, strings, without_ids, words
 
 SEED = 3  # words in a seed; an item with fewer is its own seed
-RARE_SHARE = 1e-3  # a seed is rare in at most this share of the documents
-RARE_LEAST = 8  # an item's rarest seeds that count in any case, with all that tie
 MATCH, MISMATCH, GAP = 2, -1, -1
 SHARE = 0.5  # of an item's full score from which a document counts as contaminated
 INDEX_BYTES = 64 << 20  # benchmark text indexed and broadcast at once; more takes further passes
@@ -59,19 +57,6 @@ def _hits(index: dict, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return w, ends, found["d"], found["k"]
 
 
-def _count(shared):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        unique = np.unique(index["key"])
-        n = np.zeros(len(unique), np.int64)
-        for batch in slices(batches, 0):
-            n += np.bincount(np.searchsorted(unique, _hits(index, batch.column(0))[3]), minlength=len(unique))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(unique[at].view(np.int64)), pa.array(n[at])], ["key", "n"])
-
-    return count
-
-
 def local_score(text: np.ndarray, item: np.ndarray) -> int:
     """The best Smith-Waterman score of a local alignment of two word sequences."""
     slope = np.arange(len(text) + 1, dtype=np.int32) * -GAP
@@ -86,9 +71,27 @@ def local_score(text: np.ndarray, item: np.ndarray) -> int:
     return best
 
 
+def stretches(text: np.ndarray, item: np.ndarray, least: float) -> list[np.ndarray]:
+    """The parts of a text outside which no local alignment reaches ``least``.
+
+    Each word of the text in an alignment adds MATCH at most if the item has it, and takes at
+    least 1 off else. Where that sum falls to a new low, what came before adds nothing.
+    """
+    item = np.unique(item)
+    place = np.minimum(np.searchsorted(item, text), len(item) - 1)
+    total = np.cumsum(np.where(item[place] == text, MATCH, max(MISMATCH, GAP)))
+    over = total - np.minimum.accumulate(np.minimum(total, 0))
+    start = np.r_[0, np.flatnonzero(over == 0) + 1]
+    start = start[start < len(text)]
+    best = np.maximum.reduceat(over, start) if len(start) else start
+    end = np.r_[start[1:], len(text)]
+    return [text[a:b] for a, b in zip(start[best >= least], end[best >= least])]
+
+
 def _align(shared, share: float):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        scored: dict[tuple[int, bytes], int] = {}  # equal stretches, as copies have, are aligned once
         for batch in slices(batches, 1):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             w, ends, docs, keys = _hits(index, batch.column(1))
@@ -99,8 +102,16 @@ def _align(shared, share: float):
             rows = []
             for d, i in zip(pairs // len(index["items"]), pairs % len(index["items"])):
                 item = index["items"][i]
-                score = local_score(w[ends[d] : ends[d + 1]], item)
-                if score >= (share if len(item) >= SEED else 1) * MATCH * len(item):
+                least = (share if len(item) >= SEED else 1) * MATCH * len(item)
+                score = 0
+                for part in stretches(w[ends[d] : ends[d + 1]], item, least):
+                    key = int(i), part.tobytes()
+                    if key not in scored:
+                        if len(scored) > 10_000:
+                            scored.clear()
+                        scored[key] = local_score(part, item)
+                    score = max(score, scored[key])
+                if score >= least:
                     rows.append((ids[d], index["ids"][i], score, score / (MATCH * len(item))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], ["doc_id", "item_id", "score", "share"])
@@ -110,42 +121,23 @@ def _align(shared, share: float):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(doc_id, item_id, score, share) of every document that holds a benchmark item, perhaps
-    edited: some rare n-gram in common, and a local alignment of all the document's words with
+    edited: some n-gram in common, and a local alignment of all the document's words with
     the item's that reaches ``share`` of the score of the whole item. Items of fewer than SEED
     words must occur whole.
 
-    How often an n-gram occurs is counted over all documents. The benchmark is indexed in parts
-    of ``index_bytes``, one pass over the documents for each. Null ids, null texts and texts or
+    No n-gram is too frequent to count. The benchmark is indexed in parts of ``index_bytes``, one
+    pass over the documents for each. Null ids, null texts and texts or
     items without words give nothing; rows that repeat an id give their best score; items that
     repeat an id count apart and give their best; other columns are ignored.
     """
     spark = docs.sparkSession
     narrow = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     items = benchmark.select(col(item_col).cast("long").alias("i"), col(item_text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    size, total = items.agg(F.sum(F.octet_length("t")), F.count("*")).first()
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0]
     out = None
-    n_docs = narrow.count() if total else 0
     for part in range(max(1, -(-(size or 0) // index_bytes))):
         rows = items.where(F.pmod(F.xxhash64("i"), F.lit(max(1, -(-(size or 0) // index_bytes)))) == part).toArrow()
         index = build_index(rows.column("i").to_pylist(), strings(rows.column("t")).to_pylist())
-        all_grams = spark.sparkContext.broadcast(index)
-        counted = narrow.select("text").mapInArrow(_count(all_grams), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-        key = counted.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        key, n = key[order], counted.column("n").to_numpy()[order]
-        frequency = np.zeros(len(index["key"]), np.int64)
-        if len(key):
-            at = np.minimum(np.searchsorted(key, index["key"]), len(key) - 1)
-            frequency = np.where(key[at] == index["key"], n[at], 0)
-        seen = frequency > 0  # the others can't meet any document
-        keep = seen & (frequency <= max(1, RARE_SHARE * n_docs))
-        by_item = np.lexsort((frequency, index["owner"]))
-        by_item = by_item[seen[by_item]]
-        start = np.flatnonzero(np.r_[True, np.diff(index["owner"][by_item]) > 0]) if len(by_item) else np.zeros(0, int)
-        for a, b in zip(start, np.r_[start[1:], len(by_item)]):
-            mine = by_item[a:b]
-            keep[mine[frequency[mine] <= frequency[mine[min(RARE_LEAST, len(mine)) - 1]]]] = True
-        index["key"], index["owner"] = index["key"][keep], index["owner"][keep]
         found = narrow.mapInArrow(_align(spark.sparkContext.broadcast(index), share), "doc_id long, item_id long, score int, share double")
         out = found if out is None else out.unionAll(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("share").alias("share"))

@@ -76,6 +76,22 @@ def test_leak_edges(spark):
     assert decontaminate.leaks(docs, bench.where("false")).count() == 0 and decontaminate.leaks(docs.where("false"), bench).count() == 0
 
 
+def test_many_half_copies_beside_a_whole_one(spark):
+    item = [f"word{k}" for k in range(20)]
+    rows = [(0, " ".join(item))] + [(k, " ".join([f"pad{k}", *item[:12], f"end{k}"])) for k in range(1, 31)] + [(99, " ".join(item[:9]))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id: r.score for r in decontaminate.leaks(docs, bench).collect()} == {0: 40} | dict.fromkeys(range(1, 31), 24)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=40), st.lists(st.integers(0, 4), min_size=1, max_size=12), st.integers(1, 20))
+def test_stretches_hold_every_alignment(text, item, least):
+    text, item = np.array(text, np.uint64), np.array(item, np.uint64)
+    best = decontaminate.local_score(text, item)
+    got = max([0, *(decontaminate.local_score(x, item) for x in decontaminate.stretches(text, item, least))])
+    assert got == best if best >= least else got < least
+
+
 def test_verbatim_items_are_all_found(spark):
     docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     texts, items = {r.doc_id: r.text for r in docs.collect()}, {r.item_id: r.text for r in bench.collect()}

@@ -11,10 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, slices, words
+from .common import col, durable, slices, words
 
 SEEDS = ("adult", "ads", "bet", "bets", "casino", "loan", "loans", "pills", "poker", "porn", "sex", "spam", "viagra", "xxx")
-SHARE = 1e-6  # of all words of the corpus, from which a word is in the dictionary: a million words at most
 LONGEST = 24  # letters of a dictionary word
 ALPHA = 1.0  # added to each token's count
 _URL = re.compile(r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)")
@@ -77,81 +76,97 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([vocabulary.cast(pa.string()), pa.array([""], pa.string())]), pa.array(np.r_[n, len(codes)])], ["w", "n"])
 
 
-def dictionary(corpus: DataFrame, text_col: str = "text", share: float = SHARE, seeds: tuple[str, ...] = SEEDS) -> tuple[dict[str, float], float]:
-    """The cost -log p of every frequent word, of all words of the corpus, and their number. Seeds
-    that are rarer count as the rarest word of the dictionary."""
+def word_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
+    """(w, n) of every word of the corpus that a name can hold; the empty word has the number of all words."""
     narrow = corpus.select(col(text_col).cast("string").alias("t")).where("t is not null")
-    counted = narrow.mapInArrow(_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    whole = counted.agg(F.max(F.when(F.col("w") == "", F.col("n"))).alias("total"))
-    kept = counted.join(F.broadcast(whole)).where((F.col("n") >= F.lit(share) * F.col("total")) & (F.char_length("w") <= LONGEST)).toArrow()
-    rows = dict(zip(kept.column("w").to_pylist(), kept.column("n").to_pylist()))
-    total = max(rows.pop("", 0), 1) + 10.0
-    rows = {w: n for w, n in rows.items() if not any(c.isdigit() for c in w)}
-    least = max(1.0, share * total)
+    short = narrow.mapInArrow(_words, "w string, n long").where((F.char_length("w") <= LONGEST) & ~F.col("w").rlike(r"\p{Nd}"))
+    return short.groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def costs(counts: dict[str, int], total: float, seeds: tuple[str, ...] = SEEDS) -> dict[str, float]:
+    """The cost -log p of each word. Seeds that the corpus lacks count once."""
+    rows = {w: n for w, n in counts.items() if not any(c.isdigit() for c in w)}
     for s in seeds:
-        rows[s] = max(rows.get(s, 0), least)
-    return {w: log(total) - log(n) for w, n in rows.items()}, total
+        rows[s] = max(rows.get(s, 0), 1)
+    return {w: log(total) - log(n) for w, n in rows.items()}
 
 
-def _tokens(shared, seeds):
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(*shared.value)
-        for batch in batches:
-            count: dict[tuple[str, bool], int] = {}
-            for url in batch.column(0).to_pylist():
-                host, path = split.tokens(url)
-                bad = not seeds.isdisjoint(host) or not seeds.isdisjoint(path)
-                for t in (*(f"h:{w}" for w in host), *(f"p:{w}" for w in path), ""):  # "" counts the URLs
-                    count[t, bad] = count.get((t, bad), 0) + 1
-            if count:
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in count]), pa.array([b for _, b in count]), pa.array(list(count.values()), pa.int64())], ["token", "bad", "n"])
+def dictionary(corpus: DataFrame, text_col: str = "text", seeds: tuple[str, ...] = SEEDS) -> tuple[dict[str, float], float]:
+    """All words' costs on the driver, and the number of words; for a corpus that one machine holds."""
+    rows = {r.w: r.n for r in word_counts(corpus, text_col).collect()}
+    total = max(rows.pop("", 0), 1) + 10.0
+    return costs(rows, total, seeds), total
 
-    return apply
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The names of each URL's host and path in order, before them a row without name."""
+    for batch in batches:
+        urls, n, path, at, names = [], [], [], [], []
+        for url, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if not url.strip():
+                continue
+            found = [(False, None)] + [(p, "#" if x[0].isdigit() else x) for p, part in enumerate(_URL.match(url).groups()) for x in _SPLIT.findall(part.lower())]
+            urls += [url] * len(found)
+            n += [k] * len(found)
+            path += [bool(p) for p, _ in found]
+            at += range(len(found))
+            names += [x for _, x in found]
+        yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(n, pa.int64()), pa.array(path, pa.bool_()), pa.array(at, pa.int32()), pa.array(names, pa.string())], ["url", "n", "path", "at", "name"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All that may be a word in each name."""
+    for batch in batches:
+        for name in batch.column(0).to_pylist():
+            found = list({name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + LONGEST) + 1)})
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string())], ["name", "w"])
 
 
-def _score(words_, bayes):
+def _segment(total: float, seeds: tuple[str, ...]):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, (ratio, prior, unseen) = Splitter(*words_.value), bayes.value
         for batch in batches:
-            hosts, paths, scores = [], [], []
-            for url in batch.column(1).to_pylist():
-                if url is None or not url.strip():
-                    hosts.append(None), paths.append(None), scores.append(None)
-                    continue
-                host, path = split.tokens(url)
-                hosts.append(" ".join(host)), paths.append(" ".join(path))
-                scores.append(prior + sum(ratio.get(f"h:{w}", unseen) for w in host) + sum(ratio.get(f"p:{w}", unseen) for w in path))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64()), pa.array([s is not None and s > 0 for s in scores])], ["page_id", "host_words", "path_words", "log_odds", "blocked"])
+            split = [segment(name, costs({x["w"]: x["n"] for x in known}, total, seeds), total) for name, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(split, pa.list_(pa.string()))], ["name", "words"])
 
     return apply
 
 
-def filter_urls(pages: DataFrame, corpus: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "text", seeds: tuple[str, ...] = SEEDS, share: float = SHARE) -> DataFrame:
+def filter_urls(pages: DataFrame, corpus: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "text", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """(page_id, host_words, path_words, log_odds, blocked) of every row of ``pages``.
 
-    Word frequencies are those of all of ``corpus``. URLs in whose host or path the split finds a
+    Word frequencies are those of all of ``corpus``, of rare words too: each distinct name of the
+    URLs meets the counts of the words it can hold. URLs in whose host or path the split finds a
     seed word are the unwanted examples, all others the wanted ones; token counts of all URLs make
     the naive Bayes model, and a URL is blocked when its log odds of being unwanted are above 0.
-    Tokens that make up less than ``share`` of the URL tokens aren't in the model. Null and blank
-    URLs have null results and aren't blocked; where no URL has a seed, none is. The query string
-    and the fragment aren't looked at. Repeated rows are scored each; other columns are ignored.
+    Null and blank URLs have null results and aren't blocked; where no URL has a seed, none is. The
+    query string and the fragment aren't looked at. Repeated rows are scored each; other columns
+    are ignored.
     """
-    context = pages.sparkSession.sparkContext
-    shared = context.broadcast(dictionary(corpus, text_col, share, seeds))
     narrow = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url"))
-    some = narrow.select("url").where("url is not null and trim(url) <> ''")
-    counted = some.mapInArrow(_tokens(shared, frozenset(seeds)), "token string, bad boolean, n long").groupBy("token").agg(
-        F.sum(F.when(~F.col("bad"), F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad")
-    )
-    whole = counted.agg(F.sum(F.when(F.col("token") != "", F.col("good") + F.col("bad"))).alias("total"))
-    rows = counted.join(F.broadcast(whole)).where((F.col("token") == "") | (F.col("good") + F.col("bad") >= F.lit(share) * F.col("total"))).toArrow().to_pylist()
-    table = {r["token"]: (r["good"], r["bad"]) for r in rows}
-    good, bad = table.pop("", (0, 0))
-    all_good, all_bad = (sum(v[k] for v in table.values()) + ALPHA * (len(table) + 1) for k in (0, 1))
-    ratio = {t: log((b + ALPHA) / all_bad) - log((g + ALPHA) / all_good) for t, (g, b) in table.items()}
+    distinct = narrow.where("url is not null").groupBy("url").count()
+    named = durable(distinct.mapInArrow(_names, "url string, n long, path boolean, at int, name string"))
+    counts = durable(word_counts(corpus, text_col))
+    every = counts.where("w = ''").first()
+    total = max(every.n if every else 0, 1) + 10.0
+    held = named.where("name <> '#'").select("name").distinct().mapInArrow(_parts, "name string, w string").join(counts, "w", "left")
+    known = held.groupBy("name").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("w", "n"))).alias("known"))
+    split = known.mapInArrow(_segment(total, seeds), "name string, words array<string>")
+    part = F.struct("at", "path", F.when(F.col("name") == "#", F.array(F.lit("#"))).otherwise(F.col("words")).alias("words"))
+    whole = named.join(split, "name", "left").groupBy("url", "n").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    side = lambda path: F.flatten(F.transform(F.filter("parts", lambda x: x.words.isNotNull() & (x.path == path)), lambda x: x.words))
+    whole = whole.select("url", "n", side(False).alias("host"), side(True).alias("path"))
+    whole = durable(whole.withColumn("bad", F.arrays_overlap(F.concat("host", "path"), F.array(*map(F.lit, seeds)).cast("array<string>"))))
+    tokens = whole.select("url", "n", "bad", F.explode(F.concat(F.transform("host", lambda x: F.concat(F.lit("h:"), x)), F.transform("path", lambda x: F.concat(F.lit("p:"), x)))).alias("token"))
+    sums = lambda df: df.agg(F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("g"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"))
+    model = durable(sums(tokens.groupBy("token")))
+    size, all_good, all_bad = model.agg(F.count("*"), F.coalesce(F.sum("g"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    good, bad = (x or 0 for x in sums(whole).first())
     prior = log(bad / good) if bad and good else (-1e9 if not bad else 1e9)
-    bayes = context.broadcast((ratio, prior, 0.0))  # a token outside the model says nothing
-    return narrow.mapInArrow(_score(shared, bayes), "page_id long, host_words string, path_words string, log_odds double, blocked boolean")
+    ratio = F.log((F.col("b") + ALPHA) / (all_bad + ALPHA * (size + 1))) - F.log((F.col("g") + ALPHA) / (all_good + ALPHA * (size + 1)))
+    odds = tokens.select("url", "token").join(model.select("token", ratio.alias("ratio")), "token").groupBy("url").agg(F.sum("ratio").alias("odds"))
+    score = F.lit(prior) + F.coalesce("odds", F.lit(0.0))
+    scored = whole.join(odds, "url", "left").select("url", F.concat_ws(" ", "host").alias("host_words"), F.concat_ws(" ", "path").alias("path_words"), score.alias("log_odds"))
+    return narrow.join(scored, "url", "left").select("page_id", "host_words", "path_words", "log_odds", F.coalesce(F.col("log_odds") > 0, F.lit(False)).alias("blocked"))
 
 
 def page_urls(spark, sf_dir: str) -> DataFrame:

@@ -250,6 +250,14 @@ def test_url_filter_against_plain_bayes(spark):
     assert urls.filter_urls(pages, corpus.where("false")).count() == len(rows)
 
 
+def test_rare_words_and_tokens_count_at_any_size(spark):
+    corpus = spark.createDataFrame([("pad " * 100_000,)] * 21 + [("quagga zebroid",)], "text string")  # a word in two million
+    urls_ = [(0, "http://quaggazebroid.org/")] + [(k, "http://pad.org/casino") for k in range(1, 4)]
+    pages = spark.createDataFrame(urls_, "page_id long, url string")
+    got = {r.page_id: r.host_words for r in urls.filter_urls(pages, corpus).collect()}
+    assert got[0] == "quagga zebroid org" and got[1] == "pad org"
+
+
 def page(title, paragraphs, links):
     nav = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in links)
     return f'<!DOCTYPE html><html><head><title>{title}</title><script>var t="</p>";</script></head><body><nav class="top"><ul>{nav}</ul></nav><article><h1>{title}</h1>' + "".join(f"<p>{p}" for p in paragraphs) + '</article><footer>Copyright of the example site</footer></body></html>'

@@ -13,7 +13,7 @@ from .common import chain, col, fitted, hash_strings, slices, strings, words
 
 TRAIN_ROWS = 5000  # labelled documents of each class that the models are fitted on, by least id hash
 OWN_DISCOUNT = 1.5  # of the contexts that a class itself has for a word
-PAIR_DISCOUNT = 8.0  # of the counts of word pairs, which both classes share
+PAIR_DISCOUNTS = (0.75, 1.5, 3.0, 8.0, 24.0, np.inf)  # of a class's own counts of word pairs; held-out texts choose one
 SHARED = 0.98  # of the toxic model, the least share left to backoff
 START = np.uint64(1)  # stands before the first word of a text
 
@@ -29,38 +29,40 @@ def _bigrams(w: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(texts: pa.Array, toxic: np.ndarray) -> dict:
     """The two classes' models over one vocabulary, and the margin that parts held-out texts.
 
-    A fifth of the texts is held out for the margin; the models are then fitted on all.
+    A fifth of the texts is held out for the discount of pairs and the margin; the models are then
+    fitted on all.
     """
     texts, toxic = strings(texts), np.asarray(toxic, bool)
     held = np.arange(len(texts)) % 5 == 4
-    threshold = 0.0 if toxic.any() and not toxic.all() else float("inf")
+    threshold, discount = 0.0 if toxic.any() and not toxic.all() else float("inf"), PAIR_DISCOUNTS[0]
     if (toxic & held).any() and (~toxic & held).any() and (toxic & ~held).any() and (~toxic & ~held).any():
-        trial = _fit(texts.filter(pa.array(~held)), toxic[~held]) | {"threshold": 0.0}
-        a, b, n = score(trial, texts.filter(pa.array(held)))
-        margin, y = np.where(n > 0, a - b, -np.inf), toxic[held]
-        cuts = np.unique(margin[np.isfinite(margin)])
-        cuts = np.r_[cuts[:1] - 1, (cuts[1:] + cuts[:-1]) / 2, cuts[-1:] + 1]
-        # fewest errors, a clean text rejected counting three times; of equal cuts the middle one
-        errors = np.array([((margin < c) & y).sum() + 3 * ((margin >= c) & ~y).sum() for c in cuts])
-        best = np.flatnonzero(errors == errors.min())
-        threshold = float(cuts[best[len(best) // 2]])
-    return _fit(texts, toxic) | {"threshold": threshold}
-
-
-def _fit(texts: pa.Array, toxic: np.ndarray) -> dict:
-    """Tables of log probabilities. For class y, word w, and the word h before it:
-
-    P_y(w|h) = discounted count of hw / count of h + spare mass of h * P_y(w)
-    P_ordinary(w) = discounted contexts of w / all contexts + spare mass * S(w)
-    P_toxic(w) = (1 - b) * discounted contexts of w / all discounted + b * P_ordinary(w)
-    S(w) = the number of classes that have w, one for the unseen word, over all of these
-
-    Counts are of documents that hold a pair, contexts of a word the pairs it ends, each once a
-    document, so that one long or repetitive text weighs little. Pairs and S are shared by the
-    classes, and the toxic model backs off to the ordinary one: an expression that is rare in
-    both, or frequent in both, weighs nearly alike, and what the sample of the smaller class
-    happens to lack costs no more than log b.
-    """
+        y, least = toxic[held], None
+        rest, counted = texts.filter(pa.array(held)), _counts(texts.filter(pa.array(~held)), toxic[~held])
+        for d in PAIR_DISCOUNTS:
+            a, b, n = score(_model(*counted, d), rest)
+            margin = np.where(n > 0, a - b, -np.inf)
+            cuts = np.unique(margin[np.isfinite(margin)])
+            cuts = np.r_[cuts[:1] - 1, (cuts[1:] + cuts[:-1]) / 2, cuts[-1:] + 1]
+            if not len(cuts):
+                continue
+            # fewest errors, a clean text rejected counting three times; of equal cuts the middle one
+            errors = np.searchsorted(np.sort(margin[y]), cuts) + 3 * ((~y).sum() - np.searchsorted(np.sort(margin[~y]), cuts))
+            best = np.flatnonzero(errors == errors.min())
+            # of equally many errors the discount whose margin tells the classes apart in most pairs of texts
+            apart = np.searchsorted(np.sort(margin[~y]), margin[y]).sum()
+            if least is None or (errors.min(), -apart) < least:
+                least = (errors.min(), -apart)
+                threshold, discount = float(cuts[best[len(best) // 2]]), d
+        del counted
+    return _fit(texts, toxic, discount) | {"threshold": threshold}
+
+
+def _fit(texts: pa.Array, toxic: np.ndarray, discount: float = PAIR_DISCOUNTS[0]) -> dict:
+    return _model(*_counts(texts, toxic), discount)
+
+
+def _counts(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The vocabulary, the pairs of its words, and of each class the documents that hold a pair."""
     parts, lengths = [], []
     for batch in slices([pa.record_batch({"t": texts})], 0):
         codes, ends, terms = words(batch.column(0))
@@ -86,6 +88,25 @@ def _fit(texts: pa.Array, toxic: np.ndarray) -> dict:
     own = [np.zeros(len(pairs)) for _ in seen]
     for c, (key, n) in zip(own, seen):
         c[np.searchsorted(pairs, key)] = n
+    return vocabulary, pairs, own
+
+
+def _model(vocabulary: np.ndarray, pairs: np.ndarray, own: list[np.ndarray], discount: float) -> dict:
+    """Tables of log probabilities. For class y, word w, and the word h before it:
+
+    P_y(w|h) = (1 - s(h)) * discounted count of hw in y / all of h in y + s(h) * P_y(w)
+    s(h) = the spare mass of h in the class that has more of it, 1 where a class lacks h
+    P_ordinary(w) = discounted contexts of w / all contexts + spare mass * S(w)
+    P_toxic(w) = (1 - b) * discounted contexts of w / all discounted + b * P_ordinary(w)
+    S(w) = the number of classes that have w, one for the unseen word, over all of these
+
+    Counts are of documents that hold a pair, contexts of a word the pairs it ends, each once a
+    document, so that one long or repetitive text weighs little. Pairs are each class's own. S is
+    shared by the classes, and the toxic model backs off to the ordinary one: a word that is rare
+    in both, or frequent in both, weighs nearly alike, and what the sample of the smaller class
+    happens to lack costs no more than log b.
+    """
+    size = len(vocabulary)
     head, word = pairs // max(size, 1), pairs % max(size, 1)
     contexts = [np.bincount(word, c, minlength=size) for c in own]
     shared = np.r_[(contexts[0] > 0) * 1.0 + (contexts[1] > 0), 1.0]
@@ -95,18 +116,18 @@ def _fit(texts: pa.Array, toxic: np.ndarray) -> dict:
     ordinary = kept[0] / total[0] + (1 - kept[0].sum() / total[0]) * shared
     back = max(SHARED, 1 - kept[1].sum() / total[1])
     toxic_ = (1 - back) * kept[1] / kept[1].sum() + back * ordinary if kept[1].any() else ordinary
-    both = own[0] + own[1]
-    follow = np.bincount(head, both, minlength=size + 1)
-    spare = np.bincount(head, np.minimum(both, PAIR_DISCOUNT), minlength=size + 1) / np.maximum(follow, 1)
-    spare[follow == 0] = 1.0
-    some = np.flatnonzero(both > PAIR_DISCOUNT)  # the others are what backoff gives
+    follow = [np.bincount(head, c, minlength=size + 1) for c in own]
+    beyond = [np.maximum(c - discount, 0) for c in own]
+    mass = [np.bincount(head, c, minlength=size + 1) for c in beyond]
+    spare = np.maximum(*(1 - m / np.maximum(f, 1) for m, f in zip(mass, follow)))
+    some = np.flatnonzero(((beyond[0] > 0) | (beyond[1] > 0)) & (spare[head] < 1))  # the others are what backoff gives
     head, word = head[some], word[some]
-    high = (both[some] - PAIR_DISCOUNT) / follow[head]
+    high = [(1 - spare[head]) * c[some] / np.maximum(m[head], 1e-300) for c, m in zip(beyond, mass)]
     key = chain(np.r_[vocabulary, START][head], vocabulary[word])
     order = np.argsort(key)
     return {
         "vocabulary": vocabulary, "pairs": key[order], "spare": np.log(np.r_[spare, 1.0]),
-        "classes": [{"pair": np.log(high + spare[head] * low[word])[order], "low": np.log(low)} for low in (ordinary, toxic_)],
+        "classes": [{"pair": np.log(h + spare[head] * low[word])[order], "low": np.log(low)} for h, low in zip(high, (ordinary, toxic_))],
     }
 
 

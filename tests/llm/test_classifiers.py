@@ -30,6 +30,39 @@ def test_toxicity_on_held_out_texts():
     assert (((a - b) >= model["threshold"]) == np.array(z, bool)).mean() > 0.97 and (n >= 60).all()
 
 
+def phrases(n=1000, seed=0):
+    """Toxic texts say "left hook" and "right turn", the others "left turn" and "right hook"."""
+    rng = np.random.default_rng(seed)
+    texts, y = [], rng.random(n) < 0.4
+    for bad in y:
+        w = list(rng.choice(WORDS, 40))
+        for a, b in (("left", "hook"), ("right", "turn")) if bad else (("left", "turn"), ("right", "hook")):
+            at = int(rng.integers(40))
+            w[at:at] = [a, b]
+        texts.append(" ".join(w))
+    return texts, y.astype(int)
+
+
+def test_toxicity_of_pairs_of_ordinary_words():
+    texts, y = phrases()
+    model = toxicity.fit(pa.array(texts), y)
+    more, z = phrases(seed=1)
+    a, b, _ = toxicity.score(model, pa.array(more))
+    assert (((a - b) >= model["threshold"]) == z.astype(bool)).mean() > 0.97
+
+
+def test_toxicity_pairs_are_a_distribution():
+    texts, y = phrases(200)
+    for discount in toxicity.PAIR_DISCOUNTS:
+        model = toxicity._fit(pa.array(texts), y, discount)
+        hashed = np.r_[model["vocabulary"], np.uint64(0)]
+        for k in range(0, len(model["vocabulary"]), 40):
+            at = toxicity._find(model["pairs"], toxicity.chain(np.repeat(hashed[k], len(hashed)), hashed))
+            for c in model["classes"]:
+                p = np.where(at >= 0, np.r_[c["pair"], 0.0][at], c["low"] + model["spare"][k])
+                assert np.exp(p).sum() == pytest.approx(1)
+
+
 def test_toxicity_model_is_a_distribution():
     """Probabilities of all words after any history, the unseen one included, add to one."""
     texts, y = corpus(60)

@@ -44,6 +44,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def whole_id(df: DataFrame, name: str) -> Column:
+    """An id column as a whole number; what isn't one, such as a string of letters, is null."""
+    kind = df.schema[name].dataType.simpleString() if name in df.columns else ""
+    return col(name).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else col(name).cast("string").try_cast("long")
+
+
 def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs`` whose id isn't in the one column of ``gone``; null ids stay."""
     drop = fresh(docs, "drop_id")

@@ -4,155 +4,358 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, durable
+from .common import col, durable, hash_strings, mix, shuffle_partitions, whole_id
 
-GROUP_PAGES = 400  # pages of a host that a template is deduced from; larger hosts make several such groups
-SUPPORT = 0.6  # of a group's pages in which a template token occurs
+PAGES = 3  # different pages of a host on which the tokens of a class occur
+WORD_PAGES = 10  # the same for a class without a tag: words alone may agree by chance
 CLASS_SIZE = 3  # tokens of a template class
+PART_BYTES = 16 << 20  # html of a host that a task handles at once; layout only, never the result
 BROADCAST_BYTES = 32 << 20  # of large hosts' names, up to which they are broadcast
-PAGES = 3  # pages of a host from which a template can be told
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|$)|<[^<>]*>?|[^<\s]+", re.S | re.I)
+_TOKEN = re.compile(r"(<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\2\s*>|$)|<[^<>]*>?|[^<\s]+)", re.S | re.I)
 _NAME = re.compile(r"</?\s*([A-Za-z][A-Za-z0-9]*)")
 _ROLE = re.compile(r"""\b(?:class|id|itemprop|role)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_PLACE = 28  # bits of a place within its page
 
 
-def tokens(page: str) -> list[tuple[str, str | None]]:
-    """(identity, text) of each token in order: tags by name and class or id, words by themselves
-    and the tag before them. Tags have no text; comments and scripts are tags."""
-    out = []
-    tag = ""
-    for m in _TOKEN.finditer(page):
-        t = m[0]
-        if t[0] == "<":
-            name = _NAME.match(t)
-            if t.startswith("<!--"):
-                tag = "<!-->"
-            elif m[1]:
-                tag = f"<{m[1].lower()}/>"
-            elif name:
-                close = "/" if t[1] == "/" else ""
-                tag = f"<{close}{name[1].lower()}" + ("" if close else "".join(f" {a.lower()}" for a in sorted(_ROLE.findall(t)))) + ">"
+def _tag(raw: str, block: str) -> str:
+    """A tag's identity: its name and class or id; comments and scripts are tags."""
+    if raw.startswith("<!--"):
+        return "<!-->"
+    if block:
+        return f"<{block.lower()}/>"
+    name = _NAME.match(raw)
+    if not name:
+        return "<!>"
+    close = raw[1] == "/"
+    return f"<{'/' * close}{name[1].lower()}" + ("" if close else "".join(f" {a.lower()}" for a in sorted(_ROLE.findall(raw)))) + ">"
+
+
+class Reader:
+    """Pages as codes of tokens: tags by their identity, words by themselves and the tag before."""
+
+    def __init__(self):
+        self.identity: list[str] = []
+        self.text: list[str | None] = []  # None: a tag
+        self.tags: dict[str, tuple] = {}  # as written: code, words after it
+        self.named: dict[str, tuple] = {}  # by identity
+        self.bare: dict[str, int] = {}  # words before any tag
+
+    def _new(self, identity: str, text: str | None) -> int:
+        self.identity.append(identity)
+        self.text.append(text)
+        return len(self.text) - 1
+
+    def read(self, page: str) -> np.ndarray:
+        out = []
+        tag, words = "", self.bare
+        for t, block in _TOKEN.findall(page):
+            if t[0] == "<":
+                known = self.tags.get(t)
+                if known is None:
+                    name = _tag(t, block)
+                    known = self.named.get(name)
+                    if known is None:
+                        known = self.named[name] = (self._new(name, None), {}, name)
+                    if len(self.tags) > 50_000:
+                        self.tags.clear()
+                    self.tags[t] = known
+                code, words, tag = known
             else:
-                tag = "<!>"
-            out.append((tag, None))
-        else:
-            out.append((f"{tag} {t}", t))
-    return out
+                code = words.get(t)
+                if code is None:
+                    code = words[t] = self._new(f"{tag} {t}", t)
+            out.append(code)
+        return np.array(out, np.int64)
 
 
-def deduce(pages: list[list[str]]) -> list[list[str]]:
-    """The valid equivalence classes of some pages' token identities, outermost first.
+class Group:
+    """Some pages of one host, each different html once."""
 
-    Tokens with one occurrence vector (how often they occur in each page) form a class if they
-    occur in enough pages and are enough. A class is valid if in every page its tokens occur in
-    one order, again and again; tokens that break the order most are left out until it holds.
-    Classes must nest: the occurrences of the inner one between two neighbours of the outer one,
-    the same two everywhere, or before or after all of it.
-    """
-    if len(pages) < PAGES:
-        return []
-    vectors: dict[str, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-    for p, page in enumerate(pages):
-        for at, t in enumerate(page):
-            vectors[t][p].append(at)
-    classes: dict[tuple, list[str]] = defaultdict(list)
-    for t, where in vectors.items():
-        if len(where) >= SUPPORT * len(pages):
-            classes[tuple((p, len(a)) for p, a in where.items())].append(t)
-    width = max(map(len, pages)) + 1
-    valid: list[tuple[list[str], np.ndarray, tuple]] = []
-    for vector, names in classes.items():
-        if len(names) < CLASS_SIZE:
-            continue
-        # a row for each instance: the places of its tokens, made distinct over pages
-        places = np.array([[p * width + a for p, at in vectors[t].items() for a in at] for t in names]).T
-        order = np.argsort(places.mean(0))
-        names = [names[k] for k in order]
-        places = places[:, order]
-        wrong = np.zeros((len(names), len(names)), bool)  # pairs that some instance has out of order
-        rows = max(1, (1 << 25) // len(names) ** 2)
-        for k in range(0, len(places), rows):
-            part = places[k : k + rows]
-            wrong |= np.triu((part[:, :, None] > part[:, None, :]).any(0), 1)
-            then = places[k + 1 : k + 1 + rows]  # an instance ends before the next begins
-            wrong |= (part[: len(then), :, None] > then[:, None, :]).any(0)
-        wrong |= wrong.T
-        np.fill_diagonal(wrong, False)
-        kept = np.arange(len(names))
-        while len(kept) >= CLASS_SIZE and (n := wrong[np.ix_(kept, kept)].sum(0)).any():
-            kept = np.delete(kept, int(n.argmax()))
-        names, places = [names[k] for k in kept], places[:, kept]
-        if len(names) >= CLASS_SIZE:
-            valid.append((names, places, vector))
-    valid.sort(key=lambda c: (-len(c[2]), sum(n for _, n in c[2]), -len(c[0])))
-    nested: list[tuple[list[str], np.ndarray, tuple]] = []
-    for names, places, vector in valid:
+    def __init__(self, pages: list[str | None]):
+        self.reader = Reader()
+        self.page: list[np.ndarray] = []
+        self.copies: list[int] = []
+        self.of: list[int] = []  # of each row its page, -1 for null
+        seen: dict[str, int] = {}
+        for x in pages:
+            if x is None:
+                self.of.append(-1)
+                continue
+            k = seen.setdefault(x, len(self.page))
+            if k == len(self.page):
+                self.page.append(self.reader.read(x))
+                self.copies.append(0)
+            self.copies[k] += 1
+            self.of.append(k)
+        self.hash = hash_strings(pa.array(list(seen), pa.large_string()).cast(pa.string()))
+        self.token = hash_strings(pa.array(self.reader.identity, pa.string()))
+        self.is_tag = np.array([t is None for t in self.reader.text], bool)
+        length = np.array([len(p) for p in self.page], np.int64)
+        self.flat = np.concatenate([*self.page, np.zeros(0, np.int64)])
+        self.doc = np.repeat(np.arange(len(length)), length)
+        self.start = np.cumsum(length) - length
+        self.length = length
+
+    def vectors(self) -> tuple[np.ndarray, ...]:
+        """Of each token that occurs: code, a hash of its occurrence vector (how often it is on
+        each page), sum of its places, rows that have it, and its least page hashes.
+
+        The vector's hash and the sum of places are sums over pages, so those of parts of a host
+        add up to those of all of it.
+        """
+        n = max(len(self.page), 1)
+        at = np.arange(len(self.flat)) - self.start[self.doc]
+        order = np.argsort(self.flat * n + self.doc, kind="stable")
+        key = (self.flat * n + self.doc)[order]
+        run = np.flatnonzero(np.diff(key, prepend=-1))
+        count = np.diff(np.r_[run, len(key)])
+        code, doc = key[run] // n, key[run] % n
+        copies = np.array(self.copies, np.int64)[doc]
+        place = ((at << _PLACE) // np.maximum(self.length[self.doc], 1))[order]
+        mean = (np.add.reduceat(place, run) if len(run) else place) // count
+        again = np.lexsort((self.hash[doc], code))  # by page hash within a token
+        code, doc, count, copies, mean = code[again], doc[again], count[again], copies[again], mean[again]
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        mark = mix(mix(self.hash[doc]) + count.astype(np.uint64)) * copies.astype(np.uint64)
+        total = lambda x: np.add.reduceat(x, first) if len(first) else x[:0]
+        rank = np.arange(len(code)) - np.repeat(first, np.diff(np.r_[first, len(code)]))
+        few = rank < WORD_PAGES
+        pages = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(total(few.astype(np.int64)))].astype(np.int32)), pa.array(self.hash[doc][few].view(np.int64)))
+        return code[first], total(mark), total(mean * copies), total(copies), pages
+
+    def classes(self) -> dict[str, np.ndarray]:
+        """The candidate tokens, where these pages are all of the host."""
+        code, vector, place, rows, pages = self.vectors()
+        n = np.diff(pages.offsets.to_numpy())
+        order = np.lexsort((self.token[code].view(np.int64), place, vector))
+        code, vector, rows, n = code[order], vector[order], rows[order], n[order]
+        first = np.flatnonzero(np.diff(vector, prepend=~vector[:1]))
+        size = np.diff(np.r_[first, len(code)])
+        of = np.repeat(np.arange(len(first)), size)
+        total = lambda f, x: f.reduceat(x, first) if len(first) else x[:0]
+        tagged = total(np.maximum, self.is_tag[code].astype(int))
+        good = (size >= CLASS_SIZE) & (n[first] >= np.where(tagged > 0, PAGES, WORD_PAGES))
+        name = total(np.minimum, self.token[code].view(np.int64))
+        kept = good[of]
+        return {"t": self.token[code][kept].view(np.int64), "cls": name[of][kept], "rank": (np.arange(len(code)) - first[of])[kept], "size": size[of][kept], "n": rows[kept], "tag": self.is_tag[code][kept]}
+
+    def _known(self, t: np.ndarray) -> np.ndarray:
+        """Of each token here its place among ``t``, or -1."""
+        order = np.argsort(t)
+        mine = self.token.view(np.int64)
+        at = np.minimum(np.searchsorted(t[order], mine), max(len(t) - 1, 0))
+        return np.where(t[order][at] == mine, order[at], -1) if len(t) else np.full(len(mine), -1)
+
+    def wrong(self, c: dict[str, np.ndarray]) -> np.ndarray:
+        """The candidate tokens that some page here has out of order.
+
+        A class is in order on a page if its tokens come by their mean places over all pages,
+        again and again. On a page where they don't, those outside the longest subsequence that
+        does are wrong; without them, the class is in order on every page.
+        """
+        cls = np.unique(c["cls"], return_inverse=True)[1]
+        where = self._known(c["t"])[self.flat]
+        some = np.flatnonzero(where >= 0)
+        k, doc = where[some], self.doc[some]
+        by = np.lexsort((some, k, doc))  # the i-th time on its page that a token occurs
+        first = np.flatnonzero((np.diff(k[by], prepend=-1) != 0) | (np.diff(doc[by], prepend=-1) != 0))
+        nth = np.empty(len(k), np.int64)
+        nth[by] = np.arange(len(k)) - np.repeat(first, np.diff(np.r_[first, len(k)]))
+        key = nth * c["size"][k] + c["rank"][k]
+        by = np.lexsort((some, cls[k], doc))
+        k, key, doc, of = k[by], key[by], doc[by], cls[k][by]
+        first = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        falls = np.diff(key, prepend=-1) <= 0
+        falls[first] = False
+        run = np.unique(np.searchsorted(first, np.flatnonzero(falls), "right") - 1)
+        ends = np.r_[first, len(key)]
+        out = [k[ends[r] : ends[r + 1]][~_rising(key[ends[r] : ends[r + 1]].tolist())] for r in run.tolist()]
+        return np.unique(c["t"][np.concatenate([*out, np.zeros(0, np.int64)])])
+
+    def extract(self, c: dict[str, np.ndarray]) -> tuple[list, list, list]:
+        """Of each row: classes, template tokens and slots, by the tokens of valid classes."""
+        known = self._known(c["t"])
+        cls = np.unique(c["cls"], return_inverse=True)[1]
+        size = np.bincount(cls) if len(cls) else cls
+        text, memo, done = self.reader.text, {}, []
+        for page in self.page:
+            where = known[page]
+            seen = where[where >= 0]
+            sequence = seen.tobytes()
+            if sequence not in memo:
+                if len(memo) > 10_000:
+                    memo.clear()
+                memo[sequence] = _nest(seen, cls, size, c["n"], c["cls"])
+            fine = memo[sequence]
+            mark = (where >= 0) & np.isin(cls[where], fine) if len(cls) else np.zeros(len(page), bool)
+            words = np.flatnonzero(~mark & ~self.is_tag[page])
+            slot = np.cumsum(mark)[words]
+            cut = np.flatnonzero(np.diff(slot, prepend=-1))
+            names = page[words].tolist()
+            slots = [html.unescape(" ".join([text[x] for x in names[a:b]])) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(names)])]
+            done.append((len(fine), len(np.unique(page[mark])), slots))
+        rows = [(0, 0, None) if k < 0 else done[k] for k in self.of]
+        return tuple(map(list, zip(*rows))) if rows else ([], [], [])
+
+
+def _rising(x: list[int]) -> np.ndarray:
+    """A longest increasing subsequence, as a mask."""
+    tails, at, back = [], [], []
+    for i, v in enumerate(x):
+        k = bisect_left(tails, v)
+        if k == len(tails):
+            tails.append(v), at.append(i)
+        else:
+            tails[k], at[k] = v, i
+        back.append(at[k - 1] if k else -1)
+    mask = np.zeros(len(x), bool)
+    i = at[-1] if at else -1
+    while i >= 0:
+        mask[i] = True
+        i = back[i]
+    return mask
+
+
+def _nest(seen: np.ndarray, cls: np.ndarray, size: np.ndarray, n: np.ndarray, name: np.ndarray) -> list[int]:
+    """The classes of a page that nest: all occurrences of the inner one between two neighbours of
+    the outer one, the same two each time, or before or after all of it; or, where both occur
+    equally often, each occurrence in the same way across one of the other. Those on more pages
+    go first, then the larger, then by hash."""
+    of = cls[seen]
+    present, first = np.unique(of, return_index=True)
+    order = sorted(range(len(present)), key=lambda i: (-n[seen[first[i]]], -size[present[i]], name[seen[first[i]]]))
+    taken: list[tuple[int, np.ndarray]] = []
+    for i in order:
+        c = int(present[i])
+        mine = np.flatnonzero(of == c)
         ok = True
-        for _, outer, _ in nested:
-            ends = outer.ravel()  # in order, as instances are
-            slot = np.searchsorted(ends, places)
-            first, last = slot[:, 0], slot[:, -1]
-            ok &= bool((first == last).all() and len(set((first % outer.shape[1]).tolist())) == 1)
+        for o, outer in taken:
+            slot = np.searchsorted(outer, mine).reshape(-1, size[c])
+            within = (slot[:, :1] == slot).all() and len(np.unique(slot[:, 0] % size[o])) == 1
+            across = len(slot) * size[o] == len(outer) and (np.diff(slot, axis=0) == size[o]).all()
+            if not within and not across:
+                ok = False
+                break
         if ok:
-            nested.append((names, places, vector))
-    return [names for names, _, _ in nested]
-
-
-def extract(page: list[tuple[str, str | None]], template: set[str]) -> list[str]:
-    """The texts between template tokens; tags outside the template part words, not slots."""
-    slots, words = [], []
-    for t, text in page:
-        if t in template:
-            if words:
-                slots.append(html.unescape(" ".join(words)))
-                words = []
-        elif text is not None:
-            words.append(text)
-    if words:
-        slots.append(html.unescape(" ".join(words)))
-    return slots
-
-
-def _group(table: pa.Table) -> pa.Table:
-    pages = [tokens(x) if x is not None else None for x in table.column("html").to_pylist()]
-    hosted = table.column("host")[0].as_py() is not None
-    template = deduce([[t for t, _ in p] for p in pages if p]) if hosted else []
-    flat = {t for names in template for t in names}
-    slots = [None if p is None else extract(p, flat) for p in pages]
+            taken.append((c, mine))
+    return [c for c, _ in taken]
+
+
+def _without(c: dict[str, np.ndarray], wrong: np.ndarray) -> dict[str, np.ndarray]:
+    """The classes without wrong tokens, as long as the others are enough."""
+    stays = ~np.isin(c["t"], wrong)
+    names, of = np.unique(c["cls"], return_inverse=True)
+    size = np.bincount(of, stays, len(names)).astype(np.int64) if len(names) else of
+    stays &= size[of] >= CLASS_SIZE if len(names) else False
+    return {k: v[stays] for k, v in (c | {"size": size[of] if len(names) else of}).items()}
+
+
+_OUT = "page_id long, host string, classes int, template_tokens int, slots array<string>, text string"
+
+
+def _answer(table: pa.Table, group: Group, c: dict[str, np.ndarray]) -> pa.Table:
+    classes, flat, slots = group.extract(c)
+    return pa.table({
+        "page_id": table.column("page_id"), "host": table.column("host"), "classes": pa.array(classes, pa.int32()), "template_tokens": pa.array(flat, pa.int32()),
+        "slots": pa.array(slots, pa.list_(pa.string())), "text": pa.array([None if s is None else "\n".join(s) for s in slots], pa.string()),
+    })
+
+
+_NONE = {k: np.zeros(0, bool if k == "tag" else np.int64) for k in ("t", "cls", "rank", "size", "n", "tag")}
+
+
+def _whole(table: pa.Table) -> pa.Table:
+    """All pages of a host, or any without one."""
+    group = Group(table.column("html").to_pylist())
+    c = _NONE
+    if table.column("host")[0].as_py() is not None:
+        c = group.classes()
+        c = _without(c, group.wrong(c))
+    return _answer(table, group, c)
+
+
+def _vectors(table: pa.Table) -> pa.Table:
+    group = Group(table.column("html").to_pylist())
+    code, vector, place, rows, pages = group.vectors()
+    half = np.uint64(32)
     return pa.table({
-        "page_id": table.column("page_id"), "host": table.column("host"), "classes": pa.array([len(template)] * len(pages), pa.int32()),
-        "template_tokens": pa.array([len(flat)] * len(pages), pa.int32()), "slots": pa.array(slots, pa.list_(pa.string())),
-        "text": pa.array([None if s is None else "\n".join(s) for s in slots], pa.string()),
+        "host": pa.array([table.column("host")[0].as_py()] * len(code), pa.string()), "t": group.token[code].view(np.int64), "tag": group.is_tag[code],
+        "hi": (vector >> half).view(np.int64), "lo": (vector & np.uint64(0xFFFFFFFF)).view(np.int64), "place": place, "n": rows, "pages": pages,
     })
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_pages: int = GROUP_PAGES) -> DataFrame:
+def _candidates(table: pa.Table) -> dict[str, np.ndarray]:
+    return {k: table.column(k).to_numpy() for k in _NONE} if table.num_rows else _NONE
+
+
+def _wrong(pages: pa.Table, tokens: pa.Table) -> pa.Table:
+    if not pages.num_rows or not tokens.num_rows:
+        return pa.table({"host": pa.array([], pa.string()), "t": pa.array([], pa.int64())})
+    found = Group(pages.column("html").to_pylist()).wrong(_candidates(tokens))
+    return pa.table({"host": pa.array([pages.column("host")[0].as_py()] * len(found), pa.string()), "t": pa.array(found, pa.int64())})
+
+
+def _slots(pages: pa.Table, tokens: pa.Table) -> pa.Table:
+    return _answer(pages, Group(pages.column("html").to_pylist()), _candidates(tokens))
+
+
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", part_bytes: int = PART_BYTES) -> DataFrame:
     """(page_id, host, classes, template_tokens, slots, text) of every row of ``pages``.
 
-    The template is deduced from pages of one host: all of them, or, where a host has more than
-    ``group_pages``, each of the equal random parts that a task can hold, and each page by that
-    of its part. Slots are the texts between template tokens, in order; text joins them by lines.
-    Pages of hosts with fewer than PAGES pages, or without a host, have no template: their slots
-    are all their text. Null html gives null slots, empty html none. Repeated rows count as pages
-    of their own; other columns are ignored.
+    Tokens whose occurrence vectors over all different pages of a host are the same, hashed, make
+    a class if they are CLASS_SIZE, on at least PAGES pages (WORD_PAGES for words without any
+    tag), so that each layout of a host has classes of its own. Tokens that some page has out of
+    the class's order leave it. The classes that nest on a page are its template; slots are the
+    texts between the template's tokens, in order, and text joins them by lines.
+
+    A host of more than ``part_bytes`` of html goes to tasks in parts: their vectors are added up,
+    classes come from the sums, and each part is held against them; results are those of one task.
+    Pages without a host and hosts of fewer than PAGES different pages have no template: slots are
+    all their text. Null html gives null slots, empty html none. Repeated rows count once in the
+    template and come out each; ids that aren't whole numbers read as null; other columns are
+    ignored.
     """
     host = F.nullif(F.lower(F.regexp_extract(col(url_col).cast("string"), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    narrow = pages.select(col(id_col).cast("long").alias("page_id"), host.alias("host"), col(html_col).cast("string").alias("html"))
-    large = narrow.groupBy("host").count().where(F.col("count") > group_pages).select(F.col("host").alias("h"), F.ceil(F.col("count") / group_pages).alias("parts"))
-    large = durable(large)
-    if large.count() * 64 <= BROADCAST_BYTES:  # else the pages are shuffled by host first
-        large = F.broadcast(large)
-    apart = narrow.join(large, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
-    part = F.coalesce(F.pmod(F.xxhash64("page_id", "html"), F.col("parts")), F.lit(0)).cast("int")
-    return apart.select("page_id", "host", "html", part.alias("part")).groupBy("host", "part").applyInArrow(_group, "page_id long, host string, classes int, template_tokens int, slots array<string>, text string")
+    narrow = pages.select(whole_id(pages, id_col).alias("page_id"), host.alias("host"), col(html_col).cast("string").alias("html"))
+    size = durable(narrow.groupBy("host").agg(F.sum(F.octet_length("html") + 64).alias("size")))
+    large = durable(size.where(F.col("size") > part_bytes).select(F.col("host").alias("h"), F.ceil(F.col("size") / part_bytes).cast("int").alias("parts")))
+    total, n_large = size.agg(F.sum("size")).first()[0] or 0, large.count()
+    n = max(shuffle_partitions(pages.sparkSession), -(-total // (2 * part_bytes)))
+    # pages without a host need no company; those of a large one are spread over its parts
+    other = F.pmod(F.xxhash64("page_id", "html"), F.lit(max(1, n))).cast("int")
+    if not n_large:
+        part = F.when(F.col("host").isNull(), other).otherwise(0)
+        return narrow.withColumn("part", part).repartition(n, "host", "part").groupBy("host", "part").applyInArrow(_whole, _OUT)
+    named = F.broadcast(large) if n_large * 64 <= BROADCAST_BYTES else large  # else the pages are shuffled by host first
+    placed = narrow.join(named, F.col("host") == F.col("h"), "left").drop("h")
+    part = F.when(F.col("host").isNull(), other).when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "html"), F.col("parts")).cast("int"))
+    placed = placed.select("page_id", "host", "html", part.alias("part"), (F.col("parts").isNotNull() & F.col("host").isNotNull()).alias("large")).repartition(n, "host", "part")
+    small = placed.where("not large").groupBy("host", "part").applyInArrow(_whole, _OUT)
+    apart = placed.where("large").groupBy("host", "part")
+    sums = (
+        apart.applyInArrow(_vectors, "host string, t long, tag boolean, hi long, lo long, place long, n long, pages array<long>").groupBy("host", "t")
+        .agg(F.max("tag").alias("tag"), F.sum("hi").alias("hi"), F.sum("lo").alias("lo"), F.sum("place").alias("place"), F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"))
+    )
+    same = Window.partitionBy("host", "hi", "lo")
+    tokens = (
+        sums.where(F.col("pages") >= PAGES)
+        .select("*", F.count("*").over(same).alias("size"), F.max("tag").over(same).alias("tagged"), F.min("t").over(same).alias("cls"), (F.row_number().over(same.orderBy("place", "t")) - 1).cast("long").alias("rank"))
+        .where((F.col("size") >= CLASS_SIZE) & (F.col("tagged") | (F.col("pages") >= WORD_PAGES))).select("host", "t", "cls", "rank", "size", "n", "tag")
+    )
+    spread = lambda df: df.join(F.broadcast(large) if n_large * 64 <= BROADCAST_BYTES else large, F.col("host") == F.col("h")).select(*df.columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).groupBy("host", "part")
+    wrong = apart.cogroup(spread(tokens)).applyInArrow(_wrong, "host string, t long").distinct()
+    left = Window.partitionBy("host", "cls")
+    valid = tokens.join(wrong, ["host", "t"], "left_anti").withColumn("size", F.count("*").over(left)).where(F.col("size") >= CLASS_SIZE)
+    return small.unionAll(apart.cogroup(spread(valid)).applyInArrow(_slots, _OUT))
 
 
 def page_texts(spark, sf_dir: str) -> DataFrame:
+    """op6_html_extraction over the whole pages table."""
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -256,51 +256,3 @@ def test_rare_words_and_tokens_count_at_any_size(spark):
     pages = spark.createDataFrame(urls_, "page_id long, url string")
     got = {r.page_id: r.host_words for r in urls.filter_urls(pages, corpus).collect()}
     assert got[0] == "quagga zebroid org" and got[1] == "pad org"
-
-
-def page(title, paragraphs, links):
-    nav = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in links)
-    return f'<!DOCTYPE html><html><head><title>{title}</title><script>var t="</p>";</script></head><body><nav class="top"><ul>{nav}</ul></nav><article><h1>{title}</h1>' + "".join(f"<p>{p}" for p in paragraphs) + '</article><footer>Copyright of the example site</footer></body></html>'
-
-
-def site(n=20, seed=0):
-    rng = random.Random(seed)
-    word = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
-    return [(word(4), [word(20) for _ in range(rng.randint(1, 4))], [rng.choice(WORDS) for _ in range(rng.randint(2, 6))]) for _ in range(n)]
-
-
-def test_template_leaves_the_slots(spark):
-    rows = [(k, f"http://a.example/{k}", page(*s)) for k, s in enumerate(site())]
-    odd = [(100, "http://a.example/x", None), (101, "http://b.example/", page("t", ["one two"], ["x"])), (102, None, "<p>no host"), (103, "http://c.example", ""), (0, rows[0][1], rows[0][2])]
-    pages = spark.createDataFrame([(*r, "x", 1) for r in rows + odd], "page_id long, url string, html string, text string, slots int")
-    out = extraction.extract_pages(pages)
-    assert out.count() == len(rows) + len(odd)
-    got = {r.page_id: r for r in out.collect()}
-    for k, (title, paragraphs, links) in enumerate(site()):
-        text = got[k].text
-        assert got[k].classes >= 1 and "Copyright" not in text and "<" not in text
-        assert got[k].slots[0] == title and text.split()[-20:] == paragraphs[-1].split()
-        assert text.split() == [*title.split(), *links, *title.split(), *" ".join(paragraphs).split()]
-    assert got[100].slots is None and got[103].slots == [] and got[102].text == "no host"
-    assert got[101].template_tokens == 0 and "one two" in got[101].text
-    assert extraction.extract_pages(pages.where("false")).count() == 0
-
-
-def test_large_hosts_are_told_in_parts(spark):
-    rows = [(k, f"http://a.example/{k}", page(*s)) for k, s in enumerate(site(60))]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    out = extraction.extract_pages(pages, group_pages=20).collect()
-    assert len(out) == 60 and all("Copyright" not in r.text for r in out)
-
-
-def test_classes_against_occurrence_vectors():
-    """Every class: one occurrence vector, one order in every page."""
-    sequences = [[t for t, _ in extraction.tokens(page(*s))] for s in site(12)]
-    classes = extraction.deduce(sequences)
-    assert classes
-    for names in classes:
-        for s in sequences:
-            n = {t: s.count(t) for t in names}
-            assert len(set(n.values())) == 1
-            only = [t for t in s if t in set(names)]
-            assert only == names * (len(only) // len(names))

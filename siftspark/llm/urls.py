@@ -11,30 +11,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, durable, slices, words
+from .common import col, durable, slices, whole_id, words
 
 SEEDS = ("adult", "ads", "bet", "bets", "casino", "loan", "loans", "pills", "poker", "porn", "sex", "spam", "viagra", "xxx")
-LONGEST = 24  # letters of a dictionary word
+PREFIX = 24  # letters by which words meet names; a longer word meets them by its first ones
 ALPHA = 1.0  # added to each token's count
 _URL = re.compile(r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)")
 _SPLIT = re.compile(r"\d+|[^\W\d_]+")
+_TEN = 2.302585092994046
 
 
 def segment(name: str, cost: dict[str, float], total: float) -> list[str]:
     """The cheapest split of a name into dictionary words and unknown stretches; of equally cheap
     ones that whose last word is longest. An unknown stretch of n letters counts as one word of
-    10 / 10**n occurrences."""
+    10 / 10**n occurrences, so that the best one up to a letter either begins there or goes on.
+    Work is the name's length times that of its longest known word."""
+    lengths = sorted({len(w) for w in cost}, reverse=True)
     best, start = [0.0], [0]
     base = log(total)
+    loose, since = 0.0, 0  # the best split that ends in an unknown stretch, and where that begins
     for i in range(1, len(name) + 1):
-        value, at = None, 0
-        for j in range(i):
-            w = name[j:i]
-            c = cost.get(w) if i - j <= LONGEST else None
-            if c is None:
-                c = base + (i - j - 1) * 2.302585092994046
-            if value is None or best[j] + c < value:
-                value, at = best[j] + c, j
+        if i > 1 and loose + _TEN <= best[i - 1] + base:
+            loose += _TEN
+        else:
+            loose, since = best[i - 1] + base, i - 1
+        value, at = loose, since
+        for n in lengths:
+            if n <= i and (c := cost.get(name[i - n : i])) is not None:
+                v = best[i - n] + c
+                if v < value or v == value and i - n < at:
+                    value, at = v, i - n
         best.append(value), start.append(at)
     out, i = [], len(name)
     while i:
@@ -79,8 +85,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """(w, n) of every word of the corpus that a name can hold; the empty word has the number of all words."""
     narrow = corpus.select(col(text_col).cast("string").alias("t")).where("t is not null")
-    short = narrow.mapInArrow(_words, "w string, n long").where((F.char_length("w") <= LONGEST) & ~F.col("w").rlike(r"\p{Nd}"))
-    return short.groupBy("w").agg(F.sum("n").alias("n"))
+    return narrow.mapInArrow(_words, "w string, n long").where(~F.col("w").rlike(r"\p{Nd}")).groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def costs(counts: dict[str, int], total: float, seeds: tuple[str, ...] = SEEDS) -> dict[str, float]:
@@ -99,33 +104,31 @@ def dictionary(corpus: DataFrame, text_col: str = "text", seeds: tuple[str, ...]
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The names of each URL's host and path in order, before them a row without name."""
+    """The names of each URL's host and path in order."""
     for batch in batches:
-        urls, n, path, at, names = [], [], [], [], []
-        for url, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not url.strip():
-                continue
-            found = [(False, None)] + [(p, "#" if x[0].isdigit() else x) for p, part in enumerate(_URL.match(url).groups()) for x in _SPLIT.findall(part.lower())]
-            urls += [url] * len(found)
-            n += [k] * len(found)
+        url, path, at, names = [], [], [], []
+        for u, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = [(p, "#" if x[0].isdigit() else x) for p, part in enumerate(_URL.match(text).groups()) for x in _SPLIT.findall(part.lower())]
+            url += [u] * len(found)
             path += [bool(p) for p, _ in found]
             at += range(len(found))
             names += [x for _, x in found]
-        yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(n, pa.int64()), pa.array(path, pa.bool_()), pa.array(at, pa.int32()), pa.array(names, pa.string())], ["url", "n", "path", "at", "name"])
+        yield pa.RecordBatch.from_arrays([pa.array(url, pa.int64()), pa.array(path, pa.bool_()), pa.array(at, pa.int32()), pa.array(names, pa.string())], ["u", "path", "at", "name"])
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All that may be a word in each name."""
+    """All that may be a word in each name, or the beginning of a longer one."""
     for batch in batches:
-        for name in batch.column(0).to_pylist():
-            found = list({name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + LONGEST) + 1)})
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string())], ["name", "w"])
+        for k, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for low in range(0, len(name), 10_000):  # of a very long name not all at once
+                found = list({name[i:j] for i in range(low, min(low + 10_000, len(name))) for j in range(i + 1, min(len(name), i + PREFIX) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), pa.array(found, pa.string())], ["k", "part"])
 
 
 def _segment(total: float, seeds: tuple[str, ...]):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = [segment(name, costs({x["w"]: x["n"] for x in known}, total, seeds), total) for name, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            split = [segment(name, costs({x["w"]: x["n"] for x in known or ()}, total, seeds), total) for name, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(split, pa.list_(pa.string()))], ["name", "words"])
 
     return apply
@@ -134,40 +137,47 @@ def _segment(total: float, seeds: tuple[str, ...]):
 def filter_urls(pages: DataFrame, corpus: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "text", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """(page_id, host_words, path_words, log_odds, blocked) of every row of ``pages``.
 
-    Word frequencies are those of all of ``corpus``, of rare words too: each distinct name of the
-    URLs meets the counts of the words it can hold. URLs in whose host or path the split finds a
-    seed word are the unwanted examples, all others the wanted ones; token counts of all URLs make
-    the naive Bayes model, and a URL is blocked when its log odds of being unwanted are above 0.
-    Null and blank URLs have null results and aren't blocked; where no URL has a seed, none is. The
-    query string and the fragment aren't looked at. Repeated rows are scored each; other columns
-    are ignored.
+    Word frequencies are those of all of ``corpus``, of rare and long words too: each distinct name
+    of the URLs meets the counts of the words it can hold. URLs in whose host or path the split
+    finds a seed word are the unwanted examples, all others the wanted ones; token counts of all
+    URLs make the naive Bayes model, and a URL is blocked when its log odds of being unwanted are
+    above 0. Null and blank URLs have null results and aren't blocked; where no URL has a seed,
+    none is. The query string and the fragment aren't looked at. Repeated rows are scored each;
+    ids that aren't whole numbers read as null; other columns are ignored.
     """
-    narrow = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url"))
-    distinct = narrow.where("url is not null").groupBy("url").count()
-    named = durable(distinct.mapInArrow(_names, "url string, n long, path boolean, at int, name string"))
+    narrow = pages.select(whole_id(pages, id_col).alias("page_id"), col(url_col).cast("string").alias("url"))
+    distinct = durable(narrow.where("url rlike '\\\\S'").groupBy("url").agg(F.count("*").alias("n")).withColumn("u", F.monotonically_increasing_id()))
+    named = durable(distinct.select("u", "url").mapInArrow(_names, "u long, path boolean, at int, name string"))
     counts = durable(word_counts(corpus, text_col))
     every = counts.where("w = ''").first()
     total = max(every.n if every else 0, 1) + 10.0
-    held = named.where("name <> '#'").select("name").distinct().mapInArrow(_parts, "name string, w string").join(counts, "w", "left")
-    known = held.groupBy("name").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("w", "n"))).alias("known"))
-    split = known.mapInArrow(_segment(total, seeds), "name string, words array<string>")
+    names = durable(named.where("name <> '#'").select("name").distinct().withColumn("k", F.monotonically_increasing_id()))
+    parts = names.select("k", "name").mapInArrow(_parts, "k long, part string").distinct()
+    keyed = counts.where("w <> ''").select("w", "n", F.substring("w", 1, PREFIX).alias("part"))
+    met = parts.join(keyed, "part").select("k", "w", "n")
+    short = met.where(F.char_length("w") <= PREFIX)
+    long = met.where(F.char_length("w") > PREFIX).join(names, "k").where(F.col("name").contains(F.col("w"))).select("k", "w", "n")
+    known = short.unionAll(long).groupBy("k").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    split = names.join(known, "k", "left").select("k", "name", "known").mapInArrow(_segment(total, seeds), "k long, words array<string>").join(names, "k").select("name", "words")
     part = F.struct("at", "path", F.when(F.col("name") == "#", F.array(F.lit("#"))).otherwise(F.col("words")).alias("words"))
-    whole = named.join(split, "name", "left").groupBy("url", "n").agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    side = lambda path: F.flatten(F.transform(F.filter("parts", lambda x: x.words.isNotNull() & (x.path == path)), lambda x: x.words))
-    whole = whole.select("url", "n", side(False).alias("host"), side(True).alias("path"))
+    whole = distinct.join(named.join(split, "name", "left").groupBy("u").agg(F.sort_array(F.collect_list(part)).alias("parts")), "u", "left")
+    side = lambda path: F.flatten(F.transform(F.filter("parts", lambda x: x.path == path), lambda x: x.words))
+    none = F.array().cast("array<string>")
+    whole = whole.select("u", "url", "n", F.coalesce(side(False), none).alias("host"), F.coalesce(side(True), none).alias("path"))
     whole = durable(whole.withColumn("bad", F.arrays_overlap(F.concat("host", "path"), F.array(*map(F.lit, seeds)).cast("array<string>"))))
-    tokens = whole.select("url", "n", "bad", F.explode(F.concat(F.transform("host", lambda x: F.concat(F.lit("h:"), x)), F.transform("path", lambda x: F.concat(F.lit("p:"), x)))).alias("token"))
+    tokens = whole.select("u", "n", "bad", F.explode(F.concat(F.transform("host", lambda x: F.concat(F.lit("h:"), x)), F.transform("path", lambda x: F.concat(F.lit("p:"), x)))).alias("token"))
     sums = lambda df: df.agg(F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("g"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"))
     model = durable(sums(tokens.groupBy("token")))
     size, all_good, all_bad = model.agg(F.count("*"), F.coalesce(F.sum("g"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     good, bad = (x or 0 for x in sums(whole).first())
     prior = log(bad / good) if bad and good else (-1e9 if not bad else 1e9)
     ratio = F.log((F.col("b") + ALPHA) / (all_bad + ALPHA * (size + 1))) - F.log((F.col("g") + ALPHA) / (all_good + ALPHA * (size + 1)))
-    odds = tokens.select("url", "token").join(model.select("token", ratio.alias("ratio")), "token").groupBy("url").agg(F.sum("ratio").alias("odds"))
+    odds = tokens.select("u", "token").join(model.select("token", ratio.alias("ratio")), "token").groupBy("u").agg(F.sum("ratio").alias("odds"))
     score = F.lit(prior) + F.coalesce("odds", F.lit(0.0))
-    scored = whole.join(odds, "url", "left").select("url", F.concat_ws(" ", "host").alias("host_words"), F.concat_ws(" ", "path").alias("path_words"), score.alias("log_odds"))
+    scored = whole.join(odds, "u", "left").select("url", F.concat_ws(" ", "host").alias("host_words"), F.concat_ws(" ", "path").alias("path_words"), score.alias("log_odds"))
     return narrow.join(scored, "url", "left").select("page_id", "host_words", "path_words", "log_odds", F.coalesce(F.col("log_odds") > 0, F.lit(False)).alias("blocked"))
 
 
 def page_urls(spark, sf_dir: str) -> DataFrame:
+    """op9_url_filter over the whole pages table, with the word counts of all documents."""
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siftspark.llm import decontaminate, extraction, pieces, shards, urls
+from siftspark.llm import decontaminate, pieces, shards, urls
 
 DATA = "/root/testdata/sf0.001"
 WORDS = [f"term{k}" for k in range(2000)]
@@ -256,3 +257,23 @@ def test_rare_words_and_tokens_count_at_any_size(spark):
     pages = spark.createDataFrame(urls_, "page_id long, url string")
     got = {r.page_id: r.host_words for r in urls.filter_urls(pages, corpus).collect()}
     assert got[0] == "quagga zebroid org" and got[1] == "pad org"
+
+
+def test_long_names_and_long_words(spark):
+    word = "floccinaucinihilipilification"  # beyond PREFIX
+    rng = random.Random(9)
+    huge = "".join(rng.choice("abcdefgh") for _ in range(100_000))
+    rows = [(0, f"http://{word}pills.org/"), (1, f"http://x.org/{huge}"), (2, "http://x.org/" + "a1" * 20_000), (3, f"http://{word[:-1]}.org/")]
+    corpus = spark.createDataFrame([(f"{word} {word} org x ab cde",)], "text string")
+    began = time.perf_counter()
+    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id string, url string"), corpus).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[0].host_words == f"{word} pills org" and got[0].blocked
+    assert got[1].path_words.replace(" ", "") == huge and " ab " in got[1].path_words and len(got[2].path_words.split()) == 40_000
+    assert word not in got[3].host_words
+
+
+def test_segment_is_linear_in_unknown_letters():
+    began = time.perf_counter()
+    assert "".join(urls.segment("zq" * 50_000, {"qz": 3.0, "z": 9.0}, 1e6)) == "zq" * 50_000
+    assert time.perf_counter() - began < 5

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import col, slices, strings, text_bytes
+from .common import col, slices, strings, text_bytes, whole_id
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -161,7 +161,9 @@ class Model:
         return flat[where], done[np.searchsorted(at, off)]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
-        """The texts of id sequences given end to end. Bytes that aren't UTF-8 read as U+FFFD."""
+        """The texts of id sequences given end to end. Bytes that aren't UTF-8 read as U+FFFD, ids
+        outside the model as the unknown piece."""
+        ids = np.where((ids < 0) | (ids >= len(self.piece)), self.unknown, ids)
         size = np.diff(self.raw_end)[ids]
         done = np.r_[0, np.cumsum(size)]
         raw = self.raw[np.repeat(self.raw_end[:-1][ids] - done[:-1], size) + np.arange(done[-1])]
@@ -206,7 +208,7 @@ def _decode(shared):
             lists = batch.column(1)
             null = lists.is_null().to_numpy(zero_copy_only=False)
             n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             text = model.decode(ids, np.r_[0, np.cumsum(n)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(pa.array(null), pa.scalar(None, pa.string()), text)], ["doc_id", "text"])
 
@@ -218,22 +220,25 @@ def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", tex
     gives the text again (it does unless the text itself holds the mark U+2581).
 
     Null texts have null results, empty ones no ids. Texts are read whole; repeated rows are
-    encoded each; other columns are ignored. The model file is read on the driver.
+    encoded each, an empty table gives none; ids that aren't whole numbers read as null; other
+    columns are ignored. The model file is read on the driver.
     """
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    narrow = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    narrow = docs.select(whole_id(docs, id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(_encode(shared), "doc_id long, ids array<int>, n_tokens int, round_trip boolean")
 
 
 def decode(tokens: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) of every row's ids; null ids give a null text, no ids an empty one. Null
-    elements and ids outside the model are an error."""
+    elements and ids outside the model read as the unknown piece, " ⁇ ". Repeated rows are decoded
+    each, an empty table gives none; other columns are ignored."""
     with open(model_path, "rb") as f:
         shared = tokens.sparkSession.sparkContext.broadcast(f.read())
-    narrow = tokens.select(col(id_col).cast("long").alias("doc_id"), col(ids_col).cast("array<int>").alias("ids"))
+    narrow = tokens.select(whole_id(tokens, id_col).alias("doc_id"), col(ids_col).cast("array<int>").alias("ids"))
     return narrow.mapInArrow(_decode(shared), "doc_id long, text string")
 
 
 def document_pieces(spark, sf_dir: str) -> DataFrame:
+    """op5_sentencepiece over the whole documents table."""
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))

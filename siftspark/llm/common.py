@@ -11,10 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 << 20  # ids up to this size are broadcast; beyond, both sides shuffle
+SAMPLE_BYTES = 16 << 20  # text of each class that a model is fitted on; texts over an eighth of it aren't trained on
 SLICE_BYTES = 6 << 20  # text handled at once in a Python worker; bounds its memory, not the work
 
 
@@ -147,6 +148,15 @@ def chain(*hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def bounded(sample: DataFrame, size: int) -> DataFrame:
+    """Of (o, i, t, y), few rows with one for each i and y, the first of each class y whose texts,
+    none of them over an eighth of it, add up to ``size`` bytes."""
+    sample = durable(sample.where(F.octet_length("t") <= size // 8))
+    upto = F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy("o", "i").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = sample.select("i", "y", upto.alias("upto")).where(F.col("upto") <= size).select("i", "y")  # as many rows as the sample at most
+    return sample.join(F.broadcast(chosen), ["i", "y"])
+
+
 def fitted(sample: DataFrame, fit: Callable[..., dict], *columns: str) -> Broadcast:
     """A model fitted in one task on a bounded sample, sent to the driver and on to all executors.
 

@@ -9,15 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fitted, slices, strings, text_bytes
+from .common import SAMPLE_BYTES, bounded, col, fitted, slices, strings, text_bytes, whole_id
 
 TRAIN_ROWS = 1500  # labelled documents of each language that the network is fitted on, by least id hash
 WINDOW = 128  # bytes; a text's last window is padded
 EMBED = 8  # of each byte
 WIDTHS = (2, 3, 4)  # bytes seen by the filters of each group
 FILTERS = 16  # of each width
-EPOCHS, RATE, BATCH = 6, 0.01, 128
-TRAIN_WINDOWS = 4  # of each training document, evenly spread
+EPOCHS, STEPS, RATE, BATCH = 2, 600, 0.01, 128  # a small sample is gone through until there are so many steps
 PAD = 0  # the byte that fills a window; one in a text reads the same
 
 
@@ -60,7 +59,7 @@ def forward(m: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def fit(texts: pa.Array, labels: pa.Array, seed: int = 5) -> dict:
-    """The network, trained on windows of labelled texts by Adam on the log loss."""
+    """The network, trained on all windows of labelled texts by Adam on the log loss."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels.to_pylist()))
     y = np.array([names.index(v) for v in labels.to_pylist()], np.int64)
@@ -68,17 +67,14 @@ def fit(texts: pa.Array, labels: pa.Array, seed: int = 5) -> dict:
     m = {"names": names, "E": rng.normal(size=(256, EMBED)).astype(np.float32) * 0.5, "b": np.zeros(len(WIDTHS) * FILTERS, np.float32)}
     m |= {f"W{w}": (rng.normal(size=(w * EMBED, FILTERS)) * (w * EMBED) ** -0.5).astype(np.float32) for w in WIDTHS}
     m |= {"O": (rng.normal(size=(len(m["b"]), max(len(names), 1))) * 0.1).astype(np.float32), "o": np.zeros(max(len(names), 1), np.float32)}
-    first = np.cumsum(n) - n
-    rows = [first[i] + np.unique(np.linspace(0, n[i] - 1, TRAIN_WINDOWS).astype(int)) for i in range(len(n)) if n[i]]
-    if len(names) < 2 or not rows:
+    if len(names) < 2 or not len(x):
         return m
-    doc = np.repeat([i for i in range(len(n)) if n[i]], [len(r) for r in rows])
-    x, y = x[np.concatenate(rows)], y[doc]
+    y = np.repeat(y, n)
     keys = [k for k in m if k != "names"]
     mom = {k: [np.zeros_like(m[k]), np.zeros_like(m[k])] for k in keys}
     m["train"] = True
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(x)))):
         for i in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH)):
             p, pooled, at = forward(m, x[i])
             d = p.copy()
@@ -138,16 +134,19 @@ def languages(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text
     language has the greatest mean probability, ties going to the first by name. Null and empty
     texts have null results, and so has every text if nothing is labelled; with a single language
     that is the answer. Rows with null labels or texts aren't trained on. Repeated rows are
-    classified each; other columns are ignored.
+    classified each, an empty table gives none; ids that aren't whole numbers read as null; other
+    columns are ignored. The network is fitted on ``train_rows`` texts of each language at most, and
+    on SAMPLE_BYTES of them, each read whole.
     """
-    known = labelled.select(col(id_col).cast("long").alias("i"), col(text_col).cast("string").alias("t"), col(label_col).cast("string").alias("y")).where("t is not null and t <> '' and y is not null and i is not null")
+    known = labelled.select(whole_id(labelled, id_col).alias("i"), col(text_col).cast("string").alias("t"), col(label_col).cast("string").alias("y")).where("t is not null and t <> '' and y is not null and i is not null")
     hashed = known.withColumn("o", F.xxhash64("i"))
     chosen = hashed.select("o", "i", "y").withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("o", "i"))).where(F.col("r") <= train_rows).select("i", "y").distinct()
-    sample = hashed.join(F.broadcast(chosen), ["i", "y"])
-    narrow = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    sample = bounded(hashed.join(F.broadcast(chosen), ["i", "y"]).groupBy("o", "i", "y").agg(F.min("t").alias("t")), SAMPLE_BYTES)
+    narrow = docs.select(whole_id(docs, id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(_apply(fitted(sample.select("o", "i", "t", "y"), fit, "t", "y")), "doc_id long, language string, probability double, windows int")
 
 
 def document_languages(spark, sf_dir: str) -> DataFrame:
+    """op2_language_id over the whole documents table, fitted on its own language column."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return languages(docs, docs)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import col, fitted, slices, strings, text_bytes
+from .common import col, fitted, slices, strings, text_bytes, whole_id
 from .toxicity import sample
 
 TRAIN_ROWS = 2000  # labelled documents of each class that the model is fitted on, by least id hash
@@ -16,50 +16,73 @@ PASSAGE = 512  # bytes; a text's last passage may be shorter
 PAIRS = 256  # buckets of neighbouring byte pairs
 HIDDEN, ATTENTION = 24, 12
 EPOCHS, RATE, BATCH = 12, 0.01, 64
+CHUNK = 4096  # passages whose features are counted at once
 
 
-def passages(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A row of features for every passage, and the number of passages of each text.
+def features(text: pa.Array) -> tuple[Iterator[np.ndarray], np.ndarray]:
+    """Rows of features of all passages, CHUNK at a time, and the number of passages of each text.
 
-    Features are log frequencies of bytes and of hashed byte pairs, how evenly both are spread,
-    and how much of the passage has been seen in the text's passage before.
+    Features are log frequencies of bytes and of hashed byte pairs, and how evenly both are spread.
     """
     raw, off = text_bytes(strings(text))
-    length = np.diff(off)
-    n = -(-length // PASSAGE)
-    total = int(n.sum())
-    if not total:
-        return np.zeros((0, 256 + PAIRS + 2), np.float32), n
-    doc = np.repeat(np.arange(len(n)), n)
-    inside = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-    start = off[:-1][doc] + inside * PASSAGE
-    size = np.minimum(PASSAGE, off[1:][doc] - start)
-    of = np.repeat(np.arange(total), size)
-    one = np.bincount(of * 256 + raw, minlength=total * 256).reshape(total, 256)
-    pair = (raw[:-1].astype(np.int64) * 31 + raw[1:] * 7) % PAIRS
-    same = of[:-1] == of[1:]
-    two = np.bincount(of[:-1][same] * PAIRS + pair[same], minlength=total * PAIRS).reshape(total, PAIRS)
-    scale = (1000.0 / (size + 64))[:, None]  # a short passage says less
-    out = np.empty((total, 256 + PAIRS + 2), np.float32)
-    out[:, :256] = np.log1p(one * scale)
-    out[:, 256:-2] = np.log1p(two * scale)
-    out[:, -2] = (one > 0).sum(1) / np.minimum(size, 64)
-    out[:, -1] = (two > 0).sum(1) / np.minimum(size, PAIRS)
-    return out, n
-
-
-def _forward(m: dict, x: np.ndarray, start: np.ndarray) -> tuple:
+    n = -(-np.diff(off) // PASSAGE)
+
+    def rows() -> Iterator[np.ndarray]:
+        ends = np.cumsum(n)
+        for low in range(0, int(n.sum()), CHUNK):
+            at = np.arange(low, min(low + CHUNK, int(ends[-1])))
+            doc = np.searchsorted(ends, at, "right")
+            start = off[:-1][doc] + (at - (ends - n)[doc]) * PASSAGE
+            size = np.minimum(PASSAGE, off[1:][doc] - start)
+            part = raw[start[0] : start[-1] + size[-1]]
+            of = np.repeat(np.arange(len(at)), size)
+            one = np.bincount(of * 256 + part, minlength=len(at) * 256).reshape(len(at), 256)
+            pair = (part[:-1].astype(np.int64) * 31 + part[1:] * 7) % PAIRS
+            same = of[:-1] == of[1:]
+            two = np.bincount(of[:-1][same] * PAIRS + pair[same], minlength=len(at) * PAIRS).reshape(len(at), PAIRS)
+            scale = (1000.0 / (size + 64))[:, None]  # a short passage says less
+            out = np.empty((len(at), 256 + PAIRS + 2), np.float32)
+            out[:, :256] = np.log1p(one * scale)
+            out[:, 256:-2] = np.log1p(two * scale)
+            out[:, -2] = (one > 0).sum(1) / np.minimum(size, 64)
+            out[:, -1] = (two > 0).sum(1) / np.minimum(size, PAIRS)
+            yield out
+
+    return rows(), n
+
+
+def passages(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all passages at once; for a sample."""
+    rows, n = features(text)
+    return np.concatenate([np.zeros((0, 256 + PAIRS + 2), np.float32), *rows]), n
+
+
+def _forward(m: dict, rows: Iterable[np.ndarray], start: np.ndarray) -> tuple:
     """Encoded passages, gates, attention, and the logit of each document (all with passages)."""
-    h = np.tanh((x - m["mean"]) / m["dev"] @ m["W"] + m["b"])
+    h = np.concatenate([np.tanh((x - m["mean"]) / m["dev"] @ m["W"] + m["b"]) for x in rows])
     t, g = np.tanh(h @ m["V"]), 1 / (1 + np.exp(-(h @ m["U"])))
     e = (t * g) @ m["w"]
-    n = np.diff(np.r_[start, len(x)])
+    n = np.diff(np.r_[start, len(h)])
     e = np.exp(e - np.repeat(np.maximum.reduceat(e, start), n))
     a = e / np.repeat(np.add.reduceat(e, start), n)
     z = np.add.reduceat(a[:, None] * h, start)
     return h, t, g, a, z, z @ m["c"] + m["c0"]
 
 
+def gradient(m: dict, x: np.ndarray, start: np.ndarray, good: np.ndarray, weight: np.ndarray) -> dict:
+    """Of the mean weighted log loss of some documents, by each parameter."""
+    h, t, g, a, z, logit = _forward(m, [x], start)
+    n = np.diff(np.r_[start, len(x)])
+    dl = ((1 / (1 + np.exp(-logit)) - good) * weight / len(start)).astype(h.dtype)
+    of = np.repeat(np.arange(len(start)), n)
+    dz = dl[:, None] * m["c"]
+    da = (dz[of] * h).sum(1)
+    de = a * (da - np.add.reduceat(a * da, start)[of])
+    dt, dg = de[:, None] * m["w"] * g * (1 - t * t), de[:, None] * m["w"] * t * g * (1 - g)
+    dh = (a[:, None] * dz[of] + dt @ m["V"].T + dg @ m["U"].T) * (1 - h * h)
+    return {"c": z.T @ dl, "c0": dl.sum(), "w": (t * g).T @ de, "V": h.T @ dt, "U": h.T @ dg, "W": ((x - m["mean"]) / m["dev"]).T @ dh, "b": dh.sum(0)}
+
+
 def fit(texts: pa.Array, good: np.ndarray, seed: int = 7) -> dict:
     """The encoder, the gated attention and the classifier, trained together from document labels
     alone by Adam on the log loss; a fifth of the documents is held out to set the threshold."""
@@ -82,16 +105,7 @@ def fit(texts: pa.Array, good: np.ndarray, seed: int = 7) -> dict:
     for _ in range(EPOCHS):
         for docs in np.array_split(rng.permutation(train), max(1, len(train) // BATCH)):
             rows = np.concatenate([np.arange(first[i], first[i] + n[i]) for i in docs])
-            start = np.cumsum(n[docs]) - n[docs]
-            h, t, g, a, z, logit = _forward(m, x[rows], start)
-            dl = ((1 / (1 + np.exp(-logit)) - good[docs]) * weight[docs] / len(docs)).astype(np.float32)
-            of = np.repeat(np.arange(len(docs)), n[docs])
-            dz = dl[:, None] * m["c"]
-            da = (dz[of] * h).sum(1)
-            de = a * (da - np.add.reduceat(a * da, start)[of])
-            dt, dg = de[:, None] * m["w"] * g * (1 - t * t), de[:, None] * m["w"] * t * g * (1 - g)
-            dh = (a[:, None] * dz[of] + dt @ m["V"].T + dg @ m["U"].T) * (1 - h * h)
-            grad = {"c": z.T @ dl, "c0": dl.sum(), "w": (t * g).T @ de, "V": h.T @ dt, "U": h.T @ dg, "W": ((x[rows] - m["mean"]) / m["dev"]).T @ dh, "b": dh.sum(0)}
+            grad = gradient(m, x[rows], np.cumsum(n[docs]) - n[docs], good[docs], weight[docs])
             step += 1
             for k, v in grad.items():
                 v = v + 1e-4 * m[k]
@@ -110,12 +124,12 @@ def fit(texts: pa.Array, good: np.ndarray, seed: int = 7) -> dict:
 
 def score(m: dict, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's probability of being good, its largest attention, and its number of passages."""
-    x, n = passages(text)
+    rows, n = features(text)
     p, most = np.zeros(len(n)), np.zeros(len(n))
     some = n > 0
     if some.any():
         start = (np.cumsum(n) - n)[some]
-        *_, a, _, logit = _forward(m, x, start)
+        *_, a, _, logit = _forward(m, rows, start)
         p[some] = 1 / (1 + np.exp(-np.clip(logit.astype(float), -60, 60)))
         most[some] = np.maximum.reduceat(a, start)
     return p, most, n
@@ -151,15 +165,16 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     A text is kept when its probability of being good reaches the threshold set on held-out
     labelled texts. Null and empty texts have null scores and aren't kept; without labels of both
-    classes all other texts are. Texts are read whole, repeated rows scored each; other columns
-    are ignored.
+    classes all other texts are. Texts are read whole, repeated rows scored each, an empty table
+    gives none; ids that aren't whole numbers read as null; other columns are ignored.
     """
-    narrow = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    narrow = docs.select(whole_id(docs, id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(_score(_model(docs, labels, id_col, text_col, train_rows)), "doc_id long, quality double, top_attention double, passages int, keep boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps; columns as they came."""
+    """The rows of ``docs`` that ``quality`` keeps; columns as they came, whatever their names.
+    Null and empty texts go, repeated rows stay or go together, ids matter for training alone."""
     shared = _model(docs, labels, id_col, text_col, train_rows)
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names may repeat, Arrow's can't
     kept = plain.mapInArrow(_keep(shared, docs.columns.index(text_col)), plain.schema)
@@ -167,4 +182,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 
 def document_quality(spark, sf_dir: str) -> DataFrame:
+    """op7_quality_classifier over the whole documents table."""
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chain, col, fitted, hash_strings, slices, strings, words
+from .common import SAMPLE_BYTES, bounded, chain, col, fitted, hash_strings, slices, strings, whole_id, words
 
 TRAIN_ROWS = 5000  # labelled documents of each class that the models are fitted on, by least id hash
 OWN_DISCOUNT = 1.5  # of the contexts that a class itself has for a word
@@ -178,16 +178,17 @@ def _apply(shared):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(o, i, t, y): texts and 0/1 labels of at most ``rows`` labelled documents of each class, those of least id hash.
+    """(o, i, t, y): texts and 0/1 labels of at most ``rows`` labelled documents of each class, those
+    of least id hash, with SAMPLE_BYTES of text a class at most.
 
     Null or contradictory labels are left out; of rows that repeat an id one is taken.
     """
-    marked = labels.select(col(id_col).cast("long").alias("i"), col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)")
+    marked = labels.select(whole_id(labels, id_col).alias("i"), col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)")
     marked = marked.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
     rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))
     chosen = F.broadcast(marked.withColumn("rank", rank).where(F.col("rank") <= rows).select("i", "y"))
-    texts = docs.select(col(id_col).cast("long").alias("i"), col(text_col).cast("string").alias("t")).where("t is not null").join(chosen, "i")
-    return texts.groupBy("i", "y").agg(F.min("t").alias("t")).withColumn("o", F.xxhash64("i"))
+    texts = docs.select(whole_id(docs, id_col).alias("i"), col(text_col).cast("string").alias("t")).where("t is not null").join(chosen, "i")
+    return bounded(texts.groupBy("i", "y").agg(F.min("t").alias("t")).withColumn("o", F.xxhash64("i")), SAMPLE_BYTES)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -196,12 +197,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     The likelihoods are logs per word; a text is toxic when their difference reaches the margin
     learned from held-out labelled texts. Null, empty and wordless texts have null scores and
     aren't toxic; without labels of both classes nothing is known, and nothing is toxic. Texts
-    are read whole. Repeated rows are scored each; other columns are ignored.
+    are read whole. Repeated rows are scored each, an empty table gives none; ids that aren't whole
+    numbers read as null; other columns are ignored.
     """
     shared = fitted(sample(docs, labels, "toxic", train_rows, id_col, text_col), fit, "t", "y")
-    narrow = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    narrow = docs.select(whole_id(docs, id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(_apply(shared), "doc_id long, toxic_ll double, ordinary_ll double, margin double, is_toxic boolean")
 
 
 def toxic_documents(spark, sf_dir: str) -> DataFrame:
+    """op1_toxicity over the whole documents table."""
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

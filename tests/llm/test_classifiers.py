@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -202,3 +205,126 @@ def test_language_edges(spark):
     assert language.languages(docs, docs).count() == len(rows) + len(odd)
     assert language.languages(docs, docs.where("false")).where("language is not null").count() == 0
     assert language.languages(docs.where("false"), docs).count() == 0
+
+
+def test_quality_gradient_is_the_losss():
+    """Against differences of the loss, in double precision."""
+    texts, y = junk(24)
+    x, n = quality.passages(pa.array(texts))
+    model = {k: np.asarray(v, float) for k, v in quality.fit(pa.array(texts), np.array(y)).items()}
+    x, y, weight = x.astype(float), np.array(y, float), np.linspace(0.5, 2, 24)
+    start = np.cumsum(n) - n
+
+    def loss(m):
+        z = quality._forward(m, [x], start)[-1]
+        return float(np.mean(weight * (np.log1p(np.exp(z)) - y * z)))
+
+    rng = np.random.default_rng(3)
+    for name, g in quality.gradient(model, x, start, y, weight).items():
+        for _ in range(4):
+            at = tuple(int(rng.integers(s)) for s in np.shape(model[name]))
+            moved = []
+            for by in (1e-5, -1e-5):
+                m = model | {name: model[name].copy()}
+                m[name][at] += by
+                moved.append(loss(m))
+            assert np.asarray(g)[at] == pytest.approx((moved[0] - moved[1]) / 2e-5, rel=1e-3, abs=1e-7), name
+
+
+def test_quality_score_against_plain_loop():
+    """Features, attention and the weighted sum by loops over passages, at any size of the pieces."""
+    texts, y = junk(60)
+    model = quality.fit(pa.array(texts), np.array(y))
+    some = texts[:6] + ["", "x", "ä" * 300, " ".join(texts)]
+    want = []
+    for t in some:
+        raw, logits, hidden = t.encode(), [], []
+        for k in range(0, len(raw), quality.PASSAGE):
+            b = raw[k : k + quality.PASSAGE]
+            one, two = np.zeros(256), np.zeros(quality.PAIRS)
+            for i, v in enumerate(b):
+                one[v] += 1
+                if i:
+                    two[(b[i - 1] * 31 + v * 7) % quality.PAIRS] += 1
+            scale = 1000 / (len(b) + 64)
+            x = np.r_[np.log1p(one * scale), np.log1p(two * scale), (one > 0).sum() / min(len(b), 64), (two > 0).sum() / min(len(b), quality.PAIRS)]
+            h = np.tanh((x - model["mean"]) / model["dev"] @ model["W"] + model["b"])
+            hidden.append(h)
+            logits.append((np.tanh(h @ model["V"]) / (1 + np.exp(-(h @ model["U"])))) @ model["w"])
+        if hidden:
+            a = np.exp(logits) / np.exp(logits).sum()
+            want.append((1 / (1 + np.exp(-(a @ np.array(hidden) @ model["c"] + model["c0"]))), a.max(), len(a)))
+        else:
+            want.append((0, 0, 0))
+    for chunk in (1, 3, 4096):
+        quality.CHUNK, before = chunk, quality.CHUNK
+        got = list(zip(*quality.score(model, pa.array(some))))
+        quality.CHUNK = before
+        assert np.allclose(got, want, atol=1e-3)
+
+
+def test_toxicity_fit_against_plain_counts():
+    """The tables of both classes from dictionaries of counts."""
+    texts, y = corpus(80)
+    y = np.array(y, bool)
+    discount = 0.75
+    model = toxicity._fit(pa.array(texts), y, discount)
+    docs = [re.findall(r"[\w]+", t.lower()) for t in texts]
+    pairs = [Counter(), Counter()]
+    for w, c in zip(docs, y):
+        pairs[int(c)].update(set(zip([None, *w[:-1]], w)))
+    vocabulary = sorted({w for d in docs for w in d})
+    contexts = [Counter(), Counter()]
+    for c in (0, 1):
+        for (_, w), n in pairs[c].items():
+            contexts[c][w] += n
+    have = {w: (contexts[0][w] > 0) + (contexts[1][w] > 0) for w in vocabulary}
+    share = lambda w: have.get(w, 1) / (sum(have.values()) + 1)
+    keep = [{w: max(contexts[c][w] - toxicity.OWN_DISCOUNT, 0) for w in vocabulary} for c in (0, 1)]
+    total = [sum(contexts[c].values()) for c in (0, 1)]
+    ordinary = lambda w: keep[0].get(w, 0) / total[0] + (1 - sum(keep[0].values()) / total[0]) * share(w)
+    back = max(toxicity.SHARED, 1 - sum(keep[1].values()) / total[1])
+    toxic = lambda w: (1 - back) * keep[1].get(w, 0) / sum(keep[1].values()) + back * ordinary(w)
+    follow, mass = [Counter(), Counter()], [Counter(), Counter()]
+    for c in (0, 1):
+        for (h, _), n in pairs[c].items():
+            follow[c][h] += n
+            mass[c][h] += max(n - discount, 0)
+    spare = lambda h: max(1 - mass[c][h] / max(follow[c][h], 1) for c in (0, 1))
+
+    def plain(h, w, c):
+        low = (ordinary, toxic)[c](w)
+        if h is not None and h not in have:
+            return low
+        s = spare(h)
+        own = max(pairs[c][h, w] - discount, 0)
+        return (1 - s) * own / mass[c][h] + s * low if own and s < 1 else s * low
+
+    some = [*texts[:10], "never seen words", texts[0] + " unseen " + texts[1]]
+    a, b, n = toxicity.score(model, pa.array(some))
+    differ = 0
+    for k, t in enumerate(some):
+        w = re.findall(r"[\w]+", t.lower())
+        for got, c in ((a[k], 1), (b[k], 0)):
+            assert got == pytest.approx(np.mean([np.log(plain(h, x, c)) for h, x in zip([None, *w[:-1]], w)]), abs=1e-9)
+        differ += any(pairs[0][p] != pairs[1][p] for p in zip(w, w[1:]))
+    assert differ and len(n) == len(some)
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    from siftspark.llm.common import bounded
+
+    rows = [(k, k, "x" * (10 + k % 3), k % 2) for k in range(50)] + [(99, 99, "y" * 500, 0)]
+    frame = spark.createDataFrame(rows, "o long, i long, t string, y int")
+    got = bounded(frame, 200).collect()
+    for y in (0, 1):
+        mine = sorted((r for r in got if r.y == y), key=lambda r: r.o)
+        assert 150 < sum(len(r.t) for r in mine) <= 200 and [r.i for r in mine] == sorted(k for k, _, _, v in rows if v == y)[: len(mine)]
+
+
+def test_ids_that_are_not_numbers_read_as_null(spark):
+    texts, y = corpus(60)
+    docs = spark.createDataFrame([(f"{k}" if k % 2 else f"id-{k}", t, "aa") for k, t in enumerate(texts)], "doc_id string, text string, lang string")
+    labels = spark.createDataFrame([(str(k), v, v) for k, v in enumerate(y)], "doc_id string, toxic int, quality int")
+    for out in (toxicity.toxicity(docs, labels), quality.quality(docs, labels), language.languages(docs, docs)):
+        assert Counter(r.doc_id is None for r in out.collect()) == {True: 30, False: 30}

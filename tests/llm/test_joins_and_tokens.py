@@ -277,3 +277,12 @@ def test_segment_is_linear_in_unknown_letters():
     began = time.perf_counter()
     assert "".join(urls.segment("zq" * 50_000, {"qz": 3.0, "z": 9.0}, 1e6)) == "zq" * 50_000
     assert time.perf_counter() - began < 5
+
+
+def test_decoding_nulls_and_foreign_ids(spark):
+    model = pieces.Model(open(pieces.MODEL, "rb").read())
+    a = model.encode(pa.array(["hello"]))[0].tolist()
+    rows = [(1, [*a, -1]), (2, [10**6, *a]), (3, [*a, None, *a]), (4, []), (5, None), (6, [None])]
+    got = {r.doc_id: r.text for r in pieces.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()}
+    assert got[1].startswith("hello") and got[1].endswith("⁇ ") and "⁇" in got[2] and got[2].endswith("hello") and got[3].count("hello") == 2
+    assert got[4] == "" and got[5] is None and "⁇" in got[6]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 << 20  # ids up to this size are broadcast; beyond, both sides shuffle
+FILTER_BYTES = 64 << 20  # of a broadcast Bloom filter, at most; a larger one lets less through to the shuffle
 SAMPLE_BYTES = 16 << 20  # text of each class that a model is fitted on; texts over an eighth of it aren't trained on
 SLICE_BYTES = 6 << 20  # text handled at once in a Python worker; bounds its memory, not the work
 
@@ -51,13 +52,72 @@ def whole_id(df: DataFrame, name: str) -> Column:
     return col(name).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else col(name).cast("string").try_cast("long")
 
 
-def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of ``docs`` whose id isn't in the one column of ``gone``; null ids stay."""
-    drop = fresh(docs, "drop_id")
+def _positions(bits: int):
+    def positions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64((1 << bits) - 1)
+        return mix(x) & mask, mix(x ^ np.uint64(0x9E3779B97F4A7C15)) & mask
+
+    return positions
+
+
+def _filter_bits(bits: int, part_bits: int):
+    positions = _positions(bits)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.concatenate(positions(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(part_bits)).astype(np.int32)), pa.array((at & np.uint64((1 << part_bits) - 1)).astype(np.int64))], ["part", "at"])
+
+    def build(table: pa.Table) -> pa.Table:
+        bit = np.zeros(1 << part_bits, np.uint8)
+        bit[table.column("at").to_numpy()] = 1
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([np.packbits(bit, bitorder="little").tobytes()], pa.binary())})
+
+    return spread, build
+
+
+def membership(values: DataFrame, filter_bytes: int = FILTER_BYTES) -> Callable[[Column], Column]:
+    """A test of long columns: false where a value surely isn't in the one column of ``values``.
+
+    A Bloom filter of about 16 bits a value and of ``filter_bytes`` at most, built in tasks and
+    broadcast. What it lets through besides, 1 in 70 below that size and more beyond, costs its
+    shuffle only: callers compare it in full. Nulls are in nothing.
+    """
+    spark = values.sparkSession
+    bits = int(min(max(12, np.ceil(np.log2(16 * max(values.count(), 1)))), max(12, np.floor(np.log2(8 * filter_bytes)))))
+    part_bits = min(bits, 22)
+    spread, build = _filter_bits(bits, part_bits)
+    found = values.mapInArrow(spread, "part int, at long").groupBy("part").applyInArrow(build, "part int, bits binary")
+    whole = np.zeros((1 << bits - part_bits, 1 << part_bits >> 3), np.uint8)
+    for row in found.toLocalIterator():
+        whole[row.part] = np.frombuffer(row.bits, np.uint8)
+    shared, positions = spark.sparkContext.broadcast(whole.ravel()), _positions(bits)
+
+    def test(x: pa.Array) -> pa.Array:
+        table = shared.value
+        v = pc.fill_null(x, 0).to_numpy(zero_copy_only=False).view(np.uint64)
+        in_all = np.ones(len(v), bool)
+        for at in positions(v):
+            in_all &= (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+        return pa.array(in_all & x.is_valid().to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(test, "boolean")
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose id isn't in the one column of ``gone``; null ids stay, and ids
+    that aren't whole numbers; repeated rows stay or go together.
+
+    Few ids are broadcast. Of many, only rows that may be among them are shuffled, and compared.
+    """
+    drop, key = fresh(docs, "drop_id"), whole_id(docs, id_col)
     gone = durable(gone.toDF(drop))
     if gone.count() * 8 <= broadcast_bytes:
-        gone = F.broadcast(gone)
-    return docs.join(gone, col(id_col).cast("long") == col(drop), "left_anti")
+        return docs.join(F.broadcast(gone), key == col(drop), "left_anti")
+    test, maybe = membership(gone, filter_bytes), fresh(docs, "maybe_gone")
+    marked = docs.withColumn(maybe, test(key))
+    rest = marked.where(col(maybe)).join(gone, key == col(drop), "left_anti")
+    return marked.where(~col(maybe)).drop(maybe).unionAll(rest.drop(maybe))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

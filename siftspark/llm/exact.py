@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import col, durable, fresh, shuffle_partitions
-
-BROADCAST_BYTES = 32 << 20  # duplicate fingerprints up to this size are broadcast; beyond, both sides shuffle
+from .common import FILTER_BYTES, col, durable, fresh, membership, shuffle_partitions, whole_id
 
 
 def golomb_encode(values: np.ndarray) -> tuple[int, bytes]:
@@ -98,46 +97,52 @@ def repeated_prints(prints: DataFrame) -> DataFrame:
     return sent.join(marks, ["owner", "pid"]).select("owner", "n", "k", "blob", "bitmap").mapInArrow(_recall(owner_bits), "print long").distinct()
 
 
-def _suspects(docs: DataFrame, text: str, print_: str, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """The rows whose fingerprint occurs again, and the others; both with the fingerprint."""
-    printed = docs.withColumn(print_, F.when(col(text).isNotNull(), F.xxhash64(col(text).cast("string"))))
-    again = durable(repeated_prints(printed.select(col(print_)).where(col(print_).isNotNull())))
-    again = again.select(F.col("print").alias(print_ + "x"))
-    if again.count() * 8 <= broadcast_bytes:
-        again = F.broadcast(again)
-    on = col(print_) == col(print_ + "x")
-    return printed.join(again, on, "left_semi"), printed.join(again, on, "left_anti")
-
-
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(doc_id, keep_id) of every document whose text, byte for byte, is also that of one with a
     smaller id; keep_id is the smallest.
 
-    Null texts equal nothing, empty texts equal each other, null ids aren't in the result, rows
-    that repeat an id with one text count as one document, and an empty table gives none. Only
-    texts whose fingerprint occurs again are shuffled, and they are compared in full. Other
-    columns are ignored.
+    Null texts equal nothing, empty texts equal each other, null ids aren't in the result, nor ids
+    that aren't whole numbers; rows that repeat an id with one text count as one document, and an
+    empty table gives none. Only texts that pass a filter of the fingerprints that occur again are
+    shuffled, each once a partition however often it is there, and they are compared in full;
+    other columns are ignored.
     """
-    narrow = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    suspects, _ = _suspects(narrow, "text", "print", broadcast_bytes)
-    kept = F.min("doc_id").over(Window.partitionBy("print", "text"))
-    return suspects.select("doc_id", kept.alias("keep_id")).where("doc_id <> keep_id").distinct()
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``docs`` with one row for each text: that of the smallest id (null ids last, then the other
-    columns' hash). Rows with a null text all stay; columns as they came."""
-    print_ = fresh(docs, "print")
-    suspects, others = _suspects(docs, text_col, print_, broadcast_bytes)
+    narrow = docs.select(whole_id(docs, id_col).alias("doc_id"), col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    printed = narrow.withColumn("print", F.xxhash64("text"))
+    ids = durable(printed.select("doc_id", "print"))
+    test = membership(durable(repeated_prints(ids.select("print"))), filter_bytes)
+    suspects = printed.where(test(F.col("print")))
+    kept = suspects.groupBy("print", "text").agg(F.min("doc_id").alias("keep_id"))
+    kept = durable(kept.groupBy("print").agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id")))
+    found = ids.where(test(F.col("print"))).join(kept.where("texts = 1").select("print", "keep_id"), "print").select("doc_id", "keep_id")
+    if kept.where("texts > 1").count():  # one fingerprint of several texts: nearly never
+        same = Window.partitionBy("print", "text")
+        several = suspects.join(kept.where("texts > 1").select("print"), "print", "left_semi").withColumn("keep_id", F.min("doc_id").over(same))
+        found = found.unionAll(several.select("doc_id", "keep_id"))
+    return found.where("doc_id <> keep_id").distinct()
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """``docs`` with one row for each text: that of the smallest id (ids that are null or no whole
+    numbers last, then the other columns' hash, maps by their sorted entries; variants aren't
+    compared). Rows with a null text all stay, of empty texts one does; columns as they came,
+    whatever their names. Only rows that pass a filter of the fingerprints that occur again are
+    shuffled, one a partition of each text."""
+    print_, maybe = fresh(docs, "print"), fresh(docs, "maybe")
+    printed = docs.withColumn(print_, F.when(col(text_col).isNotNull(), F.xxhash64(col(text_col).cast("string"))))
+    again = durable(repeated_prints(printed.select(col(print_)).where(col(print_).isNotNull())))
+    marked = printed.withColumn(maybe, membership(again, filter_bytes)(col(print_)))
+    suspects, others = marked.where(col(maybe)), marked.where(~col(maybe))
     rank = fresh(suspects, "rank")
-    rest = [col(f.name) for f in docs.schema.fields if f.name != text_col and "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    order = [col(id_col).asc_nulls_last(), F.xxhash64(*rest)]
+    rest = [F.to_json(F.array_sort(F.map_entries(col(f.name)))) if isinstance(f.dataType, T.MapType) else col(f.name) for f in docs.schema.fields if f.name != text_col and (isinstance(f.dataType, T.MapType) or "map<" not in f.dataType.simpleString()) and "variant" not in f.dataType.simpleString()]
+    order = [whole_id(docs, id_col).asc_nulls_last(), F.xxhash64(*rest)]
     first = suspects.withColumn(rank, F.row_number().over(Window.partitionBy(col(print_), col(text_col)).orderBy(*order))).where(col(rank) == 1)
     names = [col(c) for c in docs.columns]
     return first.select(*names).unionAll(others.select(*names))
 
 
 def exact_copies(spark, sf_dir: str) -> DataFrame:
+    """op8_exact_dedup over the whole documents table."""
     return copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

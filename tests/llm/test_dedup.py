@@ -5,7 +5,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from siftspark.llm import exact, simhash
+from siftspark.llm.common import without_ids
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, print string, keep_id string, drop_id string, sig long, rank int"
@@ -26,12 +29,12 @@ def test_golomb_round_trip(values):
 ROWS = [(1, "a"), (2, "a"), (2, "a"), (3, None), (4, None), (5, ""), (6, ""), (None, "a"), (7, "b"), (8, "x" * 200_000), (9, "x" * 200_000), (10, "x" * 199_999 + "y")]
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("limit", [1, 1 << 20])  # a filter that lets much through, or little
 def test_exact_copies_and_dedup(spark, limit):
     docs = table(spark, ROWS)
-    found = sorted(tuple(r) for r in exact.copies(docs, broadcast_bytes=limit).collect())
+    found = sorted(tuple(r) for r in exact.copies(docs, filter_bytes=limit).collect())
     assert found == [(2, 1), (6, 5), (9, 8)]
-    kept = exact.exact_dedup(docs, broadcast_bytes=limit)
+    kept = exact.exact_dedup(docs, filter_bytes=limit)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect())) == [1, 3, 4, 5, 7, 8, 10]
 
@@ -156,3 +159,44 @@ def test_near_edge_cases(spark):
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 99), (7, 7)], "a long, b long")
     assert {(r.id, r.root) for r in simhash.components(edges).collect()} == {(k, 0) for k in range(1, 41)} | {(100, 99)}
+
+
+def test_filter_misses_nothing_and_lets_little_through(spark):
+    from siftspark.llm.common import membership
+
+    values = spark.range(0, 40_000, 2).toDF("v")
+    for limit, most in ((1 << 20, 0.05), (2_000, 1.0)):
+        test = membership(values, limit)
+        got = spark.range(40_001).select("id", test(F.when(F.col("id") < 40_000, F.col("id"))).alias("in")).groupBy(F.col("id") % 2).agg(F.avg(F.col("in").cast("int"))).collect()
+        share = {r[0]: r[1] for r in got}
+        assert share[0] == pytest.approx(20_000 / 20_001) and share[1] <= most
+
+
+def test_one_fingerprint_of_several_texts(spark, monkeypatch):
+    """With a fingerprint that tells nothing apart, texts are still compared in full."""
+    monkeypatch.setattr(exact.F, "xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 1 else F.hash(*c).cast("long"))
+    docs = table(spark, ROWS)
+    assert sorted(tuple(r) for r in exact.copies(docs).collect()) == [(2, 1), (6, 5), (9, 8)]
+    assert sorted(r.doc_id for r in exact.exact_dedup(docs).collect()) == [1, 3, 4, 5, 7, 8, 10]
+
+
+def test_unsuspected_texts_are_not_shuffled(spark):
+    """No exchange holds texts but behind the filter, and nothing is joined by text."""
+    docs = table(spark, [(k, f"text {k % 70}") for k in range(100)])
+    for out in (exact.exact_dedup(docs), without_ids(docs, "doc_id", docs.select("doc_id").limit(9), 0)):
+        rows = out.collect()
+        assert len(rows) == len({r.text for r in rows}) or len(rows) == 91
+        tree = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "pythonUDF" in tree or "test(" in tree
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        union = plan.split("\n- ")
+        assert "SortMergeJoin" not in plan.split("Union")[0] and union
+
+
+def test_maps_break_ties_the_same_way_however_rows_lie(spark):
+    rows = [(1, "same", {"a": k, "b": 2}) for k in range(6)]
+    got = set()
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "doc_id long, text string, m map<string,int>").repartition(3)
+        got.add(str([r.m for r in exact.exact_dedup(frame).collect()]))
+    assert len(got) == 1

@@ -14,7 +14,9 @@ from .common import col, durable, fresh
 
 SHARD_BYTES = 16 << 20  # text bytes aimed at in a shard
 TOLERANCE = 0.0  # allowed error of a splitter, as a share of a shard; 0 finds the exact key
-PROBES = 48  # candidate keys in each open interval and round
+PROBES = 48  # candidate keys in each open interval and round, fewer where many intervals are open
+ALL_PROBES = 1 << 18  # candidate keys in a round, at most two an interval beyond
+MAX_PARTS = 1 << 16  # partitions of the exchange; more shards than that share partitions
 
 
 def _below(probes: list[bytes]):
@@ -44,7 +46,7 @@ def _sample(intervals: list[tuple[bytes | None, bytes | None]], n: int):
                 k = bisect_left(lows, x) - 1
                 if k >= 0 and (intervals[k][1] is None or x < intervals[k][1]):
                     found[k][x] = h
-                    if len(found[k]) > 8 * n:
+                    if len(found[k]) > 4 * n:
                         found[k] = dict(sorted(found[k].items(), key=lambda p: p[1])[:n])
         for k, mine in enumerate(found):
             least = sorted(mine.items(), key=lambda p: p[1])[:n]
@@ -54,11 +56,12 @@ def _sample(intervals: list[tuple[bytes | None, bytes | None]], n: int):
     return pick
 
 
-def find_splitters(keys: DataFrame, shards: int, total: int, tolerance: float = TOLERANCE, probes: int = PROBES) -> list[bytes]:
-    """The keys that end the shards, all but the last: of (key binary, size long, h long) the i-th
-    is the least key up to which the sizes add to at least i/shards of the total, or one whose
-    sum is within the tolerance of it."""
-    targets = [-(-i * total // shards) for i in range(1, shards)]
+def find_splitters(keys: DataFrame, shards: int, total: int, tolerance: float = TOLERANCE, probes: int = PROBES, ends: list[int] | None = None) -> tuple[list[bytes], list[int]]:
+    """The keys that end the shards, all but the last, and the bytes up to and with each: of (key
+    binary, size long, h long) the i-th is the least key up to which the sizes add to at least
+    i/shards of the total, or one whose sum is within the tolerance of it. ``ends``: only these i."""
+    targets = [-(-i * total // shards) for i in (range(1, shards) if ends is None else ends)]
+    sums = [0] * len(targets)
     slack = int(tolerance * total / shards)
     # of each target: the keys that bound it, both exclusive, and the bytes up to and with the lower
     low: list[bytes | None] = [None] * len(targets)
@@ -67,6 +70,7 @@ def find_splitters(keys: DataFrame, shards: int, total: int, tolerance: float =
     done: list[bytes | None] = [None] * len(targets)
     while open_ := [i for i, d in enumerate(done) if d is None]:
         spans = sorted({(low[i], high[i]) for i in open_}, key=lambda s: s[0] or b"")
+        probes = min(probes, max(2, ALL_PROBES // len(spans)))
         picked = (
             keys.mapInArrow(_sample(spans, probes), "k int, h long, key binary").groupBy("k")
             .agg(F.slice(F.array_sort(F.collect_set(F.struct("h", "key"))), 1, probes).alias("s")).collect()
@@ -83,12 +87,12 @@ def find_splitters(keys: DataFrame, shards: int, total: int, tolerance: float =
             for k in range(a, b):
                 if upto[2 * k + 1] >= targets[i] or abs(int(upto[2 * k + 1]) - targets[i]) <= slack:
                     if upto[2 * k] < targets[i] or abs(int(upto[2 * k + 1]) - targets[i]) <= slack:
-                        done[i] = candidates[k]  # the target falls on this very key
+                        done[i], sums[i] = candidates[k], int(upto[2 * k + 1])  # the target falls on this very key
                     else:
                         high[i] = candidates[k]
                     break
                 low[i], base[i] = candidates[k], int(upto[2 * k + 1])
-    return [d for d in done if d is not None]
+    return [d for d in done if d is not None], sums
 
 
 def _place(splitters: list[bytes]):
@@ -98,7 +102,26 @@ def _place(splitters: list[bytes]):
     return place
 
 
-def histogram_sort(docs: DataFrame, key_cols: tuple[str, ...] = ("source", "doc_id"), text_col: str = "text", shard_bytes: int = SHARD_BYTES, tolerance: float = TOLERANCE, shard_name: str = "shard") -> DataFrame:
+def _number(bases: list[int], shards: int, total: int):
+    """The shard of each row of partitions sorted by key, from the bytes of all keys below its own."""
+
+    def number(rows: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        last, below, mine = None, 0, 0  # the key before, bytes below it, bytes of it so far
+        for part, key, size in rows:
+            out = []
+            for p, k, n in zip(part.to_pylist(), key.to_pylist(), size.to_pylist()):
+                if last is None or last[0] != p:
+                    below, mine = bases[p], 0
+                elif last[1] != k:
+                    below, mine = below + mine, 0
+                last, mine = (p, k), mine + n
+                out.append(min(shards - 1, below * shards // total))
+            yield pa.array(out, pa.int32())
+
+    return number
+
+
+def histogram_sort(docs: DataFrame, key_cols: tuple[str, ...] = ("source", "doc_id"), text_col: str = "text", shard_bytes: int = SHARD_BYTES, tolerance: float = TOLERANCE, shard_name: str = "shard", max_parts: int = MAX_PARTS) -> DataFrame:
     """All rows of ``docs`` in shards of about ``shard_bytes`` of text, with the shard's number.
 
     Shards are ranges of the key columns' order (nulls first, strings by bytes, integers by
@@ -106,7 +129,9 @@ def histogram_sort(docs: DataFrame, key_cols: tuple[str, ...] = ("source", "doc_
     ceil(total bytes / shard_bytes) shards, some of them empty where one key outweighs a shard.
     Null and empty texts have no bytes; an empty table stays so. The shard column is called
     ``shard``, lengthened by underscores if there is one. Counting reads a narrow table of keys
-    and sizes that is written once; the documents themselves move once.
+    and sizes that is written once; the documents themselves move once. Of more shards than
+    ``max_parts`` splitters are sought between partitions of several shards only, and a running sum
+    numbers the shards within each. Key columns may be strings, integers or what casts to strings.
     """
     name, key = fresh(docs, shard_name), fresh(docs, "sort_key")
     types = dict(docs.dtypes)
@@ -123,12 +148,20 @@ def histogram_sort(docs: DataFrame, key_cols: tuple[str, ...] = ("source", "doc_
     sizes = durable(keyed.select(col(key).alias("key"), F.coalesce(F.octet_length(col(text_col).cast("string")), F.lit(0)).cast("long").alias("size"), F.xxhash64(col(key)).alias("h")))
     total = sizes.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    splitters = find_splitters(sizes, shards, total, tolerance)
-    placed = keyed.withColumn(name, F.arrow_udf(_place(splitters), "int")(col(key)))
-    return placed.repartitionById(shards, col(name)).sortWithinPartitions(col(key)).drop(key)
+    if shards <= max_parts:
+        splitters, _ = find_splitters(sizes, shards, total, tolerance)
+        placed = keyed.withColumn(name, F.arrow_udf(_place(splitters), "int")(col(key)))
+        return placed.repartitionById(shards, col(name)).sortWithinPartitions(col(key)).drop(key)
+    ends = [j * shards // max_parts for j in range(1, max_parts)]
+    splitters, sums = find_splitters(sizes, shards, total, tolerance, ends=ends)
+    part, size = fresh(keyed, "part"), fresh(keyed, "size")
+    placed = keyed.withColumn(part, F.arrow_udf(_place(splitters), "int")(col(key))).withColumn(size, F.coalesce(F.octet_length(col(text_col).cast("string")), F.lit(0)).cast("long"))
+    moved = placed.repartitionById(max_parts, col(part)).sortWithinPartitions(col(key))
+    return moved.withColumn(name, F.arrow_udf(_number([0, *sums], shards, total), "int")(col(part), col(key), col(size))).drop(key, part, size)
 
 
 def sharded_documents(spark, sf_dir: str) -> DataFrame:
+    """op3_histogram_sort over the whole documents table."""
     return histogram_sort(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

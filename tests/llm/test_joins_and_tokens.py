@@ -179,6 +179,8 @@ def test_histogram_sort_against_sorting(spark, n_bytes):
     want, n, key = brute_shards(rows, n_bytes)
     got = [(r.doc_id, r.source, r.text, r["shard_"]) for r in out.collect()]
     assert Counter(r[:3] for r in got) == Counter(rows) and all(want[key(r)] == r[3] for r in got)
+    few = shards.histogram_sort(docs, shard_bytes=n_bytes, max_parts=5)
+    assert Counter(tuple(r) for r in few.collect()) == Counter(tuple(r) for r in out.collect()) and few.rdd.getNumPartitions() <= max(5, 1)
     parts = out.rdd.glom().map(lambda p: [(r.doc_id, r.source, r.text, r["shard_"]) for r in p]).collect()
     assert len(parts) == n
     for k, p in enumerate(parts):

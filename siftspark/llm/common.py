@@ -32,16 +32,26 @@ def col(name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of the session's ``spark.checkpoint.dir``; only where that is unset (tests,
-    one machine) a temporary one, set for the session."""
+    """The folder of the session's ``spark.checkpoint.dir``; only on one machine (tests) may that
+    be unset, and then it is a temporary one, set for the session."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("sift"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp("sift"))
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a written folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder, its lineage cut."""
+    """``df`` written to the cluster's checkpoint folder, its lineage cut. Spark deletes the files
+    once nothing refers to them, if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 

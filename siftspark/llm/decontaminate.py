@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chain, col, hash_strings, slices, strings, without_ids, words
+from .common import chain, col, hash_strings, slices, strings, whole_id, without_ids, words
 
 SEED = 3  # words in a seed; an item with fewer is its own seed
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -126,13 +126,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     words must occur whole.
 
     No n-gram is too frequent to count. The benchmark is indexed in parts of ``index_bytes``, one
-    pass over the documents for each. Null ids, null texts and texts or
+    pass over the documents for each. Ids that are null or no whole numbers, null texts and texts or
     items without words give nothing; rows that repeat an id give their best score; items that
     repeat an id count apart and give their best; other columns are ignored.
     """
     spark = docs.sparkSession
-    narrow = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    items = benchmark.select(col(item_col).cast("long").alias("i"), col(item_text_col).cast("string").alias("t")).where("i is not null and t is not null")
+    narrow = docs.select(whole_id(docs, id_col).alias("doc_id"), col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    items = benchmark.select(whole_id(benchmark, item_col).alias("i"), col(item_text_col).cast("string").alias("t")).where("i is not null and t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0]
     out = None
     for part in range(max(1, -(-(size or 0) // index_bytes))):
@@ -144,9 +144,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; columns as they came."""
+    """``docs`` without those that hold a benchmark item; columns as they came, whatever their
+    names. Rows with a null id, an id that is no whole number, a null or an empty text all stay;
+    rows that repeat an id stay or go together."""
     return without_ids(docs, id_col, leaks(docs, benchmark, id_col, **how).select("doc_id").distinct())
 
 
 def benchmark_leaks(spark, sf_dir: str) -> DataFrame:
+    """op4_benchmark_decontamination over the whole documents and benchmark tables."""
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

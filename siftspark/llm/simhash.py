@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chain, col, durable, hash_strings, mix, slices, without_ids, words
+from .common import chain, col, durable, hash_strings, mix, slices, whole_id, without_ids, words
 
 BUDGET = 11  # differing bits allowed between two word signatures
 CONFIRM = (18, 38)  # differing bits allowed between the same texts' word-pair signatures (64 bits) and word-triple ones (128)
@@ -81,7 +81,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sig, pair, triple0, triple1) of every document that has an id and at least one word."""
-    narrow = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    narrow = docs.select(whole_id(docs, id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
     return narrow.where("doc_id is not null and text is not null").mapInArrow(_sign, "doc_id long, " + ", ".join(f"{x} long" for x in SIGS))
 
 
@@ -266,7 +266,7 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Every pair (doc_a < doc_b, bits) of documents whose word signatures differ in at most
     ``budget`` bits, and their word-pair and word-triple signatures in at most ``confirm``.
 
-    Null ids, null texts and texts without words meet nobody. Rows that repeat an id count as one
+    Null ids, ids that aren't whole numbers, null texts and texts without words meet nobody. Rows that repeat an id count as one
     document; if their texts differ, each text is compared. Other columns are ignored.
     """
     signed = durable(sign(docs, id_col, text_col).distinct())
@@ -282,7 +282,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, keep_id) of every document that is a near copy of another, but the one kept.
 
     Groups are the connected components of near_pairs; the least id of a group stays and is the
-    keep_id of the others. Null ids, null texts, texts without words and documents without near
+    keep_id of the others. Null ids, ids that aren't whole numbers, null texts, texts without words and documents without near
     copies aren't in the result; rows that repeat an id count as one document; an empty table
     gives none. Texts of any length are read whole. Other columns are ignored.
     """
@@ -294,9 +294,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, confirm: tuple[int, int] = CONFIRM) -> DataFrame:
-    """``docs``, of each near-copy group only the rows of its least id; columns as they came."""
+    """``docs``, of each near-copy group only the rows of its least id; columns as they came,
+    whatever their names. Rows with a null id, an id that is no whole number, a null text or a
+    text without words all stay; rows that repeat an id stay or go together."""
     return without_ids(docs, id_col, near_groups(docs, id_col, text_col, budget, confirm).select("doc_id"))
 
 
 def simhash_groups(spark, sf_dir: str) -> DataFrame:
+    """op10_simhash_near_dedup over the whole documents table."""
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -88,3 +88,20 @@ def test_registered_queries(spark, name):
     at = [result.columns.index(x) for x in sorted(df.columns)]
     want = sorted(tuple(r[i] for i in at) for r in result.fetchall())
     assert sorted(tuple(r[x] for x in sorted(df.columns)) for r in df.collect()) == want
+
+
+def test_stages_with_clashing_columns_and_a_very_long_text(spark, tmp_path):
+    """Columns named like the operators' own, one text of megabytes: every stage goes through."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    long = " ".join(f"word{k % 5000}" for k in range(400_000))
+    extra = spark.createDataFrame([(10**6, long, "en", "web", len(long)), (None, long, "en", "web", len(long)), (None, None, None, None, None)], docs.schema)
+    docs = docs.unionAll(extra)
+    for name in ("print", "maybe", "rank", "drop_id", "maybe_gone", "sig", "id", "ids", "keep", "quality", "i", "t", "o", "y"):
+        docs = docs.withColumn(name, docs.n_chars)
+    columns = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, DATA)
+        assert docs.columns == columns or k == len(corpus_pipeline.STAGES) - 1
+        docs.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    assert docs.count() > 0

@@ -10,27 +10,28 @@ from siftspark.llm import common, decontaminate, exact, pieces, quality, simhash
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go, null and empty texts too; repeated rows
+    stay or go together."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with the same text one stays."""
+    """Of documents with the same text, byte for byte, that of the smallest id stays."""
     return exact.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-copy group stays."""
+    """The document of the smallest id of each near-copy group stays; so do all rows without an id."""
     return simhash.near_dedup(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item, perhaps edited, go; rows without an id stay."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left."""
+    """(doc_id, ids, n_tokens, round_trip) of every row that is left."""
     return pieces.encode(docs)
 
 
@@ -46,7 +47,8 @@ ORACLE_SQL = None  # learned models, alignment and tokenisation are beyond SQL;
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the cluster's shared folder."""
+    """All stages over documents; each but the last is written to the cluster's shared folder, and
+    deleted there when the next one is written. What the last one reads stays until the folder goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -54,4 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                common.remove(spark, f"{folder}/{k - 1}")
     return docs

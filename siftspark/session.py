@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``; where that is unset (tests, one
-    machine), below a temporary one."""
+    """A new folder below the session's ``spark.checkpoint.dir``; only on one machine (tests) may
+    that be unset, and then it is below a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("sift"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp("sift"))
     return f"{context.getCheckpointDir()}/{name}-{uuid4().hex}"

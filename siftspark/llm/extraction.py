@@ -8,15 +8,17 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, durable, hash_strings, mix, shuffle_partitions, whole_id
+from .common import chain, col, durable, hash_strings, mix, shuffle_partitions, whole_id
 
-PAGES = 3  # different pages of a host on which the tokens of a class occur
+SHARE = 0.01  # of a host's rows that have the tokens of a class
+PAGES = 3  # different pages on which they occur
 WORD_PAGES = 10  # the same for a class without a tag: words alone may agree by chance
 CLASS_SIZE = 3  # tokens of a template class
-PART_BYTES = 16 << 20  # html of a host that a task handles at once; layout only, never the result
+PART_BYTES = 8 << 20  # html of a host that a task handles at once; layout only, never the result
 BROADCAST_BYTES = 32 << 20  # of large hosts' names, up to which they are broadcast
 _TOKEN = re.compile(r"(<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\2\s*>|$)|<[^<>]*>?|[^<\s]+)", re.S | re.I)
 _NAME = re.compile(r"</?\s*([A-Za-z][A-Za-z0-9]*)")
@@ -41,17 +43,21 @@ class Reader:
     """Pages as codes of tokens: tags by their identity, words by themselves and the tag before."""
 
     def __init__(self):
-        self.identity: list[str] = []
-        self.text: list[str | None] = []  # None: a tag
+        self.text: list[str | None] = []  # of each code its word, None for a tag
+        self.tag: list[str] = []  # of each code the tag, or the one before the word
         self.tags: dict[str, tuple] = {}  # as written: code, words after it
         self.named: dict[str, tuple] = {}  # by identity
         self.bare: dict[str, int] = {}  # words before any tag
 
-    def _new(self, identity: str, text: str | None) -> int:
-        self.identity.append(identity)
+    def _new(self, tag: str, text: str | None) -> int:
+        self.tag.append(tag)
         self.text.append(text)
         return len(self.text) - 1
 
+    def hashes(self) -> np.ndarray:
+        word = pa.array(self.text, pa.string())
+        return chain(hash_strings(pa.array(self.tag, pa.string())), np.where(word.is_null().to_numpy(zero_copy_only=False), 0, hash_strings(pc.fill_null(word, ""))).astype(np.uint64))
+
     def read(self, page: str) -> np.ndarray:
         out = []
         tag, words = "", self.bare
@@ -70,7 +76,7 @@ class Reader:
             else:
                 code = words.get(t)
                 if code is None:
-                    code = words[t] = self._new(f"{tag} {t}", t)
+                    code = words[t] = self._new(tag, t)
             out.append(code)
         return np.array(out, np.int64)
 
@@ -95,7 +101,7 @@ class Group:
             self.copies[k] += 1
             self.of.append(k)
         self.hash = hash_strings(pa.array(list(seen), pa.large_string()).cast(pa.string()))
-        self.token = hash_strings(pa.array(self.reader.identity, pa.string()))
+        self.token = self.reader.hashes()
         self.is_tag = np.array([t is None for t in self.reader.text], bool)
         length = np.array([len(p) for p in self.page], np.int64)
         self.flat = np.concatenate([*self.page, np.zeros(0, np.int64)])
@@ -103,22 +109,26 @@ class Group:
         self.start = np.cumsum(length) - length
         self.length = length
 
-    def vectors(self) -> tuple[np.ndarray, ...]:
-        """Of each token that occurs: code, a hash of its occurrence vector (how often it is on
+    def vectors(self, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Of each token that occurs, or of the wanted ones: code, a hash of its occurrence vector (how often it is on
         each page), sum of its places, rows that have it, and its least page hashes.
 
         The vector's hash and the sum of places are sums over pages, so those of parts of a host
         add up to those of all of it.
         """
         n = max(len(self.page), 1)
-        at = np.arange(len(self.flat)) - self.start[self.doc]
-        order = np.argsort(self.flat * n + self.doc, kind="stable")
-        key = (self.flat * n + self.doc)[order]
+        at, flat, page = np.arange(len(self.flat)) - self.start[self.doc], self.flat, self.doc
+        if wanted is not None:
+            some = np.isin(self.token, wanted)[flat]
+            at, flat, page = at[some], flat[some], page[some]
+        key = flat * n + page
+        order = np.argsort(key, kind="stable")
+        key = key[order]
         run = np.flatnonzero(np.diff(key, prepend=-1))
         count = np.diff(np.r_[run, len(key)])
         code, doc = key[run] // n, key[run] % n
         copies = np.array(self.copies, np.int64)[doc]
-        place = ((at << _PLACE) // np.maximum(self.length[self.doc], 1))[order]
+        place = ((at << _PLACE) // np.maximum(self.length[page], 1))[order]
         mean = (np.add.reduceat(place, run) if len(run) else place) // count
         again = np.lexsort((self.hash[doc], code))  # by page hash within a token
         code, doc, count, copies, mean = code[again], doc[again], count[again], copies[again], mean[again]
@@ -130,9 +140,16 @@ class Group:
         pages = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(total(few.astype(np.int64)))].astype(np.int32)), pa.array(self.hash[doc][few].view(np.int64)))
         return code[first], total(mark), total(mean * copies), total(copies), pages
 
+    def frequent(self) -> np.ndarray:
+        """The tokens on SHARE of the rows. One on SHARE of a host's rows is so in some part of it."""
+        n = max(len(self.page), 1)
+        key = np.unique(self.flat * n + self.doc)
+        rows = np.bincount(key // n, np.array([*self.copies, 0], np.int64)[key % n], len(self.token))
+        return self.token[rows >= max(1, SHARE * sum(self.copies))]
+
     def classes(self) -> dict[str, np.ndarray]:
         """The candidate tokens, where these pages are all of the host."""
-        code, vector, place, rows, pages = self.vectors()
+        code, vector, place, rows, pages = self.vectors(self.frequent())
         n = np.diff(pages.offsets.to_numpy())
         order = np.lexsort((self.token[code].view(np.int64), place, vector))
         code, vector, rows, n = code[order], vector[order], rows[order], n[order]
@@ -281,12 +298,17 @@ def _whole(table: pa.Table) -> pa.Table:
     return _answer(table, group, c)
 
 
-def _vectors(table: pa.Table) -> pa.Table:
-    group = Group(table.column("html").to_pylist())
-    code, vector, place, rows, pages = group.vectors()
+def _frequent(table: pa.Table) -> pa.Table:
+    found = Group(table.column("html").to_pylist()).frequent()
+    return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(found), pa.string()), "t": found.view(np.int64)})
+
+
+def _vectors(table: pa.Table, tokens: pa.Table) -> pa.Table:
+    group = Group(table.column("html").to_pylist() if tokens.num_rows else [])
+    code, vector, place, rows, pages = group.vectors(tokens.column("t").to_numpy().view(np.uint64))
     half = np.uint64(32)
     return pa.table({
-        "host": pa.array([table.column("host")[0].as_py()] * len(code), pa.string()), "t": group.token[code].view(np.int64), "tag": group.is_tag[code],
+        "host": pa.array([table.column("host")[0].as_py() if len(code) else None] * len(code), pa.string()), "t": group.token[code].view(np.int64), "tag": group.is_tag[code],
         "hi": (vector >> half).view(np.int64), "lo": (vector & np.uint64(0xFFFFFFFF)).view(np.int64), "place": place, "n": rows, "pages": pages,
     })
 
@@ -310,46 +332,49 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(page_id, host, classes, template_tokens, slots, text) of every row of ``pages``.
 
     Tokens whose occurrence vectors over all different pages of a host are the same, hashed, make
-    a class if they are CLASS_SIZE, on at least PAGES pages (WORD_PAGES for words without any
-    tag), so that each layout of a host has classes of its own. Tokens that some page has out of
+    a class if they are CLASS_SIZE, on at least SHARE of the host's rows and on at least PAGES
+    different pages (WORD_PAGES for words without any tag), so that each layout of a host has
+    classes of its own. Tokens that some page has out of
     the class's order leave it. The classes that nest on a page are its template; slots are the
     texts between the template's tokens, in order, and text joins them by lines.
 
-    A host of more than ``part_bytes`` of html goes to tasks in parts: their vectors are added up,
-    classes come from the sums, and each part is held against them; results are those of one task.
+    A host of more than ``part_bytes`` of html goes to tasks in parts: what is frequent in one is
+    counted in all, vectors are added up, classes come from the sums, and each part is held
+    against them; results are those of one task.
     Pages without a host and hosts of fewer than PAGES different pages have no template: slots are
-    all their text. Null html gives null slots, empty html none. Repeated rows count once in the
-    template and come out each; ids that aren't whole numbers read as null; other columns are
+    all their text. Null html gives null slots, empty html none. Repeated rows are one page
+    but count each in the share, and come out each; ids that aren't whole numbers read as null; other columns are
     ignored.
     """
     host = F.nullif(F.lower(F.regexp_extract(col(url_col).cast("string"), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     narrow = pages.select(whole_id(pages, id_col).alias("page_id"), host.alias("host"), col(html_col).cast("string").alias("html"))
-    size = durable(narrow.groupBy("host").agg(F.sum(F.octet_length("html") + 64).alias("size")))
-    large = durable(size.where(F.col("size") > part_bytes).select(F.col("host").alias("h"), F.ceil(F.col("size") / part_bytes).cast("int").alias("parts")))
+    size = durable(narrow.groupBy("host").agg(F.sum(F.octet_length("html") + 64).alias("size"), F.count("html").alias("rows")))
+    large = durable(size.where(F.col("size") > part_bytes).select(F.col("host").alias("h"), F.ceil(F.col("size") / part_bytes).cast("int").alias("parts"), (F.col("rows") * SHARE).alias("least")))
     total, n_large = size.agg(F.sum("size")).first()[0] or 0, large.count()
-    n = max(shuffle_partitions(pages.sparkSession), -(-total // (2 * part_bytes)))
+    n = max(shuffle_partitions(pages.sparkSession), -(-total // part_bytes))
     # pages without a host need no company; those of a large one are spread over its parts
     other = F.pmod(F.xxhash64("page_id", "html"), F.lit(max(1, n))).cast("int")
     if not n_large:
         part = F.when(F.col("host").isNull(), other).otherwise(0)
         return narrow.withColumn("part", part).repartition(n, "host", "part").groupBy("host", "part").applyInArrow(_whole, _OUT)
     named = F.broadcast(large) if n_large * 64 <= BROADCAST_BYTES else large  # else the pages are shuffled by host first
-    placed = narrow.join(named, F.col("host") == F.col("h"), "left").drop("h")
+    placed = narrow.join(named.drop("least"), F.col("host") == F.col("h"), "left").drop("h")
     part = F.when(F.col("host").isNull(), other).when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "html"), F.col("parts")).cast("int"))
     placed = placed.select("page_id", "host", "html", part.alias("part"), (F.col("parts").isNotNull() & F.col("host").isNotNull()).alias("large")).repartition(n, "host", "part")
     small = placed.where("not large").groupBy("host", "part").applyInArrow(_whole, _OUT)
     apart = placed.where("large").groupBy("host", "part")
+    spread = lambda df: df.join(named, F.col("host") == F.col("h")).select(*df.columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).groupBy("host", "part")
+    often = apart.applyInArrow(_frequent, "host string, t long").distinct()
     sums = (
-        apart.applyInArrow(_vectors, "host string, t long, tag boolean, hi long, lo long, place long, n long, pages array<long>").groupBy("host", "t")
+        apart.cogroup(spread(often)).applyInArrow(_vectors, "host string, t long, tag boolean, hi long, lo long, place long, n long, pages array<long>").groupBy("host", "t")
         .agg(F.max("tag").alias("tag"), F.sum("hi").alias("hi"), F.sum("lo").alias("lo"), F.sum("place").alias("place"), F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"))
     )
     same = Window.partitionBy("host", "hi", "lo")
     tokens = (
-        sums.where(F.col("pages") >= PAGES)
-        .select("*", F.count("*").over(same).alias("size"), F.max("tag").over(same).alias("tagged"), F.min("t").over(same).alias("cls"), (F.row_number().over(same.orderBy("place", "t")) - 1).cast("long").alias("rank"))
+        sums.join(named, F.col("host") == F.col("h")).where((F.col("pages") >= PAGES) & (F.col("n") >= F.col("least")))
+        .select(*sums.columns, F.count("*").over(same).alias("size"), F.max("tag").over(same).alias("tagged"), F.min("t").over(same).alias("cls"), (F.row_number().over(same.orderBy("place", "t")) - 1).cast("long").alias("rank"))
         .where((F.col("size") >= CLASS_SIZE) & (F.col("tagged") | (F.col("pages") >= WORD_PAGES))).select("host", "t", "cls", "rank", "size", "n", "tag")
     )
-    spread = lambda df: df.join(F.broadcast(large) if n_large * 64 <= BROADCAST_BYTES else large, F.col("host") == F.col("h")).select(*df.columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).groupBy("host", "part")
     wrong = apart.cogroup(spread(tokens)).applyInArrow(_wrong, "host string, t long").distinct()
     left = Window.partitionBy("host", "cls")
     valid = tokens.join(wrong, ["host", "t"], "left_anti").withColumn("size", F.count("*").over(left)).where(F.col("size") >= CLASS_SIZE)

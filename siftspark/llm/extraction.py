@@ -45,38 +45,37 @@ class Reader:
     def __init__(self):
         self.text: list[str | None] = []  # of each code its word, None for a tag
         self.tag: list[str] = []  # of each code the tag, or the one before the word
-        self.tags: dict[str, tuple] = {}  # as written: code, words after it
+        self.raw: dict[str, tuple] = {}  # tags as written: code, words after it
         self.named: dict[str, tuple] = {}  # by identity
         self.bare: dict[str, int] = {}  # words before any tag
 
-    def _new(self, tag: str, text: str | None) -> int:
-        self.tag.append(tag)
-        self.text.append(text)
-        return len(self.text) - 1
-
     def hashes(self) -> np.ndarray:
         word = pa.array(self.text, pa.string())
         return chain(hash_strings(pa.array(self.tag, pa.string())), np.where(word.is_null().to_numpy(zero_copy_only=False), 0, hash_strings(pc.fill_null(word, ""))).astype(np.uint64))
 
     def read(self, page: str) -> np.ndarray:
-        out = []
+        out, texts, tags = [], self.text, self.tag
         tag, words = "", self.bare
         for t, block in _TOKEN.findall(page):
             if t[0] == "<":
-                known = self.tags.get(t)
+                known = self.raw.get(t)
                 if known is None:
                     name = _tag(t, block)
                     known = self.named.get(name)
                     if known is None:
-                        known = self.named[name] = (self._new(name, None), {}, name)
-                    if len(self.tags) > 50_000:
-                        self.tags.clear()
-                    self.tags[t] = known
+                        known = self.named[name] = (len(texts), {}, name)
+                        texts.append(None)
+                        tags.append(name)
+                    if len(self.raw) > 50_000:
+                        self.raw.clear()
+                    self.raw[t] = known
                 code, words, tag = known
             else:
                 code = words.get(t)
                 if code is None:
-                    code = words[t] = self._new(tag, t)
+                    code = words[t] = len(texts)
+                    texts.append(t)
+                    tags.append(tag)
             out.append(code)
         return np.array(out, np.int64)
 
@@ -142,9 +141,9 @@ class Group:
 
     def frequent(self) -> np.ndarray:
         """The tokens on SHARE of the rows. One on SHARE of a host's rows is so in some part of it."""
-        n = max(len(self.page), 1)
-        key = np.unique(self.flat * n + self.doc)
-        rows = np.bincount(key // n, np.array([*self.copies, 0], np.int64)[key % n], len(self.token))
+        rows = np.zeros(len(self.token), np.int64)
+        for page, copies in zip(self.page, self.copies):
+            rows[np.unique(page)] += copies
         return self.token[rows >= max(1, SHARE * sum(self.copies))]
 
     def classes(self) -> dict[str, np.ndarray]:

@@ -37,6 +37,14 @@ class Config:
     article_chars: int = 16000
     usable_chars: int = 200
     sampled_links: int = 3
+    chunk_tokens: int = 2
+    token_penalty: float = 0.01
+    least_alpha: float = 20.0
+    least_stake: float = 20000.0
+    cache_seconds: int = 600
+    cache_entries: int = 2000
+    mode_tools: dict = field(default_factory=lambda: {"fast": {"web": 1.0}, "balanced": {"web": 0.5, "posts": 0.5}, "deep": {"web": 0.5, "posts": 0.5}})
+    result_types: dict = field(default_factory=lambda: {"LINKS_WITH_FINAL_SUMMARY": 0.8, "ONLY_LINKS": 0.2})
 
 
 CONFIG = Config()

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CITATION = re.compile(r"\[([^\]]*)\]\(([^)\s]+)\)")
+from .text import TRACKERS
+
+_CITATION = re.compile(r"\[[0-9]+\]\((https?://[^)]+)\)")
 
 
 def drop_keys(column, keys: tuple[str, ...]) -> Column:
@@ -54,21 +57,27 @@ def first_difference(a, b) -> Column:
     return F.pandas_udf(run, "string")(a, b)
 
 
-def renumber(summary, keys) -> Column:
-    """Citations [n](url) of a summary numbered by the last place of the URL in the list of source
-    keys, from 1; unknown ones stay."""
+def plain_source_key(u: str) -> str:
+    """text.source_key of one URL."""
+    at = urlsplit(u.strip())
+    bare = f"{at.scheme}://{at.netloc}{at.path}" if at.netloc else at.path
+    bare = re.sub(r"/$", "", re.sub(r"^(https?://)www\.", r"\1", bare.lower()))
+    query = urlencode(sorted(p for p in parse_qsl(at.query, keep_blank_values=True) if not p[0].lower().startswith("utm_") and p[0].lower() not in TRACKERS))
+    return bare + "?" * bool(query) + query
+
 
-    def key(u: str) -> str:
-        return re.sub(r"/$", "", re.sub(r"^(https?://)www\.", r"\1", u.strip().lower()))
+def renumber(summary, urls) -> Column:
+    """Citations [n](url) of a summary numbered by the last place, from 1, of a URL of the same
+    source in the list; other links, and citations of sources that aren't there, stay."""
 
     def run(texts: pd.Series, lists: pd.Series) -> pd.Series:
         out = []
-        for t, keys_ in zip(texts, lists):
-            place = {k: n for n, k in enumerate(keys_ if keys_ is not None else [], 1)}
-            out.append(None if t is None else _CITATION.sub(lambda m: f"[{place[k]}]({m[2]})" if (k := key(m[2])) in place else m[0], t))
+        for t, urls_ in zip(texts, lists):
+            place = {plain_source_key(u or ""): n for n, u in enumerate(urls_ if urls_ is not None else [], 1)}
+            out.append(None if t is None else _CITATION.sub(lambda m: f"[{n}]({m[1]})" if (n := place.get(plain_source_key(m[1]))) else m[0], t))
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(run, "string")(summary, keys)
+    return F.pandas_udf(run, "string")(summary, urls)
 
 
 def tokenizer_count(column, path: str) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 
-TRACKERS = ("fbclid", "gclid", "dclid", "gbraid", "wbraid", "msclkid", "yclid", "igshid", "mc_cid", "mc_eid", "ref", "ref_src", "ref_url", "spm", "si", "feature", "_ga", "_gl", "cmpid", "source")
+TRACKERS = (
+    "_ga", "_gl", "dclid", "fbclid", "feature", "gbraid", "gclid", "gclsrc", "igsh", "igshid", "mc_cid", "mc_eid", "mkt_tok", "msclkid", "scm", "si", "spm", "twclid", "wbraid", "yclid",
+)
 
 
 def _c(x: Column | str) -> Column:
@@ -24,14 +26,25 @@ def source_url(u) -> Column:
     return F.regexp_replace(plain, "/$", "")
 
 
+def _form_decoded(x: Column) -> Column:
+    return F.coalesce(F.try_url_decode(x), x)
+
+
+def _form_encoded(x: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def source_key(u) -> Column:
     """Identity of a source: source_url of the part before query and fragment, then the query's
-    parameters in order, tracking ones dropped. Parameters keep their case."""
+    parameters, decoded, sorted and encoded again, tracking ones dropped. Parameters keep their
+    case; one without a value has an empty one."""
     u = F.trim(F.coalesce(_c(u), F.lit("")))
     bare = F.regexp_replace(u, r"[?#].*$", "")
     query = F.regexp_extract(F.regexp_replace(u, r"#.*$", ""), r"\?(.*)$", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).startswith("utm_") & ~F.split(F.lower(p), "=")[0].isin(*TRACKERS)))
-    return F.concat(source_url(bare), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(_form_decoded(F.substring_index(p, "=", 1)).alias("k"), _form_decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p.k).startswith("utm_") & ~F.lower(p.k).isin(*TRACKERS)))
+    joined = F.array_join(F.transform(kept, lambda p: F.concat(_form_encoded(p.k), F.lit("="), _form_encoded(p.v))), "&")
+    return F.concat(source_url(bare), F.when(F.size(kept) > 0, F.concat(F.lit("?"), joined)).otherwise(F.lit("")))
 
 
 def markdown_links(s) -> Column:
@@ -73,7 +86,8 @@ def clean_text(s) -> Column:
 
 def fold_text(s) -> Column:
     """Lower-case letters and digits alone, for containment tests."""
-    return F.regexp_replace(F.lower(unescape(F.coalesce(_c(s), F.lit("")))), r"(?U)[^\p{L}\p{N}_]+", "")
+    folded = F.replace(F.replace(F.lower(unescape(F.coalesce(_c(s), F.lit("")))), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    return F.regexp_replace(folded, r"(?U)[^\p{L}\p{N}_]+", "")
 
 
 def domain(d) -> Column:
@@ -122,8 +136,9 @@ def valid_post_url(u) -> Column:
 
 
 def relevance_text(text, quote_user, quote_text) -> Column:
-    quoted = F.concat(F.lit("Quoted post (@"), F.coalesce(_c(quote_user), F.lit("")), F.lit("): "), blank_to_null(quote_text))
-    return F.concat_ws("\n\n", _c(text), quoted)
+    """A post's text, and after a blank line the text that it quotes, with its author if known."""
+    by = F.coalesce(F.concat(F.lit(" (@"), F.nullif(_c(quote_user), F.lit("")), F.lit(")")), F.lit(""))
+    return F.concat_ws("\n\n", F.coalesce(_c(text), F.lit("")), F.concat(F.lit("Quoted tweet"), by, F.lit(": "), blank_to_null(quote_text)))
 
 
 def sanitize_verdicts(s) -> Column:
@@ -136,6 +151,11 @@ def url_class(u) -> Column:
     return F.when(h.rlike(r"(^|\.)(youtube\.com|youtu\.be)$"), "youtube").when(h.rlike(r"(^|\.)reddit\.com$"), "reddit").otherwise("default")
 
 
+def fetch_url(u) -> Column:
+    """The address to fetch: that of the old site for reddit."""
+    return F.when(url_class(u) == "reddit", F.regexp_replace(_c(u), r"(?i)^(https?://)(?:[a-z0-9-]+\.)*reddit\.com", "$1old.reddit.com")).otherwise(_c(u))
+
+
 def video_id(u) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(_c(u), F.lit("")), r"(?:[?&]v=|youtu\.be/|/shorts/|/embed/|/v/)([A-Za-z0-9_-]{6,})", 1), F.lit(""))
 
@@ -162,10 +182,11 @@ def verdict_label(t) -> Column:
 
 
 def number_score(t) -> Column:
+    """The number after the first "score", else the first whole number from 0 to 10; 0 without."""
     t = F.coalesce(_c(t), F.lit(""))
-    named = F.regexp_extract(t, r"(?i)score\s*:?\s*(10|[0-9])(?![0-9])", 1).try_cast("int")
-    first = F.regexp_extract(t, r"(?<![0-9.])(10|[0-9])(?![0-9])", 1).try_cast("int")
-    return F.coalesce(named, first, F.lit(0)).cast("double")
+    named = F.regexp_extract(t, r"(?i)score[:\s]*(\d+(?:\.\d+)?)", 1).try_cast("double")
+    first = F.regexp_extract(t, r"\b([0-9]|10)\b", 1).try_cast("double")
+    return F.coalesce(F.when(named <= 10, named), first, F.lit(0.0))
 
 
 def without_names(s, names: list[str]) -> Column:
@@ -204,16 +225,19 @@ def short_label(key) -> Column:
     return F.when(F.length(_c(key)) <= 10, _c(key)).otherwise(F.concat(F.left(_c(key), F.lit(6)), F.lit("…"), F.right(_c(key), F.lit(4))))
 
 
-def token_estimate(s) -> Column:
-    """Words and signs; a stand-in where no tokenizer is at hand."""
-    return F.size(F.regexp_extract_all(F.coalesce(_c(s), F.lit("")), F.lit(r"(?U)\w+|[^\w\s]"), 0))
+GATES = (
+    "please enable javascript", "enable javascript and refresh", r"something went wrong\.?\s*(?:wait a moment|please|try)", r"you (?:need to )?(?:enable|turn on) javascript",
+    "access denied", "are you a robot",
+)
 
 
 def usable_article(s) -> Column:
+    """Long enough, and not the page of a gate that wants a browser or a person."""
     s = F.coalesce(_c(s), F.lit(""))
-    return (F.length(s) >= CONFIG.usable_chars) & ~s.rlike(r"(?i)enable javascript|javascript is disabled|please turn on javascript")
+    return (F.length(s) >= CONFIG.usable_chars) & ~s.rlike("(?i)" + "|".join(GATES))
 
 
 def forbidden_markup(s) -> Column:
-    """Tags by which an answer could steer its judge."""
-    return F.coalesce(_c(s), F.lit("")).rlike(r"(?i)</?\s*(question|answer|score|contextual)\s*>|SM-\w+-RDD")
+    """Tags and marks by which an answer could steer its judge."""
+    tags = "|".join(f"/?{x}" for x in ("question", "answer", "score"))
+    return F.coalesce(_c(s), F.lit("")).rlike(f"(?i)<(?:{tags})>|sm(?:[-_ ]scs)?[-_ ]?(?:ble|grn|gry|pnk|rdd)")

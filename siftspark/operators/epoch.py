@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import CONFIG
 from ..functions.numeric import routing_weight
 from . import scoring, state
+from .ranking import global_row_number
 from .sampling import portable_hash, unit
 
 
@@ -56,7 +57,8 @@ def random_remainder(weights: DataFrame, key: str, weight: str, slots: int, seed
     w = weights.crossJoin(F.broadcast(total)).withColumn("whole_", F.floor(exact + 1e-9)).withColumn("rest_", F.greatest(exact - F.col("whole_"), F.lit(0.0)))
     left = w.agg((F.lit(slots) - F.sum("whole_")).alias("left_"))
     draw = -F.log(unit(F.col(key), seed)) / F.when(F.col("rest_") > 1e-9, F.col("rest_"))
-    ranked = w.withColumn("rank_", F.row_number().over(Window.orderBy(F.asc_nulls_last(F.round(draw, 9)), key))).crossJoin(F.broadcast(left))
+    place = global_row_number(w.withColumn("draw_", F.coalesce(F.round(draw, 9), F.lit(float("inf")))), "draw_", "rank_", key)
+    ranked = place.withColumn("rank_", F.col("rank_") + 1).crossJoin(F.broadcast(left))
     return ranked.select(key, weight, (F.col("whole_") + F.when(F.col("rank_") <= F.col("left_"), 1).otherwise(0)).cast("long").alias("slots"))
 
 
@@ -65,14 +67,28 @@ def weighted_combos(rows: DataFrame, key: str, first: DataFrame, second: DataFra
     The lists: value, slots; each adds up to the number of rows."""
 
     def shuffled(values: DataFrame, name: str, salt: int) -> DataFrame:
-        wide = values.select("value", F.explode(F.sequence(F.lit(1), F.col("slots").cast("int"))).alias("n_")) if values is not None else None
-        mark = portable_hash(F.xxhash64("value", "n_").bitwiseAND(F.lit(2**31 - 1)), seed + salt)
-        return wide.select(F.col("value").alias(name), F.row_number().over(Window.orderBy(mark, "value", "n_")).alias("k_"))
+        wide = values.select("value", F.explode(F.sequence(F.lit(1), F.col("slots").cast("int"))).alias("n_")).withColumn("mark_", portable_hash(F.xxhash64("value", "n_").bitwiseAND(F.lit(2**31 - 1)), seed + salt))
+        return global_row_number(wide, "mark_", "k_", "value", "n_").select(F.col("value").alias(name), "k_")
 
-    numbered = rows.withColumn("k_", F.row_number().over(Window.orderBy(key)))
+    numbered = global_row_number(rows, key, "k_")
     return numbered.join(shuffled(first, "first", 1), "k_").join(shuffled(second, "second", 2), "k_").drop("k_")
 
 
+def mode_combos(rows: DataFrame, key: str, mode: str, seed: int = 0) -> DataFrame:
+    """A tool and a result type for each call of one mode: tools by the mode's weights, types by
+    theirs, each list dealt to the last row by random remainders and shuffled apart."""
+    n = rows.count()
+    if not n:
+        return rows.select("*", F.lit(None).cast("string").alias("tool"), F.lit(None).cast("string").alias("result_type"))
+
+    def dealt(weights: dict[str, float], salt: int) -> DataFrame:
+        table = rows.sparkSession.createDataFrame([(v, float(w)) for v, w in weights.items()], "value string, weight double")
+        return random_remainder(table, "value", "weight", n, seed + salt)
+
+    made = weighted_combos(rows, key, dealt(CONFIG.mode_tools[mode], 1), dealt(CONFIG.result_types, 2), seed)
+    return made.withColumnsRenamed({"first": "tool", "second": "result_type"})
+
+
 def merge_by_tool(parts: DataFrame, response: str, tool: str, order: str, tools: list[str]) -> DataFrame:
     """Links of each requested tool over all parts, in order; [] where a tool gave none; the first
     summary that isn't empty. Columns: links, summary."""

@@ -95,12 +95,42 @@ def out_of_order(rows: DataFrame, response: str, place: str, ts: str) -> DataFra
 
 
 def duplicates(rows: DataFrame, response: str, key: str, body: str | None = None) -> DataFrame:
-    """Whether a response repeats a key, or a text once it is normalised; blanks don't count."""
-    aggs = [arrays.repeated(F.collect_list(F.nullif(text.source_key(key), F.lit("")))).alias("by_key")]
-    if body:
-        aggs.append(arrays.repeated(F.collect_list(F.nullif(F.lower(text.match_text(body)), F.lit("")))).alias("by_text"))
-    out = rows.groupBy(response).agg(*aggs)
-    return out.select(response, (F.col("by_key") | F.col("by_text") if body else F.col("by_key")).alias("duplicated"))
+    """Whether a response repeats a key, or a text once it is normalised; blanks don't count.
+
+    Each response's keys are counted and grouped first, so that a response of any size is no list."""
+    keys = [("key", F.nullif(text.source_key(key), F.lit("")))] + ([("text", F.nullif(F.lower(text.match_text(body)), F.lit("")))] if body else [])
+    said = rows.select(response, F.explode(F.array(*(F.struct(F.lit(n).alias("kind_"), k.alias("value_")) for n, k in keys))).alias("x_")).select(response, "x_.*")
+    times = said.groupBy(response, "kind_", "value_").agg(F.count("*").alias("times_"))
+    return times.groupBy(response).agg(F.bool_or(F.col("value_").isNotNull() & (F.col("times_") > 1)).alias("duplicated"))
+
+
+def streaming_penalty(responses: DataFrame, chunks: DataFrame, response: str, only_links: Column, tokens: str) -> DataFrame:
+    """0.01 for each token of a streamed chunk beyond two, 1 at most; 1 for a response without
+    chunks, and 0 for one that was asked for links alone. A chunk that is null has no tokens."""
+    over = chunks.groupBy(response).agg(F.sum(F.greatest(F.coalesce(tokens, F.lit(0)) - CONFIG.chunk_tokens, F.lit(0))).alias("over_"))
+    joined = responses.join(over, response, "left")
+    return joined.select(response, F.when(only_links, 0.0).when(F.col("over_").isNull(), 1.0).otherwise(F.least(F.col("over_") * CONFIG.token_penalty, F.lit(1.0))).alias("penalty"))
+
+
+def rule_penalty(rule: Column, summary: Column, score: Column) -> Column:
+    """1 where a summary was to follow a rule and its judge gives less than 10; 0 where there is no
+    rule or no summary."""
+    there = lambda x: F.coalesce(x, F.lit("")) != ""
+    return F.when(there(rule) & there(summary) & (score < 10), 1.0).otherwise(0.0)
+
+
+def groundedness(responses: DataFrame, links: DataFrame, posts: DataFrame, response: str, summary: str, found: str, answer: str) -> DataFrame:
+    """A summary's reward by its judge's verdict on the bodies it cites: HIGH 1, MEDIUM 0.5.
+
+    It cites its links, or, if it has none, what the search ``found`` (an array of URLs). Without
+    a summary, without anything cited, or without a body of it the reward is 0. ``links`` and
+    ``posts`` as in cited_bodies, with the body in "body".
+    """
+    own = F.array_distinct(text.markdown_links(F.coalesce(summary, F.lit(""))))
+    cited = responses.where(F.coalesce(summary, F.lit("")) != "").select(response, F.explode(F.when(F.size(own) > 0, own).otherwise(F.array_distinct(found))).alias("url"))
+    bodies = cited_bodies(cited, links, posts, response, "url", "body").groupBy(response).agg(F.count("*").alias("bodies_"))
+    joined = responses.join(bodies, response, "left")
+    return joined.select(response, F.coalesce("bodies_", F.lit(0)).cast("long").alias("bodies"), F.when(F.col("bodies_") > 0, clamp(text.verdict_score(answer) / 3)).otherwise(0.0).alias("reward"))
 
 
 def link_reward(judged: DataFrame, response: str, score: str, blocked: str, evident: str, uncited_missing: str, links: str) -> DataFrame:
@@ -147,3 +177,23 @@ def summary_default(only_links: Column, has_links: Column, has_text: Column) ->
 
 def routed(has_posts: Column, has_web: Column, post: Column, web: Column) -> Column:
     return F.when(has_posts, post).when(has_web, web).otherwise(0.0)
+
+
+def contained_pairs(bodies: DataFrame, highlights: DataFrame, body_id: str, body: str, highlight_id: str, highlight: str) -> DataFrame:
+    """(body_id, highlight_id) of every folded body that contains a folded highlight; blank ones
+    are in none.
+
+    Bodies are cut into blocks of 16, 4 or 1 letters, and a highlight at least twice as long holds
+    a whole block at one of as many offsets: both sides meet by these, and only what meets is
+    compared.
+    """
+    b = bodies.select(F.col(body_id), text.fold_text(body).alias("body_"))
+    h = highlights.select(F.col(highlight_id), text.fold_text(highlight).alias("highlight_")).where("highlight_ <> ''")
+    h = h.withColumn("block_", F.when(F.length("highlight_") >= 31, 16).when(F.length("highlight_") >= 7, 4).otherwise(1))
+    used = [r.block_ for r in h.select("block_").distinct().collect()] or [16]
+    cut = lambda q: F.transform(F.array_distinct(F.regexp_extract_all("body_", F.lit(f"(?s).{{{q}}}"), F.lit(0))), lambda x: F.struct(F.lit(q).alias("block_"), x.alias("gram_")))
+    cuts = F.flatten(F.array(*(cut(q) for q in used)))
+    blocks = b.select(body_id, F.explode(cuts).alias("x_")).select(body_id, "x_.*")
+    grams = h.select(highlight_id, "block_", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("block_")), lambda o: F.substring("highlight_", o, F.col("block_"))))).alias("gram_"))
+    met = blocks.join(grams, ["block_", "gram_"]).select(body_id, highlight_id).distinct()
+    return met.join(h, highlight_id).join(b, body_id).where(F.contains("body_", F.col("highlight_"))).select(body_id, highlight_id)

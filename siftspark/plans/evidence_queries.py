@@ -16,33 +16,11 @@ def url_sql(x: str) -> str:
     return URL_SQL.format(x)
 
 
-KEY_SQL = rf"""k as (select page_id, url, {url_sql(r"regexp_replace(url, '[?#].*$', '')")} bare, list_sort(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1), '&'),
-  lambda p: p <> '' and not starts_with(lower(p), 'utm_') and not list_contains([{", ".join(f"'{x}'" for x in text.TRACKERS)}], string_split(lower(p), '=')[1]))) ps from pages),
-keys as (select page_id, url, bare || case when len(ps) > 0 then '?' || array_to_string(ps, '&') else '' end as source_key from k)"""
-
-
 @query("str1_source_url", f"select page_id, {url_sql('url')} u from pages")
 def source_url(t):
     return t.pages.select("page_id", text.source_url("url").alias("u"))
 
 
-@query("str2_source_key", f"with {KEY_SQL} select page_id, source_key from keys")
-def source_key(t):
-    return t.pages.select("page_id", text.source_key("url").alias("source_key"))
-
-
-@query("agg17_richest_by_key", f"with {KEY_SQL} select page_id, source_key from (select page_id, source_key, row_number() over (partition by source_key order by length(html) desc, page_id) r from keys join pages using (page_id)) where r = 1")
-def richest(t):
-    p = t.pages.select("page_id", text.source_key("url").alias("source_key"), "html")
-    return logs.richest_wins(p, "source_key", "html", "page_id").select("page_id", "source_key")
-
-
-@query("agg19_duplicate_sources", f"with {KEY_SQL} select regexp_extract(url, '//([^/?#:]+)', 1) host, count(*) > count(distinct source_key) duplicated from keys group by 1")
-def duplicated(t):
-    p = t.pages.withColumn("host", text.url_host("url"))
-    return evidence.duplicates(p, "host", "url")
-
-
 @query("fil6_fil7_domains", r"with h as (select page_id, regexp_extract(url, '//([^/?#:]+)', 1) h from pages) select page_id, h = 'example.org' or ends_with(h, '.example.org') inside, not (h = 'example.org' or ends_with(h, '.example.org') or ends_with(h, '.example.net')) or starts_with(h, 'm.') and ends_with(h, '.example.net') and h = 'm.therly.example.net' violates from h")
 def domains(t):
     include, exclude = F.array(F.lit("https://Example.org/"), F.lit("example.net.")), F.array(F.lit("m.therly.example.net"))
@@ -81,7 +59,7 @@ def match(t):
     return t.documents.select("doc_id", text.match_text(F.concat(F.lit("@a @b http://x.y/z "), "text")).alias("m"))
 
 
-@query("str8_folded", r"select doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g') f from documents")
+@query("str8_folded", r"select doc_id, regexp_replace(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '[^\p{L}\p{N}_]+', '', 'g') f from documents")
 def folded(t):
     return t.documents.select("doc_id", text.fold_text("text").alias("f"))
 
@@ -106,15 +84,15 @@ def posts(t):
     return t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, text.post_id(url)).alias("id"), url.alias("u"), text.valid_post_url(url).alias("valid"))
 
 
-VERDICT_SQL = "v as (select doc_id, case quality when 1 then 'It fits. Verdict: HIGH' when 0 then case when toxic = 1 then 'so Verdict - medium' else 'I say FAIL' end else 'score: 7 of it' end v from documents left join labels using (doc_id))"
+VERDICT_SQL = "v as (select doc_id, case quality when 1 then 'It fits. Verdict: HIGH' when 0 then case when toxic = 1 then 'so Verdict - medium' else 'I say FAIL' end else 'score: 7.5 of it' end v from documents left join labels using (doc_id))"
 
 
 def verdicts(t):
-    v = F.when(F.col("quality") == 1, "It fits. Verdict: HIGH").when((F.col("quality") == 0) & (F.col("toxic") == 1), "so Verdict - medium").when(F.col("quality") == 0, "I say FAIL").otherwise("score: 7 of it")
+    v = F.when(F.col("quality") == 1, "It fits. Verdict: HIGH").when((F.col("quality") == 0) & (F.col("toxic") == 1), "so Verdict - medium").when(F.col("quality") == 0, "I say FAIL").otherwise("score: 7.5 of it")
     return t.documents.select("doc_id", "source").join(t.labels, "doc_id", "left").withColumn("v", v)
 
 
-@query("str22_str24_verdicts", f"with {VERDICT_SQL} select doc_id, case when v like '%HIGH' then 3e0 when v like '%medium' then 15e-1 else 0e0 end score, case when v like '%HIGH' then 'HIGH' else 'LOW' end label, case when v like 'score%' then 7e0 else 0e0 end number from v")
+@query("str22_str24_verdicts", f"with {VERDICT_SQL} select doc_id, case when v like '%HIGH' then 3e0 when v like '%medium' then 15e-1 else 0e0 end score, case when v like '%HIGH' then 'HIGH' else 'LOW' end label, case when v like 'score%' then 75e-1 else 0e0 end number from v")
 def verdict(t):
     return verdicts(t).select("doc_id", text.verdict_score("v").alias("score"), text.verdict_label("v").alias("label"), text.number_score("v").alias("number"))
 
@@ -137,24 +115,12 @@ def questions(t):
     return t.documents.select("doc_id", text.clean_question(F.concat(F.lit('\n  - "Who  is '), "source", F.lit('" intent: x\nmore'))).alias("q"))
 
 
-@query("fil11_usable", "select doc_id, length(text) >= 200 usable from documents")
-def usable(t):
-    return t.documents.select("doc_id", text.usable_article("text").alias("usable"))
-
-
 @query("agg16_agg18_text_dedup", "select doc_id from (select doc_id, row_number() over (partition by " + MATCH_SQL.format("text") + " order by doc_id) r from documents) where r = 1")
 def text_dedup(t):
     return logs.first_wins(t.documents.withColumn("m", text.match_text("text")), ["m"], "doc_id").select("doc_id")
 
 
-FOLD = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_]+', '', 'g')"
-
-
-@query("arr7_highlights", f"select doc_id, item_id from documents d join benchmark b on {FOLD.format('b.text')} <> '' and contains({FOLD.format('d.text')}, {FOLD.format('b.text')})")
-def highlights(t):
-    d = t.documents.select("doc_id", text.fold_text("text").alias("body"))
-    b = t.benchmark.select("item_id", text.fold_text("text").alias("h")).where("h <> ''")
-    return d.crossJoin(b).where(F.contains("body", F.col("h"))).select("doc_id", "item_id")
+FOLD = r"regexp_replace(replace(replace(lower({0}), 'ß', 'ss'), 'ς', 'σ'), '[^\p{{L}}\p{{N}}_]+', '', 'g')"
 
 
 @query("arr8_fil12_in_order", f"select doc_id, {FOLD.format('substr(text, 1, 40)')} <> '' and {FOLD.format('substr(text, 41)')} <> '' found, false strange from documents")
@@ -177,13 +143,6 @@ def fold(t):
     return t.conversations.groupBy("conv_id").agg(appended.alias("appended"), F.max_by("text", F.when(other, F.col("turn"))).alias("replaced"), F.max_by("text", "turn").alias("last"))
 
 
-@query("mth11_token_overage", r"with c as (select conv_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) n from conversations) select conv_id, round(least(1e0, sum(greatest(n - 2, 0) * 1e-2)), 6) penalty from c group by 1")
-def overage(t):
-    from ..functions.numeric import token_overage
-
-    return t.conversations.groupBy("conv_id").agg(F.collect_list(text.token_estimate("text")).alias("n")).select("conv_id", F.round(token_overage("n"), 6).alias("penalty"))
-
-
 @query("win6_order_check", "select user_id, bool_or(coalesce(p < ts, false)) unordered from (select user_id, ts, lag(ts) over (partition by user_id order by event_id) p from events) group by 1")
 def order_check(t):
     return evidence.out_of_order(t.events, "user_id", "event_id", "ts")
@@ -207,25 +166,6 @@ def duplicate_penalty(t):
     return evidence.duplicates(made, "source", "u", "text")
 
 
-@query("scr6_schema_penalty", "select source, round(avg(case when text <> '' and lang <> '' and n_chars > 100 then 0e0 else 1e0 end), 6) penalty from documents group by 1")
-def schema_penalty(t):
-    good = (F.coalesce("text", F.lit("")) != "") & (F.coalesce("lang", F.lit("")) != "") & (F.col("n_chars") > 100)
-    return evidence.share_of(t.documents, "source", ~good, "penalty").withColumn("penalty", F.round("penalty", 6))
-
-
-@query("join1_scr14_truth_votes",
-    """with a as (select user_id, event_type, value, row_number() over (partition by user_id order by event_id) i from events), b as (select user_id, event_type, value, row_number() over (partition by user_id order by ts, event_id) + user_id % 2 i from events),
-    j as (select a.user_id, a.i, b.i is not null m, (case when a.event_type is not distinct from b.event_type then 1e0 else 0e0 end + case when abs(a.value - b.value) <= greatest(cast(trunc(b.value * 6e-1) as integer), 10) then 1e0 else 0e0 end) / 2 v from a left join b on a.user_id = b.user_id and a.i = b.i)
-    select user_id, round(avg(case when m then v else 0 end), 6) accuracy, count(*) n from j group by 1""")
-def truth(t):
-    w = Window.partitionBy("user_id")
-    a = t.events.select("user_id", F.row_number().over(w.orderBy("event_id")).cast("long").alias("i"), F.col("event_type").alias("a_event_type"), F.col("value").alias("a_value"))
-    b = t.events.select("user_id", (F.row_number().over(w.orderBy("ts", "event_id")) + F.col("user_id") % 2).alias("i"), F.col("event_type").alias("b_event_type"), F.col("value").alias("b_value"))
-    joined = evidence.match_by_id(a, b, "user_id", "i")
-    votes = evidence.truth_votes(joined, ["event_type"], ["value"], F.col("matched"))
-    return joined.withColumn("v", votes).groupBy("user_id").agg(F.round(F.avg("v"), 6).alias("accuracy"), F.count("*").alias("n"))
-
-
 @query("join7_outside_sources", "with o as (select distinct user_id, event_type from events where value > 50) select e.event_id from events e anti join o using (user_id, event_type)")
 def outside(t):
     cited = t.events.withColumn("url", F.concat(F.lit("http://"), "event_type"))
@@ -257,13 +197,6 @@ def routing(t):
     return t.events.select("event_id", evidence.routed(post, web_, F.lit(0.7), F.lit(0.3)).alias("content"), evidence.summary_default(post, F.col("user_id") > 3, F.col("value") > 50).alias("summary"))
 
 
-@query("fil13_fil14_filter_votes", "select event_id, case when user_id % 2 = 0 then (case when value >= 50 then 1e0 else 0e0 end + case when event_type = 'view' then 1e0 else 0e0 end) / 2 else case when event_type = 'view' then 1e0 else 0e0 end end vote from events")
-def votes(t):
-    q = F.concat(F.lit("cats from:view "), F.when(F.col("user_id") % 2 == 0, "min_faves:50").otherwise("min_faves:many"))
-    o = evidence.parse_operators(q)
-    return t.events.select("event_id", evidence.filter_votes(likes=(o["min_faves"].isNotNull(), F.col("value") >= o["min_faves"]), user=(o["from"].isNotNull(), F.col("event_type") == o["from"])).alias("vote"))
-
-
 @query("fil4_dt_dates", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') iso, date_trunc('minute', ts) m, ts between timestamp '2024-01-10' and timestamp '2024-01-20' inside, cast(floor((epoch(timestamp '2024-02-01') - epoch(date_trunc('second', ts))) / 300) as bigint) ticks from events")
 def event_dates(t):
     ts = F.date_trunc("second", F.col("ts").cast("timestamp"))
@@ -308,14 +241,6 @@ def sources(t):
     return evidence.join_sources(p.select("page_id", "r", "url"), p.withColumnRenamed("page_id", "place"), "r", "url", "place", ["n"]).select("page_id", "n")
 
 
-@query("join5_cited_bodies", f"with {KEY_SQL}, b as (select source_key, max(length(html)) n from keys join pages using (page_id) group by 1) select source_key, n from b")
-def cited_bodies(t):
-    p = t.pages.select(F.lit(1).alias("r"), "url", F.col("html").alias("body"))
-    posts = p.limit(0).select("r", F.lit("").alias("post_id"), "body")
-    out = evidence.cited_bodies(p.select("r", "url"), p, posts, "r", "url", "body")
-    return out.select(text.source_key("url").alias("source_key"), F.length("body").alias("n"))
-
-
 @query("join2_first_match", "with g as (select user_id, event_type, arg_min(value, event_id) v from events group by all) select e.event_id, g.v from events e left join g using (user_id, event_type)")
 def first_match(t):
     given = t.events.select("user_id", "event_type", F.col("event_id").alias("place"), F.col("value").alias("v"))
@@ -344,13 +269,6 @@ def all_texts(t):
     return by_conv.select("conv_id", arrays.all_values(F.create_map(F.lit("all"), "x")).alias("texts"))
 
 
-@query("str20_classes", "select page_id, 'youtube' a, 'reddit' b, 'default' c, 'dQw4w9WgXcQ' v from pages")
-def classes(t):
-    i = F.col("page_id").cast("string")
-    yt = F.concat(F.lit("https://www.youtube.com/watch?x="), i, F.lit("&v=dQw4w9WgXcQ"))
-    return t.pages.select("page_id", text.url_class(yt).alias("a"), text.url_class(F.concat(F.lit("https://old.reddit.com/"), i)).alias("b"), text.url_class("url").alias("c"), text.video_id(yt).alias("v"))
-
-
 @query("str21_joined", "select doc_id, lang || ' ' || source j from documents")
 def joined(t):
     return t.documents.select("doc_id", text.joined_fields(F.col("lang"), F.lit("  "), F.lit(None).cast("string"), F.col("source")).alias("j"))
@@ -364,9 +282,3 @@ def message(t):
 @query("str25_str29_fills", "select doc_id, 'a  b' x, '{\"q\": \"' || source || '\" }' f from documents")
 def fills(t):
     return t.documents.select("doc_id", text.without_names(F.lit("a Question b"), ["Question", "Quest"]).alias("x"), text.fix_query(F.concat(F.lit("{'q': '"), "source", F.lit("' has:polls}"))).alias("f"))
-
-
-@query("fil2_forbidden", "select doc_id, doc_id % 2 = 0 bad from documents")
-def forbidden(t):
-    s = F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(" </Score >")).otherwise(" score"))
-    return t.documents.select("doc_id", text.forbidden_markup(s).alias("bad"))

@@ -95,8 +95,3 @@ def redacted(t):
 def json_safe(t):
     made = F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value"))
     return t.events.select("event_id", F.when(F.isnan(made), None).otherwise(made).alias("v"), "props")
-
-
-@query("fil22_admission", "select c_custkey, case when c_mktsegment = 'MACHINERY' then 'blocked' when c_acctbal < 0 then 'stake' end reason from customer")
-def admission(t):
-    return t.customer.select("c_custkey", F.when(F.col("c_mktsegment") == "MACHINERY", "blocked").when(F.col("c_acctbal") < 0, "stake").alias("reason"))

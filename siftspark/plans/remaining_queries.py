@@ -21,38 +21,6 @@ def filtered_map(t):
     return m.select("hotkey", F.size("m").cast("long").alias("n"), F.array_max(F.transform(F.map_values("m"), lambda s: s["declared"])).alias("declared"))
 
 
-@query("src9_union_fallback", "select k, arg_min(v, o) v from (select c_custkey k, c_name v, 0 o from customer union all select s_suppkey, s_name, 1 from supplier) group by 1")
-def union_fallback(t):
-    a, b = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v")), t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
-    return stores.union_distinct([stores.first_available([lambda: a]), b], "k")
-
-
-@query("src10_src11_score_store", "select user_id::varchar uid, count(*) n from events where event_type = 'click' group by 1")
-def score_store(t):
-    from ..session import shared_folder
-
-    rows = t.events.select(F.lit("e1").alias("epoch"), F.col("event_type").alias("kind"), F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("event_id").cast("string")).alias("field"), "value")
-    folder = shared_folder(rows.sparkSession, "scores")
-    stores.append_scores(rows, folder)
-    return stores.read_scores(rows.sparkSession, folder, "e1", "click").groupBy(F.split("field", ":")[0].alias("uid")).agg(F.count("*").alias("n"))
-
-
-@query("src12_saved_averages", "select c_custkey uid, case when c_acctbal > 0 then c_acctbal else 0 end::double ema from customer")
-def saved(t):
-    kept = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("uid"), F.col("c_acctbal").cast("double").alias("ema"))
-    return logs.with_defaults(t.customer.select(F.col("c_custkey").alias("uid")), kept, ["uid"], {"ema": 0.0})
-
-
-@query("src13_src14_inserts", "select doc_id, text from documents")
-def inserts(t):
-    from ..session import shared_folder
-
-    rows = t.documents.select("doc_id", F.concat("text", F.lit("\0")).alias("text"))
-    folder = stores.versioned(shared_folder(rows.sparkSession, "inserts"), "1")
-    stores.insert_rows(rows, folder)
-    return rows.sparkSession.read.parquet(folder)
-
-
 @query("src15_join17_probes", "select c_custkey uid, case when c_acctbal > 5000 then 'online' when c_acctbal > 0 then 'unknown' else 'offline' end state from customer")
 def probes(t):
     status = F.when(F.col("c_acctbal") > 5000, 200).when(F.col("c_acctbal") > 0, 404)
@@ -100,18 +68,6 @@ def by_ids(t):
     return t.events.join(ids, "event_id", "left_semi").select("event_id")
 
 
-@query("src26_udf5_tools", "select doc_id, 'docs' tool from documents where lang = 'en' union all select page_id, 'pages' from pages")
-def tools(t):
-    a = t.documents.where("lang = 'en'").select("doc_id", F.lit("docs").alias("tool"))
-    return a.unionByName(t.pages.select(F.col("page_id").alias("doc_id"), F.lit("pages").alias("tool")))
-
-
-@query("fil1_fil28_success", "select event_id, event_type <> 'error' and value > 10 ok, event_type <> 'error' or value > 50 streamed from events")
-def success(t):
-    status, n = F.when(F.col("event_type") != "error", 200).otherwise(500), F.when(F.col("value") > 10, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return t.events.select("event_id", ((status == 200) & (arrays.size0(n) > 0)).alias("ok"), ((status == 200) | (F.col("value") > 50)).alias("streamed"))
-
-
 @query("fil3_set4_tools", "select doc_id, lang in ('en', 'fr') web, lang = 'de' posts from documents")
 def tool_sets(t):
     mine = F.array("lang")
@@ -130,14 +86,6 @@ def post_links(t):
     return t.events.select("event_id", text.valid_post_url(F.concat(F.lit("https://x.com/"), user, F.lit("/status/"), F.col("event_id").cast("string"))).alias("ok"))
 
 
-@query("fil9_fil10_schemas", "select event_id, event_type <> 'error' valid from events")
-def schemas(t):
-    raw = F.when(F.col("event_type") == "error", F.lit('{"title": "x", "link": ')).otherwise(F.lit('{"title": "x", "link": "u", "snippet": "s"}'))
-    parsed = F.from_json(raw, "title string, link string, snippet string, _corrupt_record string", {"mode": "PERMISSIVE"})
-    full = lambda c: F.coalesce(parsed.getField(c), F.lit("")) != ""
-    return t.events.select("event_id", (parsed.getField("_corrupt_record").isNull() & full("title") & full("link") & full("snippet")).alias("valid"))
-
-
 @query("fil15_lane_gate", f"with {STATE_SQL} select uid, declared > 0 and quality_avg >= 6e-1 open from s")
 def lane_gate(t):
     return states(t).select("uid", ((F.col("declared") > 0) & (F.col("quality_avg") >= 0.6)).alias("open"))
@@ -149,24 +97,6 @@ def dropped(t):
     return t.events.select("event_id", documents.drop_keys(j, ("html",)).alias("j"))
 
 
-@query("fil21_available", f"with {STATE_SQL} select uid from s where uid <> 1")
-def available(t):
-    return states(t).where(F.col("uid") != 1).select("uid")
-
-
-@query("fil23_key_strength", "select c_custkey, c_acctbal > 0 strong from customer")
-def strength(t):
-    k = F.when(F.col("c_acctbal") > 0, "Abcdefgh1234567!").otherwise("abcdefgh1234567!")
-    ok = (F.length(k) >= 16) & k.rlike("[A-Z]") & k.rlike("[a-z]") & k.rlike("[0-9]") & k.rlike("[^A-Za-z0-9]")
-    return t.customer.select("c_custkey", ok.alias("strong"))
-
-
-@query("fil25_differences", "select event_id, case when event_type = 'error' then 'a.b[1]' end path from events")
-def differences(t):
-    other = F.when(F.col("event_type") == "error", F.lit('{"a": {"b": [1, 3]}}')).otherwise(F.lit('{"a": {"b": [1, 2], "c": null}}'))
-    return t.events.select("event_id", documents.first_difference(F.lit('{"a": {"b": [1, 2]}}'), other).alias("path"))
-
-
 @query("fil27_normal_posts", "select event_id, ['https://x.com/p' || event_id] media, null counts from events")
 def normal(t):
     q = F.struct(F.lit("x").alias("text"), F.lit(3).alias("counts"))
@@ -186,12 +116,6 @@ def sampled_bodies(t):
     return s.join(t.documents.select("doc_id", "text"), "doc_id").select("source", "doc_id", F.length("text").alias("n"))
 
 
-@query("join6_renumbered", "select doc_id, '[2](https://www.Site.org/' || source || '/) and [x](http://b.com/' || doc_id || '?a=1)' m from documents")
-def renumbered(t):
-    m = F.concat(F.lit("["), "lang", F.lit("](https://www.Site.org/"), "source", F.lit("/) and [x](http://b.com/"), F.col("doc_id").cast("string"), F.lit("?a=1)"))
-    return t.documents.select("doc_id", documents.renumber(m, F.array(F.lit("http://other.com"), F.concat(F.lit("https://site.org/"), "source"))).alias("m"))
-
-
 @query("join10_includes", "select o_orderkey, c_name author, count(l_linenumber) media from orders left join customer on c_custkey = o_custkey left join lineitem on l_orderkey = o_orderkey group by all")
 def includes(t):
     media = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("m"))
@@ -249,13 +173,6 @@ def final(t):
     return epoch.final_weights(m, 2).select("uid", F.round(F.col("weight") + 1e-11, 8).alias("weight"))
 
 
-@query("win15_weighted_combos", "select first, second, n from (values ('a')) a(first), (values ('x')) b(second), (select count(*) n from customer)")
-def combos(t):
-    n = t.customer.agg(F.count("*").alias("slots"))
-    one = lambda v: n.select(F.lit(v).alias("value"), "slots")
-    return epoch.weighted_combos(t.customer.select("c_custkey"), "c_custkey", one("a"), one("x")).groupBy("first", "second").agg(F.count("*").alias("n"))
-
-
 @query("srt2_group_order", f"with {LOGS_SQL} select distinct epoch, uid, search_type, query from logs order by epoch desc, uid nulls last, search_type, query")
 def group_order(t):
     return log_rows(t).select("epoch", "uid", "search_type", "query").distinct().orderBy(F.desc("epoch"), F.asc_nulls_last("uid"), "search_type", "query")
@@ -277,11 +194,6 @@ def lane_sample(t):
     return t.documents.where("lang = 'fr'").orderBy(sampling.portable_hash(F.col("doc_id")), "doc_id").limit(10).select("doc_id")
 
 
-@query("srt12_fresh_cache", "select url, max(page_id) page_id from pages group by 1")
-def cache(t):
-    return logs.first_wins(t.pages, ["url"], F.desc("page_id")).select("url", "page_id")
-
-
 @query("set5_membership", "select doc_id, l.doc_id is not null labelled from documents d left join labels l using (doc_id)")
 def membership(t):
     return t.documents.select("doc_id").join(t.labels.select("doc_id", F.lit(True).alias("labelled")), "doc_id", "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))
@@ -298,43 +210,11 @@ def clean(t):
     return t.documents.select("doc_id", text.clean_text("text").alias("c"))
 
 
-@query("str14_relevance", "select conv_id, turn, case when role = 'user' then text || chr(10) || chr(10) || 'Quoted post (@' || role || '): q' else text end r from conversations")
-def relevance(t):
-    return t.conversations.select("conv_id", "turn", text.relevance_text("text", "role", F.when(F.col("role") == "user", "q")).alias("r"))
-
-
 @query("str23_labels", f"with {VERDICT_SQL} select doc_id, case when v like '%HIGH' then 'HIGH' else 'LOW' end label from v")
 def verdict_labels(t):
     return verdicts(t).select("doc_id", text.verdict_label("v").alias("label"))
 
 
-@query("str28_templates", f"select doc_id, case {hash_sql('doc_id')} % 100 // 20 when 0 then 'from:' || source when 1 then '$' || lang when 2 then '#' || lang else source end q from documents")
-def templates(t):
-    k = F.floor(sampling.portable_hash(F.col("doc_id")) % 100 / 20)
-    return t.documents.select("doc_id", F.when(k == 0, F.concat(F.lit("from:"), "source")).when(k == 1, F.concat(F.lit("$"), "lang")).when(k == 2, F.concat(F.lit("#"), "lang")).otherwise(F.col("source")).alias("q"))
-
-
-@query("str32_tokens")
-def tokens(t):
-    import os
-
-    path = "/opt/tokenizers/byte_bpe_50k.json"
-    count = documents.tokenizer_count(F.col("text"), path) if os.path.exists(path) else text.token_estimate("text")
-    return t.conversations.select("conv_id", "turn", count.alias("n"))
-
-
-@query("str33_udf7_prompts", "select doc_id, 'Write a question about ' || source || ' in ' || lang || '.' p from documents")
-def prompts(t):
-    return t.documents.select("doc_id", F.format_string("Write a question about %s in %s.", "source", "lang").alias("p"))
-
-
-@query("mth2_mth4_budgets", "select event_id, case event_type when 'view' then 1e0 when 'click' then 1e0 else 1e0 end low, case event_type when 'view' then 5e0 when 'click' then 15e0 when 'purchase' then 30e0 else 9e0 end budget, case event_type when 'view' then 15e0 when 'click' then 15e0 when 'purchase' then 30e0 else 15e0 end lim from events")
-def budgets(t):
-    mode = F.when(F.col("event_type") == "view", "fast").when(F.col("event_type") == "click", "balanced").when(F.col("event_type") == "purchase", "deep")
-    b = numeric.scoring_budget(mode, F.lit(9))
-    return t.events.select("event_id", numeric.least_time(b).alias("low"), b.alias("budget"), numeric.request_limit(mode).alias("lim"))
-
-
 @query("mth6_clamped", "select event_id, case when event_type = 'error' then 0e0 else least(1e0, value / 5e1) end c from events")
 def clamped(t):
     v = F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value") / 50)
@@ -348,23 +228,12 @@ def link_groups(t):
     return t.nation.select("n_nationkey", F.flatten(groups).alias("links"), F.exists(media, lambda m: F.coalesce(m["type"], F.lit("")) == "video").alias("video"), arrays.size0(F.flatten(groups)).alias("n"))
 
 
-@query("arr9_last_place", "select n_nationkey, 3 place from nation")
-def last_place(t):
-    return t.nation.select("n_nationkey", arrays.last_index(F.array("n_name", F.lit("x"), "n_name"), F.col("n_name")).alias("place"))
-
-
 @query("arr11_arr12_entries", """select n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' e, n_regionkey raw from nation""")
 def entries(t):
     m = F.map_from_arrays(F.array(F.lit("x_raw"), F.lit("y")), F.array("n_regionkey", F.lit(0).cast("long")))
     return t.nation.select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("e"), F.map_filter(m, lambda k, v: F.endswith(k, F.lit("_raw")))["x_raw"].alias("raw"))
 
 
-@query("arr13_headers", "select n_nationkey, n_name ip from nation")
-def headers(t):
-    m = F.create_map(F.lit("head_axon_ip"), F.col("n_name"), F.lit("other"), F.lit("z"))
-    return t.nation.select("n_nationkey", F.map_filter(m, lambda k, v: F.startswith(k, F.lit("head_axon_")))["head_axon_ip"].alias("ip"))
-
-
 @query("arr14_manifest", "select n_nationkey, m as mode, case when m = 'fast' then cast(n_nationkey as integer) else 1 end n from nation, (select unnest(['fast', 'balanced', 'deep']) m)")
 def manifest(t):
     m = F.create_map(F.lit("fast"), F.col("n_nationkey").cast("int"))
@@ -376,49 +245,12 @@ def order_penalty(t):
     return evidence.out_of_order(t.events, "user_id", "event_id", "ts").select("user_id", F.when(F.col("unordered"), 1.0).otherwise(0.0).alias("penalty"))
 
 
-@query("scr8_stream_penalty", r"select conv_id, round(least(1e0, sum(greatest(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) - 2, 0) * 1e-2)), 6) penalty from conversations where role = 'assistant' group by 1")
-def stream_penalty(t):
-    a = t.conversations.where("role = 'assistant'").groupBy("conv_id").agg(F.collect_list(text.token_estimate("text")).alias("n"))
-    return a.select("conv_id", F.round(numeric.token_overage("n"), 6).alias("penalty"))
-
-
-@query("scr9_summary_shape", "select doc_id, case when lang = 'en' then 0e0 else 1e0 end penalty from documents")
-def summary_shape(t):
-    cited = text.cited_urls("m")
-    own = F.array(F.concat(F.lit("https://site.org/"), "source"), F.when(F.col("lang") == "en", F.concat(F.lit("http://b.com/"), F.col("doc_id").cast("string"), F.lit("?a=1"))))
-    ok = text.good_markdown("m") & (F.size(cited) > 0) & (F.size(F.array_except(F.array_intersect(cited, cited), own)) == 0)
-    m = markdown(t).withColumn("m", F.concat(F.lit("["), "lang", F.lit("](https://www.Site.org/"), "source", F.lit("/) and [x](http://b.com/"), F.col("doc_id").cast("string"), F.lit("?a=1)")))
-    return m.select("doc_id", F.when(ok, 0.0).otherwise(1.0).alias("penalty"))
-
-
 @query("scr10_scr5_timing", "select event_id, round(least(case when value > 50 then least(ceil(value - 50) / 5e0, 1e0) else 0e0 end + case when value < 1 then 1e0 else 0e0 end, 1e0), 6) penalty from events")
 def timing(t):
     late = numeric.timeout_penalty("value", F.lit(50.0), F.lit(40.0))
     return t.events.select("event_id", F.round(F.least(late + F.when(F.col("value") < numeric.least_time(F.lit(None).cast("double")), 1.0).otherwise(0.0), F.lit(1.0)), 6).alias("penalty"))
 
 
-@query("scr11_rule_penalty", f"with {VERDICT_SQL} select doc_id, case when v like 'score%' then 1e0 else 1e0 end penalty from v")
-def rule_penalty(t):
-    return verdicts(t).select("doc_id", F.when(text.number_score("v") < 10, 1.0).otherwise(0.0).alias("penalty"))
-
-
-@query("scr16_grounded", f"with {VERDICT_SQL} select doc_id, case when v like '%HIGH' then 1e0 when v like '%medium' then 5e-1 else 0e0 end reward from v")
-def grounded(t):
-    return verdicts(t).select("doc_id", (text.verdict_score("v") / 3).alias("reward"))
-
-
-@query("scr18_applied", "select event_id, case when event_type = 'error' then 0e0 else round(value / 1e2, 6) end reward from events")
-def applied(t):
-    status = F.when(F.col("event_type") == "error", 500).otherwise(200)
-    return t.events.select("event_id", F.when(status == 200, F.round(numeric.nan_to_zero(F.col("value") / 100), 6)).otherwise(0.0).alias("reward"))
-
-
-@query("scr20_udf3_penalty_sets", "select event_id, round((1 - case when value < 1 then 1e0 else 0e0 end) * (1 - (event_id % 4) / 1e1), 6) kept from events")
-def penalty_sets(t):
-    sets = {"x": [F.when(F.col("value") < 1, 1.0).otherwise(0.0), (F.col("event_id") % 4) / 10]}
-    return t.events.select("event_id", F.round(scoring.penalty_product(*sets["x"]), 6).alias("kept"))
-
-
 @query("scr21_performance", "select event_id, round(case when event_type = 'error' then 0e0 when value / 10 < 1 or value / 10 >= 8 then 0e0 when value / 10 <= 3 then 1e0 else (8 - value / 10) / 5 end + 1e-9, 6) p from events")
 def performances(t):
     secs = F.when(F.col("event_type") != "error", F.col("value") / 10)
@@ -453,13 +285,3 @@ def epoch_job(t):
 @query("stm19_routing", f"with {STATE_SQL} select uid, lane, round(case when unreachable_since is not null then 0e0 else power(greatest(quality_avg, 1e-1), 3e0) * power(verified, 2e0) end + 1e-7, 4) weight from s")
 def routing(t):
     return epoch.routing_snapshot(states(t)).withColumn("weight", F.round(F.col("weight") + 1e-7, 4))
-
-
-@query("udf6_judged", "select doc_id, case when lang = 'en' then 'Verdict: HIGH' else '' end answer from documents")
-def judged(t):
-    from .. import extension
-
-    p = t.documents.select("doc_id", F.when(F.col("lang") == "en", F.col("source")).alias("prompt"))
-    return extension.judge(p, lambda prompts_: ["Verdict: HIGH" for _ in prompts_]).select("doc_id", "answer")
-
-

@@ -41,6 +41,33 @@ def union_distinct(tables: list[DataFrame], key: str) -> DataFrame:
     return first_wins(whole, [key], "table_", *[F.xxhash64(*sorted(c for c in whole.columns if c != "table_"))]).drop("table_")
 
 
+class Pool:
+    """Rows that are loaded again when older than ``seconds``; if that fails, the old ones stay."""
+
+    def __init__(self, load, seconds: float = 4 * 3600):
+        self.load, self.seconds, self.at, self.kept = load, seconds, None, None
+
+    def rows(self, now: float) -> DataFrame:
+        if self.at is None or now - self.at >= self.seconds:
+            try:
+                self.kept = self.load()
+            except AnalysisException:
+                if self.kept is None:
+                    raise
+            self.at = now
+        return self.kept
+
+
+def save_snapshot(rows: DataFrame, path: str) -> None:
+    """The whole state, in place of what was saved before."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def load_snapshot(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The saved state; no rows where there is none."""
+    return first_available([lambda: spark.read.schema(schema).parquet(path), lambda: spark.createDataFrame([], schema)])
+
+
 def append_scores(scores: DataFrame, path: str) -> None:
     """Adds to a store kept by epoch and kind."""
     scores.write.mode("append").partitionBy("epoch", "kind").parquet(path)

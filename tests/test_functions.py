@@ -157,5 +157,5 @@ def test_free_json(spark):
     assert value(spark, documents.drop_keys(F.lit("broken {"), ("x",))) == "broken {"
     assert value(spark, documents.first_difference(F.lit('{"a": 1}'), F.lit('{"a": 1, "b": null}'))) is None
     assert value(spark, documents.first_difference(F.lit('{"a": {"b": [1, 2]}}'), F.lit('{"a": {"b": [1, 3]}}'))) == "a.b[1]"
-    text_ = "[x](https://www.A.com/p/) and [y](http://other)"
-    assert value(spark, documents.renumber(F.lit(text_), F.array(F.lit("https://a.com/p"), F.lit("z"), F.lit("https://a.com/p")))) == "[3](https://www.A.com/p/) and [y](http://other)"
+    text_ = "[1](https://www.A.com/p/?utm_x=1) and [y](http://other), [the report](https://a.com/p)"
+    assert value(spark, documents.renumber(F.lit(text_), F.array(F.lit("https://a.com/p"), F.lit("z"), F.lit("https://a.com/p")))) == "[3](https://www.A.com/p/?utm_x=1) and [y](http://other), [the report](https://a.com/p)"

@@ -46,9 +46,9 @@ def containing(t):
     return logs.containing(t.customer, "c_mktsegment", " Build ").select("c_custkey")
 
 
-@query("agg12_lists", "select o_orderpriority, min(o_orderdate) first_seen, list(o_orderkey order by o_orderdate, o_orderkey) as values from orders group by 1")
+@query("agg12_lists", "select o_custkey, min(o_orderdate) first_seen, list(o_orderkey order by o_orderdate, o_orderkey) as values from orders group by 1")
 def lists(t):
-    return logs.lists_by_key(t.orders, "o_orderpriority", "o_orderdate", "o_orderkey")
+    return logs.lists_by_key(t.orders, "o_custkey", "o_orderdate", "o_orderkey")
 
 
 @query("agg13_pivot", f"with e as (select user_id, {LANE_SQL} lane, round(avg(value) + 1e-7, 4) v from events where event_type <> 'error' group by all) select user_id, coalesce(max(v) filter (lane = 'ai_search:fast'), 1e0) ai_search_fast, coalesce(max(v) filter (lane = 'ai_search:deep'), 1e0) ai_search_deep, coalesce(max(v) filter (lane = 'x_search'), 1e0) x_search from e group by 1")

@@ -18,28 +18,45 @@ from ..session import shared_folder
 
 
 def read_files(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table's files as a stream."""
+    """A table's file as a stream."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
+def arriving(parts: list[DataFrame]) -> DataFrame:
+    """Tables as a stream in which each arrives after the one before, in a batch of its own."""
+    spark = parts[0].sparkSession
+    folder = shared_folder(spark, "arriving")
+    for k, part in enumerate(parts):
+        part.write.parquet(f"{folder}/{k}")
+        one = spark.read.schema(part.schema).parquet(f"{folder}/{k}").coalesce(1)  # a batch is a file
+        one.write.mode("append").parquet(f"{folder}/all")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/all")
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives for what is there now: appended rows, or the last complete or
     updated state. Output and progress are in the cluster's shared folder."""
     spark = stream.sparkSession
     folder = shared_folder(spark, "stream")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    setting, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(setting)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/{'all' if mode == 'complete' else f'batch={number}'}")  # a repeated batch replaces itself
 
     spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/out/{'all' if mode == 'complete' else 'batch=-1'}")
-    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    try:
+        spark.conf.set(setting, provider)
+        stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out/all" if mode == "complete" else f"{folder}/out/*")
 
 
 def hourly(stream: DataFrame, at: str, value: str, late: str = "2 hours") -> DataFrame:
-    """Count and sum of each hour; rows later than ``late`` are dropped."""
+    """Count and sum of each hour that can't change any more: rows that come after their hour has
+    ended by more than ``late`` are dropped, and hours that may still get rows are withheld."""
     timed = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
     w = timed.groupBy(F.window(at, "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return w.select(F.col("w.start").alias("hour"), "n", "total")

@@ -20,6 +20,8 @@ QUARTER = 64 // TURNS
 BUCKET = 1 << 18  # signatures that one side of a join task aims at; layout only, never the result
 SIGS = ("sig", "pair", "triple0", "triple1")
 CHUNK = 1 << 19  # node pairs held at once
+LEAF = 32  # signatures a node that the walk ends with, about; below, all are compared
+BLOCK = 1 << 16  # signature pairs compared at once
 
 
 def _majority(bits: np.ndarray, weight: np.ndarray | None, start: np.ndarray) -> np.ndarray:
@@ -115,7 +117,8 @@ def trie_pairs(a: np.ndarray, b: np.ndarray, same: bool, budget: int = BUDGET) -
     """
     if not len(a) or not len(b):
         return
-    depth = int(min(40, np.ceil(np.log2(max(len(a), len(b), 2))) + 1))
+    fixed = min(64 - int(x[0] ^ x[-1]).bit_length() for x in (a, b))  # first bits that a whole side shares
+    depth = int(min(QUARTER, fixed + max(0, np.ceil(np.log2(max(len(a), len(b)) / LEAF)))))
     ta = _Trie(a, depth)
     tb = ta if same else _Trie(b, depth)
     allowed = [budget * -(-d // QUARTER) // TURNS for d in range(depth + 1)]
@@ -146,21 +149,43 @@ def trie_pairs(a: np.ndarray, b: np.ndarray, same: bool, budget: int = BUDGET) -
 
 
 def _leaves(ta: _Trie, tb: _Trie, d: int, x: np.ndarray, y: np.ndarray, same: bool, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Whole signatures compared below the last node pairs."""
+    """Whole signatures compared below the last node pairs: those of a node with those of all nodes
+    it is paired with, as one dense table."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
     sa, sb = ta.start[d], tb.start[d]
     nb = sb[y + 1] - sb[y]
-    size = (sa[x + 1] - sa[x]) * nb
-    done = np.r_[0, np.cumsum(size)]
-    for at in range(0, int(done[-1]), 2 * CHUNK):
-        k = np.arange(at, min(at + 2 * CHUNK, int(done[-1])))
-        node = np.searchsorted(done, k, "right") - 1
-        inner = k - done[node]
-        i, j = sa[x[node]] + inner // nb[node], sb[y[node]] + inner % nb[node]
-        ok = np.bitwise_count(ta.s[i] ^ tb.s[j]) <= budget
-        if same:
-            ok &= i < j
-        if ok.any():
-            yield i[ok], j[ok]
+    done = np.r_[0, np.cumsum(nb)]
+    cut = np.flatnonzero(np.diff(x, prepend=-1))
+    xor, bits = np.empty(BLOCK, np.uint64), np.empty(BLOCK, np.uint8)
+    left, right, held = [], [], 0
+    for p, q in zip(cut.tolist(), [*cut[1:].tolist(), len(x)]):
+        for k in range(p, q, 4096):  # some partners at once
+            e = min(k + 4096, q)
+            for at in range(int(done[k]), int(done[e]), BLOCK):
+                upto = min(at + BLOCK, int(done[e]))
+                first, last = (k, e) if upto - at == done[e] - done[k] else (int(np.searchsorted(done, at, "right")) - 1, int(np.searchsorted(done, upto)))
+                n = np.minimum(done[first + 1 : last + 1], upto) - np.maximum(done[first:last], at)
+                j = np.repeat(sb[y[first:last]] + np.maximum(at - done[first:last], 0) - (np.cumsum(n) - n), n) + np.arange(upto - at)
+                whole = tb.s[j]
+                step = BLOCK // len(j)
+                for row in range(int(sa[x[p]]), int(sa[x[p] + 1]), step):
+                    rows = ta.s[row : min(row + step, int(sa[x[p] + 1]))]
+                    size = len(rows) * len(j)
+                    np.bitwise_xor(rows[:, None], whole, out=xor[:size].reshape(len(rows), -1))
+                    found = np.flatnonzero(np.bitwise_count(xor[:size], out=bits[:size]) <= budget)
+                    if len(found):
+                        i, jj = row + found // len(j), j[found % len(j)]
+                        if same:
+                            ok = i < jj
+                            i, jj = i[ok], jj[ok]
+                        left.append(i), right.append(jj)
+                        held += len(i)
+                        if held > CHUNK:
+                            yield np.concatenate(left), np.concatenate(right)
+                            left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
 
 
 class _Forest:

@@ -1,3 +1,5 @@
+from time import thread_time
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,38 @@ def test_trie_join_is_exact(budget):
     assert got == want and want
 
 
+@pytest.mark.parametrize("leaf, block", [(4, 50), (64, 1000), (1 << 20, 1 << 16)])
+def test_trie_join_of_crowded_and_unlike_sides(monkeypatch, leaf, block):
+    """Nodes of very different sizes, compared in many and in few tables."""
+    monkeypatch.setattr(simhash, "LEAF", leaf), monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    crowd = np.packbits(rng.random((500, 64)) < np.r_[np.full(40, 0.97), np.full(24, 0.5)], axis=1).view(">u8")[:, 0].astype(np.uint64)
+    s = np.unique(np.r_[planted(400), crowd])
+    for a, b in ((s, s), (s[::3], s), (s, s[5:6]), (crowd[:1], crowd[:1])):
+        want = {(int(a[i]), int(b[j])) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a[i] ^ b) <= simhash.BUDGET) if a is not b or i < j}
+        got = set()
+        for turn in range(simhash.TURNS):
+            x, y = (np.sort(simhash._turn(z, turn * simhash.QUARTER)) for z in (a, b))
+            for i, j in simhash.trie_pairs(x, y, a is b):
+                back = (simhash._turn(z, 64 - turn * simhash.QUARTER) if turn else z for z in (x[i], y[j]))
+                got |= {(min(p), max(p)) if a is b else p for p in zip(*(z.tolist() for z in back))}
+        assert got == want
+
+
+def test_trie_join_costs_a_small_part_of_all_comparisons():
+    """Signatures as uneven as those of texts of one language: the walk takes less than a fifth of comparing all."""
+    bit = np.random.default_rng(5).permutation(np.linspace(0.2, 0.8, 64))
+    s = np.unique(np.packbits(np.random.default_rng(6).random((100_000, 64)) < bit, axis=1).view(">u8")[:, 0].astype(np.uint64))
+    began = thread_time()
+    for _ in simhash.trie_pairs(s, s, True):
+        pass
+    walked, some = thread_time() - began, 400
+    began = thread_time()
+    for k in range(0, some, 10):
+        np.flatnonzero(np.bitwise_count(s[k : k + 10, None] ^ s) <= simhash.BUDGET)
+    assert walked < 0.2 * (thread_time() - began) * len(s) / some / 2
+
+
 def brute(texts, budget=simhash.BUDGET, confirm=simhash.CONFIRM):
     """All pairs within both budgets, and the least id of each component."""
     ids = sorted(texts)

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chain, col, durable, hash_strings, mix, shuffle_partitions, whole_id
+from .common import chain, col, durable, hash_strings, mix, offsets, shuffle_partitions, whole_id
 
 SHARE = 0.01  # of a host's rows that have the tokens of a class
 PAGES = 3  # different pages on which they occur
@@ -20,7 +20,7 @@ WORD_PAGES = 10  # the same for a class without a tag: words alone may agree by
 CLASS_SIZE = 3  # tokens of a template class
 PART_BYTES = 8 << 20  # html of a host that a task handles at once; layout only, never the result
 BROADCAST_BYTES = 32 << 20  # of large hosts' names, up to which they are broadcast
-_TOKEN = re.compile(r"(<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\2\s*>|$)|<[^<>]*>?|[^<\s]+)", re.S | re.I)
+_MARK = re.compile(r"(<(?:!--.*?(?:-->|$)|(script|style|noscript|template)\b[^>]*>.*?(?:</\2\s*>|$)|[^<>]*>?))", re.S | re.I)  # what lies between is words
 _NAME = re.compile(r"</?\s*([A-Za-z][A-Za-z0-9]*)")
 _ROLE = re.compile(r"""\b(?:class|id|itemprop|role)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PLACE = 28  # bits of a place within its page
@@ -40,44 +40,59 @@ def _tag(raw: str, block: str) -> str:
 
 
 class Reader:
-    """Pages as codes of tokens: tags by their identity, words by themselves and the tag before."""
+    """Pages as codes of tokens: tags by their identity, words by themselves and the tag before.
 
-    def __init__(self):
-        self.text: list[str | None] = []  # of each code its word, None for a tag
-        self.tag: list[str] = []  # of each code the tag, or the one before the word
-        self.raw: dict[str, tuple] = {}  # tags as written: code, words after it
-        self.named: dict[str, tuple] = {}  # by identity
-        self.bare: dict[str, int] = {}  # words before any tag
+    Codes below ``n_tags`` are tags, of which 0 stands for none; words follow. They hold for the pages last read.
+    """
 
-    def hashes(self) -> np.ndarray:
-        word = pa.array(self.text, pa.string())
-        return chain(hash_strings(pa.array(self.tag, pa.string())), np.where(word.is_null().to_numpy(zero_copy_only=False), 0, hash_strings(pc.fill_null(word, ""))).astype(np.uint64))
-
-    def read(self, page: str) -> np.ndarray:
-        out, texts, tags = [], self.text, self.tag
-        tag, words = "", self.bare
-        for t, block in _TOKEN.findall(page):
-            if t[0] == "<":
-                known = self.raw.get(t)
-                if known is None:
-                    name = _tag(t, block)
-                    known = self.named.get(name)
-                    if known is None:
-                        known = self.named[name] = (len(texts), {}, name)
-                        texts.append(None)
-                        tags.append(name)
-                    if len(self.raw) > 50_000:
-                        self.raw.clear()
-                    self.raw[t] = known
-                code, words, tag = known
-            else:
-                code = words.get(t)
+    def read(self, *pages: str) -> np.ndarray:
+        """The codes of all pages, end to end; ``length`` says how many each has."""
+        named, raw = {"": 0}, {}  # tags by identity, and as written
+        runs, before, first = [], [], []  # runs of words, the tag before each, each page's first run
+        for page in pages:
+            parts = _MARK.split(page)
+            first.append(len(runs))
+            runs += parts[::3]
+            before.append(0)
+            for t, block in zip(parts[1::3], parts[2::3]):
+                code = raw.get(t)
                 if code is None:
-                    code = words[t] = len(texts)
-                    texts.append(t)
-                    tags.append(tag)
-            out.append(code)
-        return np.array(out, np.int64)
+                    if len(raw) > 50_000:
+                        raw.clear()
+                    code = raw[t] = named.setdefault(_tag(t, block or ""), len(named))
+                before.append(code)
+        split = pc.utf8_split_whitespace(pa.array(runs, pa.string()))  # by what Python calls space
+        words = split.flatten()
+        real = pc.greater(pc.binary_length(words), 0)  # a run's ends split into empty ones
+        n = np.diff(np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][offsets(split) if len(split) else [0]])
+        coded = words.filter(real).dictionary_encode()
+        before, size = np.array(before, np.int64), max(len(coded.dictionary), 1)
+        pair = pa.array(np.repeat(before, n) * size + coded.indices.to_numpy()).dictionary_encode()
+        self.names, self.words, self.n_tags = list(named), coded.dictionary, len(named)
+        self.after, self.word = np.divmod(pair.dictionary.to_numpy(), size)  # of each word's code its tag and its word
+        lead = np.ones(len(before), np.int64)
+        lead[first] = 0
+        start = np.cumsum(n + lead) - (n + lead)
+        out, is_word = np.empty(int((n + lead).sum()), np.int64), np.ones(int((n + lead).sum()), bool)
+        out[start[lead > 0]] = before[lead > 0]
+        is_word[start[lead > 0]] = False
+        out[is_word] = self.n_tags + pair.indices.to_numpy()
+        self.length = np.add.reduceat(n + lead, first) if first else n
+        return out
+
+    @property
+    def text(self) -> list[str | None]:
+        """Of each code its word, None for a tag."""
+        return [None] * self.n_tags + self.words.take(pa.array(self.word)).to_pylist()
+
+    @property
+    def tag(self) -> list[str]:
+        """Of each code the tag, or the one before the word."""
+        return self.names + [self.names[k] for k in self.after.tolist()]
+
+    def hashes(self) -> np.ndarray:
+        tag = hash_strings(pa.array(self.names, pa.string()))
+        return np.r_[chain(tag, np.zeros(len(tag), np.uint64)), chain(tag[self.after], hash_strings(self.words)[self.word])]
 
 
 class Group:
@@ -85,7 +100,6 @@ class Group:
 
     def __init__(self, pages: list[str | None]):
         self.reader = Reader()
-        self.page: list[np.ndarray] = []
         self.copies: list[int] = []
         self.of: list[int] = []  # of each row its page, -1 for null
         seen: dict[str, int] = {}
@@ -93,20 +107,19 @@ class Group:
             if x is None:
                 self.of.append(-1)
                 continue
-            k = seen.setdefault(x, len(self.page))
-            if k == len(self.page):
-                self.page.append(self.reader.read(x))
+            k = seen.setdefault(x, len(seen))
+            if k == len(self.copies):
                 self.copies.append(0)
             self.copies[k] += 1
             self.of.append(k)
+        self.flat = self.reader.read(*seen)
         self.hash = hash_strings(pa.array(list(seen), pa.large_string()).cast(pa.string()))
         self.token = self.reader.hashes()
-        self.is_tag = np.array([t is None for t in self.reader.text], bool)
-        length = np.array([len(p) for p in self.page], np.int64)
-        self.flat = np.concatenate([*self.page, np.zeros(0, np.int64)])
+        self.is_tag = np.arange(len(self.token)) < self.reader.n_tags
+        self.length = length = self.reader.length
         self.doc = np.repeat(np.arange(len(length)), length)
         self.start = np.cumsum(length) - length
-        self.length = length
+        self.page = [self.flat[a : a + n] for a, n in zip(self.start.tolist(), length.tolist())]
 
     def vectors(self, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """Of each token that occurs, or of the wanted ones: code, a hash of its occurrence vector (how often it is on
@@ -197,27 +210,30 @@ class Group:
 
     def extract(self, c: dict[str, np.ndarray]) -> tuple[list, list, list]:
         """Of each row: classes, template tokens and slots, by the tokens of valid classes."""
-        known = self._known(c["t"])
+        where = self._known(c["t"])[self.flat]
         cls = np.unique(c["cls"], return_inverse=True)[1]
         size = np.bincount(cls) if len(cls) else cls
-        text, memo, done = self.reader.text, {}, []
-        for page in self.page:
-            where = known[page]
-            seen = where[where >= 0]
+        memo, done, mark = {}, [], np.zeros(len(where), bool)
+        for a, n in zip(self.start.tolist(), self.length.tolist()):
+            mine = where[a : a + n]
+            seen = mine[mine >= 0]
             sequence = seen.tobytes()
             if sequence not in memo:
                 if len(memo) > 10_000:
                     memo.clear()
-                memo[sequence] = _nest(seen, cls, size, c["n"], c["cls"])
-            fine = memo[sequence]
-            mark = (where >= 0) & np.isin(cls[where], fine) if len(cls) else np.zeros(len(page), bool)
-            words = np.flatnonzero(~mark & ~self.is_tag[page])
-            slot = np.cumsum(mark)[words]
-            cut = np.flatnonzero(np.diff(slot, prepend=-1))
-            names = page[words].tolist()
-            slots = [html.unescape(" ".join([text[x] for x in names[a:b]])) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(names)])]
-            done.append((len(fine), len(np.unique(page[mark])), slots))
-        rows = [(0, 0, None) if k < 0 else done[k] for k in self.of]
+                fine = _nest(seen, cls, size, c["n"], c["cls"])
+                used = np.r_[np.isin(cls, fine), False]  # the last for tokens of no class
+                memo[sequence] = len(fine), len(np.unique(seen[used[seen]])), used
+            n_classes, n_tokens, used = memo[sequence]
+            mark[a : a + n] = used[mine]
+            done.append((n_classes, n_tokens))
+        words = np.flatnonzero(~mark & ~self.is_tag[self.flat])
+        slot, doc = np.cumsum(mark)[words], self.doc[words]
+        cut = np.flatnonzero((np.diff(slot, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        text = self.reader.words.take(pa.array(self.reader.word[self.flat[words] - self.reader.n_tags]))
+        slots = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[cut, len(words)].astype(np.int32)), text), " ").to_pylist()
+        slots, ends = [html.unescape(x) for x in slots], np.searchsorted(doc[cut], np.arange(len(done) + 1)).tolist()
+        rows = [(0, 0, None) if k < 0 else (*done[k], slots[ends[k] : ends[k + 1]]) for k in self.of]
         return tuple(map(list, zip(*rows))) if rows else ([], [], [])
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import routing_weight
 from .ranking import global_row_number
 
+MODULUS = 2147483647
+PART_REQUESTS, PART_UIDS = 131_072, 262_144  # requests and uids that a task of route_pick_each aims at
+CHUNK = 4096  # requests searched at once
+
 
 def portable_hash(key: Column, seed: int = 0) -> Column:
     """A pseudo-random whole number below 2^31 - 1 from an integer key, the same in any SQL engine."""
@@ -62,10 +68,98 @@ def route_pick(candidates: DataFrame, request: str, uid: str, quality: str, veri
     """For each request one uid with probability proportional to its routing weight."""
     key = F.col(request).cast("long") * 1_000_003 + F.col(uid).cast("long")
     score = -F.log(unit(key, seed)) / routing_weight(quality, verified)
-    w = Window.partitionBy(request).orderBy(F.round(score, 12), uid)
+    w = Window.partitionBy(request).orderBy(F.asc_nulls_last(F.round(score, 12)), F.asc_nulls_last(uid))
     return candidates.withColumn("rank_", F.row_number().over(w)).where("rank_ = 1").drop("rank_")
 
 
+def _leading(requests: np.ndarray, uids: np.ndarray, weights: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(request, place of the uid) of all pairs that may have a request's least score, rounded.
+
+    The hash is affine modulo a prime, so a request only turns the ring of the uids' own hashes:
+    uids of like weight lie sorted on theirs, and are walked from the best hash on until the
+    hash alone makes a score too large.
+    """
+    factor = 48271 * 69621 % MODULUS
+    ring = uids % MODULUS * factor % MODULUS
+    turn = (requests % MODULUS * 1_000_003 % MODULUS * factor + (seed + 11) * 69621 + 7) % MODULUS
+    score = lambda h, w: -np.log((h + 1) / 2147483648.0) / w
+    usual = np.isfinite(weights)
+    kinds = [np.flatnonzero(usual & (np.frexp(weights)[1] == e)) for e in np.unique(np.frexp(weights[usual])[1])[::-1]]
+    kinds = [(k := kind[np.argsort(ring[kind], kind="stable")], ring[k], weights[k].max()) for kind in kinds]
+    odd = [k[np.argmin(uids[k])] for k in (np.flatnonzero(np.isinf(weights)), np.flatnonzero(np.isnan(weights))) if len(k)]
+    found = [(np.arange(len(requests)), np.full(len(requests), u)) for u in odd]
+    for at in range(0, len(requests), CHUNK):
+        best_hash = MODULUS - 1 - turn[at : at + CHUNK]
+        most = np.full(len(best_hash), 0.0 if np.isinf(weights).any() else np.inf)
+        limit = lambda: most * (1 + 1e-9) + 2e-12  # noqa: E731  # what rounds to the same 12 digits is in it
+        rows, places, scores, size = [], [], [], 0
+
+        def squeeze():
+            # of scores that round alike for sure only the least uid can lead
+            r, p, s = (np.concatenate(x) for x in (rows, places, scores))
+            keep = s <= limit()[r]
+            r, p, s = r[keep], p[keep], s[keep]
+            cell = np.floor(np.minimum(s * 1e15, 2.0**52))
+            near = np.isin(cell % 1000, (499, 500)) | (cell >= 1e12)
+            order = np.lexsort((uids[p], cell, r))
+            first = np.ones(len(order), bool)
+            first[1:] = (r[order][1:] != r[order][:-1]) | (cell[order][1:] != cell[order][:-1])
+            keep = order[first | near[order]]
+            return [r[keep]], [p[keep]], [s[keep]], len(keep)
+
+        for kind, sorted_ring, heaviest in kinds:
+            active, place = np.arange(len(best_hash)), np.searchsorted(sorted_ring, best_hash, side="right") - 1
+            for _ in range(len(kind)):
+                h = MODULUS - 1 - (best_hash[active] - sorted_ring[place]) % MODULUS
+                near = score(h, heaviest) <= limit()[active]
+                active, place, h = active[near], place[near], h[near]
+                if not len(active):
+                    break
+                s = score(h, weights[kind[place]])
+                most[active] = np.minimum(most[active], s)
+                near = s <= limit()[active]
+                rows.append(active[near]), places.append(kind[place[near]]), scores.append(s[near])
+                size += int(near.sum())
+                if size > 4_000_000:
+                    rows, places, scores, size = squeeze()
+                place = place - 1  # below 0 it goes on from the end
+        if rows:
+            (r,), (p,), _, _ = squeeze()
+            found.append((r + at, p))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
+def route_pick_each(requests: DataFrame, providers: DataFrame, request: str, uid: str, quality: str, verified: str, seed: int = 0) -> DataFrame:
+    """(request, uid): route_pick with all providers as candidates of each request, whose pairs are
+    never built. Keys are whole numbers; a provider without uid gets what nobody else can take.
+
+    Tasks have some requests and some providers each, and find the few that may lead; work grows
+    as both, not as their product, as long as weights sum to less than the 1e12 that scores are
+    rounded to.
+    """
+    r = requests.select(F.col(request).cast("long").alias("request_")).distinct()
+    p = providers.select(F.col(uid).cast("long").alias("uid_"), routing_weight(quality, verified).cast("double").alias("w_"))
+    slices, parts = (max(1, -(-df.count() // n)) for df, n in ((r, PART_REQUESTS), (p, PART_UIDS)))
+    on = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = r.where("request_ is not null").select("request_", on("request_", slices).alias("slice_"), every(parts).alias("part_"))
+    right = p.where("uid_ is not null").select("uid_", "w_", on("uid_", parts).alias("part_"), every(slices).alias("slice_"))
+
+    def lead(a: pa.Table, b: pa.Table) -> pa.Table:
+        keys, uids, weights = a["request_"].to_numpy(), b["uid_"].to_numpy(), b["w_"].to_numpy()
+        i, k = _leading(keys, uids, weights, seed)
+        return pa.table({"request_": keys[i], "uid_": uids[k], "w_": weights[k]})
+
+    pairs = left.groupBy("slice_", "part_").cogroup(right.groupBy("slice_", "part_")).applyInArrow(lead, "request_ long, uid_ long, w_ double")
+    score = F.round(-F.log(unit(F.col("request_") * 1_000_003 + F.col("uid_"), seed)) / F.col("w_"), 12)
+    best = pairs.groupBy("request_").agg(F.min(F.struct(score.alias("a"), F.col("uid_").alias("b"))).getField("b").alias("uid_"))
+    # a request without key has no scores, and takes the least uid
+    least = p.agg(F.min("uid_").alias("least_"), F.count("*").alias("n_"))
+    out = r.join(best, "request_", "left").crossJoin(F.broadcast(least)).where("n_ > 0")
+    picked = F.coalesce("uid_", F.when(F.col("request_").isNull(), F.col("least_")))
+    return out.select(F.col("request_").cast(requests.schema[request].dataType).alias(request), picked.cast(providers.schema[uid].dataType).alias(uid))
+
+
 def uniform_sample(rows: DataFrame, group: str, key: str, k: int, seed: int = 0) -> DataFrame:
     w = Window.partitionBy(group).orderBy(portable_hash(F.col(key), seed), key)
     return rows.withColumn("rank_", F.row_number().over(w)).where(F.col("rank_") <= k).drop("rank_")

@@ -147,7 +147,7 @@ def top_half(t):
 )
 def route(t):
     u = t.events.groupBy("user_id").agg((F.avg("value") / 100).alias("q"), F.count("*").alias("v"))
-    return sampling.route_pick(t.supplier.select("s_suppkey").crossJoin(u), "s_suppkey", "user_id", "q", "v").select("s_suppkey", "user_id")
+    return sampling.route_pick_each(t.supplier.select("s_suppkey"), u, "s_suppkey", "user_id", "q", "v")
 
 
 @query("srt9_uniform_sample", f"select l_orderkey, l_linenumber from (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by {hash_sql('l_linenumber')}, l_linenumber) r from lineitem) where r <= 2")

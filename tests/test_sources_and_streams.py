@@ -134,3 +134,30 @@ def test_plug_ins(spark):
     assert extension.run_tools(spark.createDataFrame([("q",)], "query string"), ["web", "no"]).first().tool == "web"
     asked = extension.judge(spark.createDataFrame([("hi",), (None,)], "prompt string"), lambda p: [x.upper() for x in p])
     assert sorted(r.answer for r in asked.collect()) == ["", "HI"]
+
+
+def test_route_pick_each_builds_no_pairs(spark):
+    ids = [*range(0, 400, 3), 10**6, 2**31, 5, 5]
+    rows = [(k, *v) for k, v in zip(ids, [(0.5, 3), (None, None), (0.9, 70), (0.01, 1), (0.7, 2000)] * 40)] + [(None, 1.0, 10**6)]
+    providers = spark.createDataFrame(rows, "u long, q double, v long")
+    requests = spark.createDataFrame([(k,) for k in [*range(300), 7, 10**6 + 3]], "r long")
+    pick = lambda p, r=requests: sampling.route_pick_each(r, p, "r", "u", "q", "v", 5)
+    pairs = lambda p, r=requests: sampling.route_pick(r.crossJoin(p), "r", "u", "q", "v", 5).select("r", "u")
+    assert sorted(map(tuple, pick(providers).collect())) == sorted(map(tuple, pairs(providers).collect()))
+    # odd weights, and weights so large that rounded scores are equal
+    for odd in ([(1, float("nan"), 1), (4, 0.5, 3), (9, 0.2, 9)], [(8, float("inf"), 1), (4, 0.5, 10**7), (6, 0.5, 3)], [(8, float("nan"), 1), (3, float("nan"), 1)], [(k, 1.0, 10**7 + k % 7 * 10**6) for k in range(500, 0, -1)], [(None, 0.5, 1)]):
+        some = spark.createDataFrame(odd, "u long, q double, v long")
+        assert sorted(map(tuple, pick(some).collect())) == sorted(map(tuple, pairs(some).collect()))
+    nobody = spark.createDataFrame([(None,)], "r long")
+    assert [tuple(r) for r in pick(providers, nobody).collect()] == [tuple(r) for r in pairs(providers, nobody).collect()] == [(None, 0)]
+    assert pick(providers.limit(0)).count() == 0
+
+
+def test_route_pick_each_in_parts(spark, monkeypatch):
+    providers = spark.range(0, 999).select(F.col("id").alias("u"), ((F.col("id") % 10) / 10).alias("q"), (1 + F.col("id") % 70).alias("v"))
+    requests = spark.range(500).withColumnRenamed("id", "r")
+    whole = {tuple(r) for r in sampling.route_pick_each(requests, providers, "r", "u", "q", "v").collect()}
+    for name, n in (("PART_REQUESTS", 100), ("PART_UIDS", 300)):
+        monkeypatch.setattr(sampling, name, n)
+    assert whole == {tuple(r) for r in sampling.route_pick_each(requests, providers, "r", "u", "q", "v").collect()} and len(whole) == 500
+    assert "Cartesian" not in (plan := sampling.route_pick_each(requests, providers, "r", "u", "q", "v")._jdf.queryExecution().executedPlan().toString()) and "part_" in plan

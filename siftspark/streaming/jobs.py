@@ -18,9 +18,9 @@ from ..session import shared_folder
 
 
 def read_files(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table's file as a stream."""
+    """A table as a stream, whether it is one file or a folder of files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")  # a stream's path is a folder or a pattern
 
 
 def arriving(parts: list[DataFrame]) -> DataFrame:

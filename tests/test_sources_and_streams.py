@@ -161,3 +161,13 @@ def test_route_pick_each_in_parts(spark, monkeypatch):
         monkeypatch.setattr(sampling, name, n)
     assert whole == {tuple(r) for r in sampling.route_pick_each(requests, providers, "r", "u", "q", "v").collect()} and len(whole) == 500
     assert "Cartesian" not in (plan := sampling.route_pick_each(requests, providers, "r", "u", "q", "v")._jdf.queryExecution().executedPlan().toString()) and "part_" in plan
+
+
+def test_stream_of_a_table_in_parts(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (2, 0, "user", "d"), (2, 1, "assistant", "e")]
+    table = spark.createDataFrame(rows, "k long, turn long, role string, t string")
+    table.repartition(3).write.parquet(str(tmp_path / "parts.parquet"))
+    table.toPandas().to_parquet(tmp_path / "whole.parquet")
+    for name in ("parts", "whole"):
+        stream = jobs.read_files(spark, str(tmp_path), name)
+        assert {tuple(r) for r in jobs.run_available(jobs.fold(stream, "k", "turn", "role", "t"), "complete").collect()} == {(1, "ac", "b"), (2, "d", "e")}

@@ -37,11 +37,14 @@ def join_sources(fetched: DataFrame, meta: DataFrame, response: str, url: str, p
 def cited_bodies(cited: DataFrame, links: DataFrame, posts: DataFrame, response: str, url: str, body: str) -> DataFrame:
     """Bodies of cited URLs: by source key among the links, else by post id; without a body dropped.
     Of one key the longest body stays, the first of equally long ones. The URL stays as cited."""
-    l = first_wins(links.withColumn("key_", text.source_key(url)), [response, "key_"], F.length(body).desc()).select(response, "key_", F.col(body).alias("link_body_"))
-    p = first_wins(posts.where("post_id is not null"), [response, "post_id"], F.length(body).desc()).select(response, "post_id", F.col(body).alias("post_body_"))
-    c = cited.withColumn("key_", text.source_key(url)).withColumn("post_id", text.post_id(url))
-    found = c.join(l, [response, "key_"], "left").join(p, [response, "post_id"], "left").withColumn(body, F.coalesce(F.nullif("link_body_", F.lit("")), F.nullif("post_body_", F.lit(""))))
-    return first_wins(found.where(F.col(body).isNotNull()), [response, "key_"], F.length(body).desc(), F.col(url)).drop("key_", "post_id", "link_body_", "post_body_")
+    some = F.col(body) != ""
+    l = first_wins(links.where(some).withColumn("key_", text.source_key(url)), [response, "key_"], F.length(body).desc()).select(response, "key_", body)
+    p = first_wins(posts.where(some & F.col("post_id").isNotNull()), [response, "post_id"], F.length(body).desc()).select(response, "post_id", body)
+    c = cited.withColumn("key_", text.source_key(url))
+    linked = first_wins(c, [response, "key_"], F.col(url)).join(l, [response, "key_"])
+    # what has a link's body meets no posts, as bodies without a post id would all meet in one task
+    rest = c.join(l.select(response, "key_"), [response, "key_"], "left_anti").withColumn("post_id", text.post_id(url)).where("post_id is not null").join(p, [response, "post_id"])
+    return linked.unionByName(first_wins(rest, [response, "key_"], F.length(body).desc(), F.col(url)).drop("post_id")).drop("key_")
 
 
 def outside_sources(cited: DataFrame, sources: DataFrame, response: str, url: str) -> DataFrame:

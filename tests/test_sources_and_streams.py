@@ -171,3 +171,13 @@ def test_stream_of_a_table_in_parts(spark, tmp_path):
     for name in ("parts", "whole"):
         stream = jobs.read_files(spark, str(tmp_path), name)
         assert {tuple(r) for r in jobs.run_available(jobs.fold(stream, "k", "turn", "role", "t"), "complete").collect()} == {(1, "ac", "b"), (2, "d", "e")}
+
+
+def test_cited_bodies_meet_posts_only_without_a_link(spark):
+    links = spark.createDataFrame([(1, "http://a.b/x", "long body"), (1, "http://a.b/x/", "body"), (1, "http://a.b/y", ""), (1, "https://x.com/u/status/8", ""), (2, "http://a.b/z", "z")], "r long, url string, body string")
+    posts = spark.createDataFrame([(1, "7", "seven"), (1, "8", "eight"), (1, "9", ""), (1, None, "none")], "r long, post_id string, body string")
+    urls = ["http://a.b/x/", "http://a.b/x", "http://a.b/y", "http://a.b/z", "https://x.com/u/status/7", "https://x.com/u/status/8", "https://x.com/u/status/9"]
+    got = evidence.cited_bodies(spark.createDataFrame([(1, u) for u in urls], "r long, url string"), links, posts, "r", "url", "body")
+    assert sorted(got.columns) == ["body", "r", "url"]
+    assert {(r.url, r.body) for r in got.collect()} == {("http://a.b/x", "long body"), ("https://x.com/u/status/7", "seven"), ("https://x.com/u/status/8", "eight")}
+    assert "LeftOuter" not in got._jdf.queryExecution().optimizedPlan().toString()  # bodies without a post id would all be in one task

@@ -18,7 +18,7 @@ def match_by_id(checked: DataFrame, given: DataFrame, response: str, key: str) -
     """Each checked item with the provider's of the same key; ``matched`` tells whether there is
     one. A provider that repeats a key has no match at all in that response."""
     counts = given.where(F.col(key).isNotNull()).groupBy(response, key).agg(F.count("*").alias("times_"))
-    repeated = counts.groupBy(response).agg((F.max("times_") > 1).alias("repeated_"))
+    repeated = counts.where("times_ > 1").select(response, F.lit(True).alias("repeated_")).distinct()
     joined = checked.join(given.withColumn("there_", F.lit(True)), [response, key], "left").join(repeated, response, "left")
     return joined.withColumn("matched", F.coalesce("there_", F.lit(False)) & ~F.coalesce("repeated_", F.lit(False))).drop("there_", "repeated_")
 

@@ -158,7 +158,8 @@ def content_votes(given, truth) -> Column:
 def content_accuracy(pairs: DataFrame, response: str, votes: Column, matched: Column, unordered: Column) -> DataFrame:
     """A response's mean over the true posts of the mean of their votes; a post that isn't matched,
     or fails its gates, has 0; a response that should be in order of time and isn't has 0."""
-    scored = pairs.select(response, F.when(matched, arrays.vote_mean(votes)).otherwise(0.0).alias("vote_"), unordered.alias("bad_"))
+    voted = pairs.select(response, F.when(matched, votes).alias("votes_"), unordered.alias("bad_"))
+    scored = voted.select(response, arrays.vote_mean("votes_").alias("vote_"), "bad_")
     mean = scored.groupBy(response).agg(F.avg("vote_").alias("mean_"), F.bool_or("bad_").alias("bad_"), F.count("*").alias("n"))
     return mean.select(response, F.when(F.coalesce("bad_", F.lit(False)), 0.0).otherwise(F.coalesce("mean_", F.lit(0.0))).alias("accuracy"), "n")
 

@@ -159,3 +159,10 @@ def test_free_json(spark):
     assert value(spark, documents.first_difference(F.lit('{"a": {"b": [1, 2]}}'), F.lit('{"a": {"b": [1, 3]}}'))) == "a.b[1]"
     text_ = "[1](https://www.A.com/p/?utm_x=1) and [y](http://other), [the report](https://a.com/p)"
     assert value(spark, documents.renumber(F.lit(text_), F.array(F.lit("https://a.com/p"), F.lit("z"), F.lit("https://a.com/p")))) == "[3](https://www.A.com/p/?utm_x=1) and [y](http://other), [the report](https://a.com/p)"
+
+
+def test_vote_mean_without_lambdas(spark):
+    votes = spark.createDataFrame([([True, None, False, True],), ([None],), ([],), (None,), ([False],), ([True],)], "v array<boolean>")
+    got = votes.select(arrays.vote_mean("v").alias("m"))
+    assert [r.m for r in got.collect()] == [2 / 3, 0.0, 0.0, 0.0, 0.0, 1.0]
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()

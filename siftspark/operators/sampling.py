@@ -13,6 +13,7 @@ from .ranking import global_row_number
 MODULUS = 2147483647
 PART_REQUESTS, PART_UIDS = 131_072, 262_144  # requests and uids that a task of route_pick_each aims at
 CHUNK = 4096  # requests searched at once
+BROADCAST_ROWS = 100_000
 
 
 def portable_hash(key: Column, seed: int = 0) -> Column:
@@ -191,8 +192,11 @@ def cyclic_join(queries: DataFrame, pool: DataFrame, order: str, pool_order: str
 def strided(rows: DataFrame, order: str, text: str, most: int, start: int) -> DataFrame:
     """(id, text): about ``most`` rows at even distances, from ``start`` on; trimmed, without blanks
     and repetitions. The id is a hash of the text."""
+    hashed = rows.withColumn("hash_", F.xxhash64(text))
     n = rows.agg(F.greatest(F.lit(1), F.floor(F.count("*") / most)).alias("stride_"))
-    placed = global_row_number(rows, order, "i_").crossJoin(F.broadcast(n))
+    placed = global_row_number(hashed.select(order, "hash_"), order, "i_").crossJoin(F.broadcast(n))  # places need no texts
     first = F.pmod(F.lit(start), F.col("stride_"))
-    kept = placed.where((F.col("i_") >= first) & (F.pmod(F.col("i_") - first, F.col("stride_")) == 0)).select(F.trim(text).alias("text")).where("text <> ''").distinct()
-    return kept.select(F.concat(F.lit("h"), F.left(F.sha1("text"), F.lit(15))).alias("id"), "text")
+    taken = placed.where((F.col("i_") >= first) & (F.pmod(F.col("i_") - first, F.col("stride_")) == 0)).select(F.col(order).alias("o_"), F.col("hash_").alias("h_")).distinct()
+    kept = hashed.join(F.broadcast(taken) if most <= BROADCAST_ROWS else taken, F.col(order).eqNullSafe(F.col("o_")) & (F.col("hash_") == F.col("h_")), "left_semi")
+    texts = kept.select(F.trim(text).alias("text")).where("text <> ''").distinct()
+    return texts.select(F.concat(F.lit("h"), F.left(F.sha1("text"), F.lit(15))).alias("id"), "text")

@@ -181,3 +181,14 @@ def test_cited_bodies_meet_posts_only_without_a_link(spark):
     assert sorted(got.columns) == ["body", "r", "url"]
     assert {(r.url, r.body) for r in got.collect()} == {("http://a.b/x", "long body"), ("https://x.com/u/status/7", "seven"), ("https://x.com/u/status/8", "eight")}
     assert "LeftOuter" not in got._jdf.queryExecution().optimizedPlan().toString()  # bodies without a post id would all be in one task
+
+
+def test_strided_places_no_texts(spark, monkeypatch):
+    placed = []
+    number = sampling.global_row_number
+    monkeypatch.setattr(sampling, "global_row_number", lambda df, *a: placed.append(df.columns) or number(df, *a))
+    rows = spark.range(100).select((F.col("id") - F.col("id") % 2).alias("k"), F.concat(F.lit(" t"), F.col("id").cast("string")).alias("text")).union(spark.createDataFrame([(None, "null"), (None, "null")], "k long, text string"))
+    got = [r.text for r in sampling.strided(rows, "k", "text", 10, 1).collect()]
+    # places 1, 11, ..., 101 of 102; nulls come first, and either row of a pair may have a place
+    assert len(got) == 11 and got.count("null") == 1 and {int(x[1:]) // 2 * 2 for x in got if x != "null"} == {k * 10 + 8 for k in range(10)}
+    assert placed and not any("text" in c for c in placed)

@@ -29,9 +29,12 @@ def contained(highlights, body) -> Column:
 
 def in_order(highlights, body) -> Column:
     """Every highlight found, each after the end of the one before; false for none or a blank one."""
-    b = fold_text(body)
-    spots = F.aggregate(F.transform(_c(highlights), fold_text), F.lit(1), lambda at, h: F.when((at == 0) | (h == ""), 0).otherwise(F.when(F.call_function("locate", h, b, at) == 0, 0).otherwise(F.call_function("locate", h, b, at) + F.length(h))))
-    return (size0(highlights) > 0) & (b != "") & (spots > 0)
+    # a lambda's variable is found once, however often it is used
+    let = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    after = lambda at, h, b: let(F.call_function("locate", h, b, at), lambda p: F.when(p == 0, 0).otherwise(p + F.length(h)))
+    step = lambda at, h, b: F.when(at == 0, 0).otherwise(let(fold_text(h), lambda g: F.when(g == "", 0).otherwise(after(at, g, b))))
+    found = let(fold_text(body), lambda b: (b != "") & (F.aggregate(_c(highlights), F.lit(1), lambda at, h: step(at, h, b)) > 0))
+    return F.when(size0(highlights) > 0, found).otherwise(False)
 
 
 def last_index(keys, key) -> Column:

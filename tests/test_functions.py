@@ -166,3 +166,10 @@ def test_vote_mean_without_lambdas(spark):
     got = votes.select(arrays.vote_mean("v").alias("m"))
     assert [r.m for r in got.collect()] == [2 / 3, 0.0, 0.0, 0.0, 0.0, 1.0]
     assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_highlights_in_order_fold_a_text_once(spark):
+    one = spark.createDataFrame([("One two, three FOUR one", "one two", "four"), (None, "a", "b"), ("a b", None, "b")], "t string, a string, b string")
+    got = one.select(arrays.in_order(F.array("a", "b"), "t").alias("v"))
+    assert [r.v for r in got.collect()] == [True, False, False]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2  # of the body, and of each highlight

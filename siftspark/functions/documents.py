@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable, Iterator
 from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .text import TRACKERS
 
+PIECE_CHARS = 1 << 18  # characters that are tokenized at once
 _CITATION = re.compile(r"\[[0-9]+\]\((https?://[^)]+)\)")
 
 
@@ -80,14 +82,31 @@ def renumber(summary, urls) -> Column:
     return F.pandas_udf(run, "string")(summary, urls)
 
 
+def _token_counts(tokenizer, texts: Iterable[str | None]) -> Iterator[int]:
+    """Tokens of each text. Encodings are far larger than texts, so few are there at once."""
+    piece, size = [], 0
+
+    def counted() -> list[int]:
+        return [len(e.ids) for e in tokenizer.encode_batch_fast(piece, add_special_tokens=False)]
+
+    for x in texts:
+        piece.append(x or "")
+        size += len(piece[-1])
+        if size > PIECE_CHARS:
+            yield from counted()
+            piece, size = [], 0
+    yield from counted()
+
+
 def tokenizer_count(column, path: str) -> Column:
     """Tokens of a text by a tokenizer file of the tokenizers library."""
 
-    def run(batch: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        return pd.Series([len(e.ids) for e in t.encode_batch([x or "" for x in batch], add_special_tokens=False)], dtype="int32")
+        for batch in batches:
+            yield pd.Series(list(_token_counts(t, batch)), dtype="int32")
 
     return F.pandas_udf(run, "int")(column)

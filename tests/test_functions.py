@@ -173,3 +173,21 @@ def test_highlights_in_order_fold_a_text_once(spark):
     got = one.select(arrays.in_order(F.array("a", "b"), "t").alias("v"))
     assert [r.v for r in got.collect()] == [True, False, False]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2  # of the body, and of each highlight
+
+
+def test_tokens_are_counted_in_pieces(monkeypatch):
+    from types import SimpleNamespace
+
+    from siftspark.functions import documents
+
+    seen = []
+
+    def encode(texts, add_special_tokens):
+        seen.append(sum(map(len, texts)))
+        return [SimpleNamespace(ids=list(x)) for x in texts]
+
+    monkeypatch.setattr(documents, "PIECE_CHARS", 50)
+    texts = ["x" * (k % 9) for k in range(100)] + [None, "y" * 200, ""]
+    assert list(documents._token_counts(SimpleNamespace(encode_batch_fast=encode), texts)) == [len(x or "") for x in texts]
+    assert list(documents._token_counts(SimpleNamespace(encode_batch_fast=encode), [])) == []
+    assert max(seen) < 260 and len(seen) > 5

@@ -192,3 +192,15 @@ def test_strided_places_no_texts(spark, monkeypatch):
     # places 1, 11, ..., 101 of 102; nulls come first, and either row of a pair may have a place
     assert len(got) == 11 and got.count("null") == 1 and {int(x[1:]) // 2 * 2 for x in got if x != "null"} == {k * 10 + 8 for k in range(10)}
     assert placed and not any("text" in c for c in placed)
+
+
+def test_pages_are_parsed_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(html, "PIECE_BYTES", 1000)
+    pages = ["<title>%d</title>" % k + "x" * (k * 40) for k in range(40)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(42)), pa.array(["u"] * 42), pa.array(pages)], ["id", "url", "html"])
+    out = list(html._parse(iter([batch, batch.slice(0, 0)])))
+    assert len(out) > 10 and max(b.num_rows for b in out) < 20
+    assert [x for b in out for x in b.column(2).to_pylist()] == [str(k) for k in range(40)] + ["", ""]
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(42))
